@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import entropy_secrets, fair_mix, jump_shards, mcd_quality
+from tidegate.llm import entropy_secrets, fair_mix, jump_shards, mcd_quality, simhash_dedup
 from tidegate.llm.common import table
 
 
@@ -29,12 +29,18 @@ def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_secrets.digest(entropy_secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash_dedup.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mcd_quality": op1_mcd_quality,
         "op3_jump_shards": op3_jump_shards,
         "op4_fair_mix": op4_fair_mix,
         "op8_entropy_secrets": op8_entropy_secrets,
+        "op9_simhash_dedup": op9_simhash_dedup,
     }
 
 
