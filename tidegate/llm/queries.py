@@ -7,14 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import entropy_secrets, fair_mix, jump_shards, mcd_quality, simhash_dedup
-from tidegate.llm.common import table
+from tidegate.llm import entropy_secrets, fair_mix, hilbert_pack, jump_shards, mcd_quality, mph_store, simhash_dedup
+from tidegate.llm.common import fresh_path, table
 
 
 def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hilbert_pack.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jump_shards.assign_shards(table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -25,6 +36,13 @@ def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op5_mph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = fresh_path(spark, "store")
+    mph_store.write_store(docs, path, _vocabulary("byte_bpe_50k.json"))
+    return mph_store.read_store(spark, path, docs.schema["doc_id"].dataType)
+
+
 def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_secrets.digest(entropy_secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -37,8 +55,10 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mcd_quality": op1_mcd_quality,
+        "op2_hilbert_pack": op2_hilbert_pack,
         "op3_jump_shards": op3_jump_shards,
         "op4_fair_mix": op4_fair_mix,
+        "op5_mph_store": op5_mph_store,
         "op8_entropy_secrets": op8_entropy_secrets,
         "op9_simhash_dedup": op9_simhash_dedup,
     }
