@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import entropy_secrets, fair_mix, hilbert_pack, jump_shards, mcd_quality, mph_store, simhash_dedup
+from tidegate.llm import cross_entropy, dual_tree, entropy_secrets, fair_mix, hilbert_pack, jump_shards, mcd_quality, mph_store, nnpu_toxicity, simhash_dedup
 from tidegate.llm.common import fresh_path, table
 
 
@@ -43,6 +43,16 @@ def op5_mph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mph_store.read_store(spark, path, docs.schema["doc_id"].dataType)
 
 
+def op6_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.select("vec_id", dual_tree.scaled(vectors["embedding"]).alias("v"))
+    return dual_tree.search(vectors, F.pmod("vec_id", F.lit(100)) == 0, 10)
+
+
+def op7_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnpu_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_secrets.digest(entropy_secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -52,6 +62,10 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash_dedup.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mcd_quality": op1_mcd_quality,
@@ -59,8 +73,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jump_shards": op3_jump_shards,
         "op4_fair_mix": op4_fair_mix,
         "op5_mph_store": op5_mph_store,
+        "op6_dual_tree": op6_dual_tree,
+        "op7_nnpu_toxicity": op7_nnpu_toxicity,
         "op8_entropy_secrets": op8_entropy_secrets,
         "op9_simhash_dedup": op9_simhash_dedup,
+        "op10_cross_entropy": op10_cross_entropy,
     }
 
 
