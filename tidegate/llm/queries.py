@@ -8,21 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import cross_entropy, dual_tree, entropy_secrets, fair_mix, hilbert_pack, jump_shards, mcd_quality, mph_store, nnpu_toxicity, simhash_dedup
-from tidegate.llm.common import fresh_path, table
+from tidegate.llm.common import fresh_path, table, vocabulary
 
 
 def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_quality.judge(table(spark, sf_dir, "documents"))
 
 
-def _vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op2_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = hilbert_pack.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    out = hilbert_pack.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -39,7 +33,7 @@ def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = fresh_path(spark, "store")
-    mph_store.write_store(docs, path, _vocabulary("byte_bpe_50k.json"))
+    mph_store.write_store(docs, path, vocabulary("byte_bpe_50k.json"))
     return mph_store.read_store(spark, path, docs.schema["doc_id"].dataType)
 
 
@@ -66,8 +60,15 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_mcd_quality": op1_mcd_quality,
         "op2_hilbert_pack": op2_hilbert_pack,
         "op3_jump_shards": op3_jump_shards,
