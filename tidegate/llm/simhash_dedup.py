@@ -6,10 +6,12 @@ principle bounds their difference in one segment.  Every distinct fingerprint is
 under each segment's value and asks for all values in a small Hamming ball round it; what
 it finds is compared in full.
 
-Copies are folded into one fingerprint first.  Where many fingerprints share a segment's
-value, both the stored and the asking ones are dealt into blocks and each pair of blocks is
-a group of its own, so a group's size is bounded; a large group returns a forest that
-connects what it found linked, not all pairs.
+Wide segments keep what a value finds by chance small, but their balls are large, so a ball
+is not shuffled value by value.  A segment's table is dealt into parts by its first bits; a
+fingerprint goes to each part its ball reaches and enumerates there the rest of the ball.
+Copies are folded into one fingerprint first.  A crowded part is dealt into blocks of
+stored and of asking fingerprints; each pair of blocks returns a forest that connects what
+it found linked, not all pairs.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from tidegate.llm.components import components
 
 WORDS = 4
 RADIUS = 4
-SEGMENTS = 3
+SEGMENTS = 2
 SEED = 42
-#: Mean number of fingerprints in one block of a crowded segment value.
-BLOCK = 1024
-#: Groups of at most this many comparisons are compared many at a time.
-_FEW = 64
+#: First bits of a segment's value by which its table is dealt into parts.
+PART_BITS = 8
+#: Mean numbers of stored and asking fingerprints in one block of a crowded part.
+STORED_BLOCK, ASKING_BLOCK = 1 << 16, 1 << 18
+#: Comparisons held at a time.
+_CHUNK = 1 << 21
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -101,103 +105,122 @@ def _ball(width: int, radius: int) -> list[int]:
     return sorted(masks)
 
 
-def _links(batches: Iterator, radius: int) -> Iterator:
-    """Links (a, b) from rows (seg, bs, ba, asks, fp) in that order: a group's stored rows come before its askers."""
+def _forest(stored, asking, shift: int, width: int, radius: int, part: int, part_bits: int, within: int):
+    """Links that connect stored and asking fingerprints within ``within`` bits whose segment differs in at most ``radius``.
+
+    part: the first bits of the stored ones' segment.  Arrays of distinct unsigned 64-bit.
+    """
     import numpy as np
-    import pyarrow as pa
 
-    def groups(cols, starts):
-        """Links of complete groups that begin at ``starts``."""
-        asks, fp = cols[3], cols[4]
-        n = np.diff(np.append(starts, len(fp)))
-        a = np.add.reduceat(asks, starts)
-        s = n - a
-        few = (s * a > 0) & (s * a <= _FEW)
-        at, s1, a1 = starts[few], s[few], a[few]
-        pairs = s1 * a1
-        k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-        at, s1, a1 = (np.repeat(x, pairs) for x in (at, s1, a1))
-        x, y = fp[at + k // np.maximum(a1, 1)], fp[at + s1 + k % np.maximum(a1, 1)]
-        good = (x < y) & (np.bitwise_count(x ^ y) <= radius)  # the other way round, the pair meets too
-        yield x[good], y[good]
-        for g in np.flatnonzero(s * a > _FEW):
-            stored, asking = fp[starts[g] : starts[g] + s[g]], fp[starts[g] + s[g] : starts[g] + n[g]]
-            yield from forest(stored, asking)
-
-    def forest(stored, asking):
-        labels = np.arange(len(stored))
-        for at in range(0, len(asking), 1024):
-            ask = asking[at : at + 1024]
-            hit = np.bitwise_count(ask[:, None] ^ stored[None, :]) <= radius
-            met = hit.any(1)
-            ask, hit = ask[met], hit[met]
-            if not len(ask):
+    low = width - part_bits
+    cut = lambda fp: (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+    stored = stored[np.argsort(cut(stored), kind="stable")]
+    values, first, count = np.unique(cut(stored), return_index=True, return_counts=True)
+    nodes = np.unique(np.concatenate((stored, asking)))
+    mine, labels = np.searchsorted(nodes, stored), np.arange(len(nodes))
+    own = cut(asking)
+    left = radius - np.bitwise_count((own >> np.uint64(low)) ^ np.uint64(part)).astype(int)
+    for r in range(radius + 1):
+        ask, seg = asking[left == r], own[left == r]
+        # Into this part, then every value of what is left of the ball.
+        seg = (seg & np.uint64((1 << low) - 1)) | np.uint64(part << low)
+        for m in _ball(low, r) if len(ask) else ():
+            want = seg ^ np.uint64(m)
+            at = np.searchsorted(values, want).clip(0, len(values) - 1)
+            hit = np.flatnonzero(values[at] == want)
+            if not len(hit):
                 continue
-            while True:
-                low = np.where(hit, labels[None, :], len(stored)).min(1)
-                new = np.minimum(labels, np.where(hit, low[:, None], len(stored)).min(0))
-                new = new[new]
-                if (new == labels).all():
-                    break
-                labels = new
-            first = stored[hit.argmax(1)]
-            yield first[first != ask], ask[first != ask]
-        root = stored[labels]
-        yield root[root != stored], stored[root != stored]
-
-    held = None
-    for b in batches:
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-        cols[4] = cols[4].view(np.uint64)
-        cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        turn = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-        last = turn[-1] if len(turn) else 0
-        held = [x[last:] for x in cols]  # the last group may go on
-        if last:
-            yield from _as_batches(groups([x[:last] for x in cols], np.concatenate(([0], turn[:-1]))), pa)
-    if held is not None and len(held[0]):
-        yield from _as_batches(groups(held, np.array([0])), pa)
-
-
-def _as_batches(found, pa) -> Iterator:
+            sizes = count[at[hit]]
+            ends = np.cumsum(sizes)
+            begin = 0
+            while begin < len(hit):  # a run of equal segments is expanded bit by bit
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _CHUNK, "right")))
+                n, who = sizes[begin:end], hit[begin:end]
+                k = np.repeat(first[at[who]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                x = np.repeat(ask[who], n)
+                good = np.bitwise_count(x ^ stored[k]) <= within
+                labels = _merge(labels, mine[k[good]], np.searchsorted(nodes, x[good]))
+                begin = end
+    other = labels != np.arange(len(nodes))
+    return nodes[labels[other]], nodes[other]
+
+
+def _merge(labels, a, b):
+    """Least labels after joining nodes a[i] and b[i]; a label is a node that labels itself."""
     import numpy as np
 
-    found = [x for x in found if len(x[0])]
-    if found:
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """Links (a, b) that connect every two of the distinct fingerprints ``fp`` within ``radius`` bits.
+    while len(a):
+        la, lb = labels[a], labels[b]
+        apart = la != lb
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        if not len(a):
+            break
+        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
+        while True:
+            new = labels[labels]
+            if (new == labels).all():
+                break
+            labels = new
+    return labels
+
+
+def _links(batches: Iterator, cut: list[tuple[int, int, int]], part_bits: int, within: int) -> Iterator:
+    """Links (a, b) from rows (seg, part, bs, ba, asks, fp) sorted by the first four: a group is a pair of blocks."""
+    import numpy as np
+    import pyarrow as pa
 
-    A small group returns each linked pair; a crowded one a forest with the same components.
-    """
+    def links_of(cols):
+        asks, fp = cols[4], cols[5]
+        shift, width, radius = cut[int(cols[0][0])]
+        stored, asking = fp[asks == 0], fp[asks == 1]
+        if len(stored) and len(asking):
+            a, b = _forest(stored, asking, shift, width, radius, int(cols[1][0]), part_bits, within)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    held: list = []  # pieces of the group that may go on in the next batch
+    for batch in batches:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+        cols[5] = cols[5].view(np.uint64)
+        if not len(cols[0]):
+            continue
+        turns = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols[:4]], axis=0)) + 1
+        for lo, hi in zip([0, *turns], [*turns, len(cols[0])], strict=True):
+            piece = [c[lo:hi] for c in cols]
+            if held and any(h[0] != p[0] for h, p in zip(held[-1][:4], piece[:4], strict=True)):
+                yield from links_of([np.concatenate(x) for x in zip(*held, strict=True)])
+                held = []
+            held.append(piece)
+    if held:
+        yield from links_of([np.concatenate(x) for x in zip(*held, strict=True)])
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, part_bits: int = PART_BITS) -> DataFrame:
+    """Links (a, b) that connect every two of the distinct fingerprints ``fp`` within ``radius`` bits."""
     cut = _segments(segments, radius)
-    value = lambda shift, width: F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1)
-    # A segment's number stands above its value.
-    key = lambda i, v: v.bitwiseOR(F.lit(i << 58))
-    stored = distinct.select("fp", F.explode(F.array(*[key(i, value(s, w)) for i, (s, w, _) in enumerate(cut)])).alias("seg"))
-    balls = [F.transform(F.array(*[F.lit(m).cast("long") for m in _ball(w, r)]), _asker(key(i, value(s, w)))) for i, (s, w, r) in enumerate(cut)]
-    asking = distinct.select("fp", F.explode(F.concat(*balls)).alias("seg"))
-    known = stored.groupBy("seg").agg(F.count(F.lit(1)).alias("n_s"))
-    hits = materialize(asking.join(known, "seg"), "askers")
-    size = hits.groupBy("seg").agg(F.first("n_s").alias("n_s"), F.count(F.lit(1)).alias("n_a")).where("n_a > 1")  # each asks for itself
-    size = size.select("seg", (F.col("n_s") / BLOCK).cast("int").alias("ms"), (F.col("n_a") / BLOCK).cast("int").alias("ma"))
-    mine = lambda most: F.pmod(F.xxhash64("fp"), most + 1).cast("int")
-    rows = stored.join(size, "seg").select(
-        "seg", mine(F.col("ms")).alias("bs"), F.explode(F.sequence(F.lit(0), "ma")).alias("ba"), F.lit(0).alias("asks"), "fp"
-    ).unionByName(
-        hits.select("seg", "fp").join(size, "seg").select("seg", F.explode(F.sequence(F.lit(0), "ms")).alias("bs"), mine(F.col("ma")).alias("ba"), F.lit(1).alias("asks"), "fp")
+    stored, asking = [], []
+    for i, (shift, width, ball) in enumerate(cut):
+        part = F.shiftrightunsigned("fp", shift + width - part_bits).bitwiseAND((1 << part_bits) - 1)
+        at = lambda p, i=i: F.struct(F.lit(i).alias("seg"), p.cast("int").alias("part"))
+        stored.append(at(part))
+        asking += [at(part.bitwiseXOR(m)) for m in _ball(part_bits, ball)]
+    listed = lambda xs: distinct.select("fp", F.explode(F.array(*xs)).alias("_at")).select("fp", "_at.seg", "_at.part")
+    stored, asking = listed(stored), listed(asking)
+    count = lambda df, name: df.groupBy("seg", "part").agg(F.count(F.lit(1)).alias(name))
+    size = materialize(  # a row a part
+        count(stored, "s").join(count(asking, "a"), ["seg", "part"])
+        .select("seg", "part", (F.col("s") / STORED_BLOCK).cast("int").alias("ms"), (F.col("a") / ASKING_BLOCK).cast("int").alias("ma")),
+        "parts",
     )
-    rows = rows.repartition("seg", "bs", "ba").sortWithinPartitions("seg", "bs", "ba", "asks")
-    return rows.mapInArrow(lambda batches: _links(batches, radius), "a long, b long").distinct()
-
-
-def _asker(seg):
-    return lambda m: seg.bitwiseXOR(m)
+    mine = lambda most: F.pmod(F.xxhash64("fp"), F.col(most) + 1).cast("int")
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most)))
+    rows = (
+        stored.join(size, ["seg", "part"]).select("seg", "part", mine("ms").alias("bs"), every("ma").alias("ba"), F.lit(0).alias("asks"), "fp")
+        .unionByName(asking.join(size, ["seg", "part"]).select("seg", "part", every("ms").alias("bs"), mine("ma").alias("ba"), F.lit(1).alias("asks"), "fp"))
+    )
+    order = ("seg", "part", "bs", "ba")
+    rows = rows.repartition(*order).sortWithinPartitions(*order)
+    return rows.mapInArrow(lambda batches: _links(batches, cut, part_bits, radius), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
