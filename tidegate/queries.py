@@ -221,7 +221,7 @@ def _log(o: DataFrame, kind: str, stamp: Column | None = None, until: Column | N
     )
 
 
-_LATER = F.lit(NOW + timedelta(minutes=1))
+_LATER = NOW + timedelta(minutes=1)
 
 
 def _stale_stamp() -> Column:
@@ -252,12 +252,12 @@ def t4_drop(o):
 
 @_on_outbox("t7_renew", "id claimed_until sending_since next_attempt_on")
 def t7_renew(o):
-    return transitions.fold(o, _log(o, "RENEW", F.col("claimed_until"), _LATER))
+    return transitions.fold(o, _log(o, "RENEW", F.col("claimed_until"), F.lit(_LATER)))
 
 
 @_on_outbox("t8_heartbeat", "id claimed_until sending_since")
 def t8_heartbeat(o):
-    log = _log(o, "HEARTBEAT", F.col("claimed_until"), _LATER, F.lit(NOW - timedelta(seconds=5)))
+    log = _log(o, "HEARTBEAT", F.col("claimed_until"), F.lit(_LATER), F.lit(NOW - timedelta(seconds=5)))
     return transitions.fold(o, log).where(F.size("effective") > 0)
 
 
