@@ -7,13 +7,47 @@ between two places where a word surely ends can be encoded alone.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import cache
 
 #: A space between two characters that are no white space: a word ends before it for either tokenizer.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _UNEVEN = re.compile(r"\s |^ | $|^$")
-#: Memory, not results, is bounded by this: a full store is emptied and filled again.
-KEPT_WORDS = 400_000
+#: Words in each of two generations of the store.  This bounds memory, not results.
+KEPT_WORDS = 700_000
+
+
+class _Words:
+    """Ids of words.  When the young generation is full it becomes the old one, and what is
+    still used moves back: words seen once go, frequent ones stay.
+    """
+
+    def __init__(self, encode):
+        self._encode, self._young, self._old = encode, {}, {}
+
+    def ids(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words, end to end."""
+        if len(self._young) > KEPT_WORDS:
+            self._young, self._old = {}, self._young
+        get, old = self._young.get, self._old
+        found = [list(map(get, words)) for words in lists]
+        gaps = [k for k, ids in enumerate(found) if None in ids]
+        new: list[str] = []
+        holes = [(k, [i for i, ids in enumerate(found[k]) if ids is None]) for k in gaps]
+        for w in {lists[k][i] for k, at in holes for i in at}:
+            if (ids := old.get(w)) is None:
+                new.append(w)
+            else:
+                self._young[w] = ids
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            self._young.update(zip(part, self._encode(part), strict=True))
+        for k, at in holes:
+            words, ids = lists[k], found[k]
+            for i in at:
+                ids[i] = self._young[words[i]]
+        return [b"".join(ids) for ids in found]
 
 
 class WordEncoder:
@@ -24,27 +58,19 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {}
-
-    def _learn(self, kept: dict[str, bytes], words: set[str], lead: str) -> None:
-        import numpy as np
+        self._first, self._later = _Words(lambda ws: self._encoded(ws)), _Words(lambda ws: self._encoded([f" {w}" for w in ws]))
 
-        new = list(words - kept.keys())
-        if len(kept) + len(new) > KEPT_WORDS:
-            kept.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, e in zip(part, self._tokenizer.encode_batch_fast([lead + w for w in part], add_special_tokens=False), strict=True):
-                kept[word] = np.array(e.ids, dtype="<u4").tobytes()
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = [array("I", e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in found:
+                a.byteswap()
+        return [a.tobytes() for a in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_BETWEEN.split(t) if _UNEVEN.search(t) else t.split(" ") for t in texts]
-        self._learn(self._first, {c[0] for c in cut}, "")
-        self._learn(self._later, set().union(*(c[1:] for c in cut)) if cut else set(), " ")
-        first, later = self._first, self._later
-        return [first[c[0]] + b"".join([later[w] for w in c[1:]]) for c in cut]
+        first, later = self._first.ids([c[:1] for c in cut]), self._later.ids([c[1:] for c in cut])
+        return [a + b for a, b in zip(first, later, strict=True)]
 
 
 @cache
