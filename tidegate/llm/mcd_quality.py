@@ -12,9 +12,7 @@ does not depend on how rows are dealt out.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import GAP_CHARS, materialize, null_coded, text_or_empty, words_of
@@ -29,7 +27,7 @@ MIN_GROUP = 20
 #: Squared distance beyond which a document goes: the chi-square quantile of five degrees of freedom at 1 - 1e-7.
 CUTOFF = 41.3
 #: Least standard deviations of the five statistics: a group of equal documents must not reject its neighbours.
-FLOOR = (0.20, 0.04, 0.03, 0.05, 0.05)
+FLOOR = (0.30, 0.06, 0.05, 0.15, 0.12)
 #: At p = 5 a normal sample's inner SUPPORT has covariance 1/CONSISTENCY of the whole.
 CONSISTENCY = 1.41
 NAMES = ("x1", "x2", "x3", "x4", "x5")
@@ -104,7 +102,7 @@ def _levels(d2: Column) -> Column:
 
 
 def _first_estimates(vectors: DataFrame) -> DataFrame:
-    middle = vectors.groupBy("_group").agg(*[F.percentile(x, F.lit(0.5)).alias(f"c{i}") for i, x in enumerate(NAMES)])
+    middle = materialize(vectors.groupBy("_group").agg(*[F.percentile(x, F.lit(0.5)).alias(f"c{i}") for i, x in enumerate(NAMES)]), "mcd")
     off = vectors.join(middle, "_group").select("_group", *[F.abs(F.col(x) - F.col(f"c{i}")).cast("long").alias(x) for i, x in enumerate(NAMES)])
     spread = off.groupBy("_group").agg(*[F.percentile(x, F.lit(0.5)).alias(f"s{i}") for i, x in enumerate(NAMES)], F.count(F.lit(1)).alias("n"))
     first = middle.join(spread, "_group").select(
@@ -117,12 +115,17 @@ def _first_estimates(vectors: DataFrame) -> DataFrame:
 
 
 def _concentrate(vectors: DataFrame, now: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of each group's closest SUPPORT."""
+    """One concentration step: mean and covariance of each group's closest SUPPORT.
+
+    Rows are summed by group and distance level before the exchange; only those sums are
+    ordered by level, so a large group costs no task more than its few hundred levels.
+    """
     far = vectors.join(now, "_group").select("_group", *NAMES, _levels(distance()).alias("_far"))
-    limit = far.groupBy("_group").agg(F.percentile("_far", F.lit(SUPPORT)).alias("_limit"))
-    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(NAMES)]
-    sums += [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1)]
-    near = far.join(limit, "_group").where("_far <= _limit").groupBy("_group").agg(F.count(F.lit(1)).alias("h"), *sums)
+    sums = {f"s{i}": F.col(x) for i, x in enumerate(NAMES)} | {f"q{i}{j}": F.col(NAMES[i]) * F.col(NAMES[j]) for i in range(_P) for j in range(i + 1)}
+    level = far.groupBy("_group", "_far").agg(F.count(F.lit(1)).alias("h"), *[F.sum(v).alias(k) for k, v in sums.items()])
+    order = Window.partitionBy("_group").orderBy("_far")
+    level = level.withColumn("_upto", F.sum("h").over(order)).withColumn("_all", F.sum("h").over(Window.partitionBy("_group")))
+    near = level.where(F.col("_upto") - F.col("h") < SUPPORT * F.col("_all")).groupBy("_group").agg(*[F.sum(k).alias(k) for k in ("h", *sums)])
     mean = {i: F.col(f"s{i}") / F.col("h") for i in range(_P)}
     cov = {(i, j): f"v{i}{j}" for i in range(_P) for j in range(i + 1)}
     out = near.select(
