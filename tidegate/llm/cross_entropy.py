@@ -11,6 +11,7 @@ again, in parts small enough to stream, so no task holds all documents of a freq
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidegate.llm.common import materialize, text_or_empty
+from tidegate.llm.common import bounded_batches, materialize, text_or_empty
 from tidegate.llm.token_ids import by_size
 
 #: The models' vocabulary: the most frequent background words (codes fit 16 bits); all other words are one unknown word.
@@ -26,7 +27,22 @@ VOCABULARY = 65_535
 #: Pseudo-count of the unigram estimate in a bigram estimate, and of the uniform one in that.
 PRIOR_UNIGRAM, PRIOR_UNIFORM = 8.0, 1.0
 #: Bytes of stored text for each bucket of bigrams, and how many parts a bucket's documents are dealt into.
-BUCKET_BYTES, PARTS = 64 << 20, 8
+BUCKET_BYTES, PARTS = 64 << 20, 4
+#: Distinct words a task counts before it hands them on.
+COUNTED_WORDS = 500_000
+
+
+def _packed(codes, counts) -> tuple[bytes, bytes]:
+    """Sorted codes as differences and small counts, deflated."""
+    import numpy as np
+
+    return zlib.compress(np.diff(codes, prepend=np.uint32(0)).astype("<u4"), 1), zlib.compress(np.ascontiguousarray(counts), 1)
+
+
+def _unpacked(codes: bytes, counts: bytes, kind: str) -> tuple:
+    import numpy as np
+
+    return np.cumsum(np.frombuffer(zlib.decompress(codes), "<u4"), dtype=np.uint32), np.frombuffer(zlib.decompress(counts), kind)
 
 
 def words(text: str) -> list[str]:
@@ -41,11 +57,18 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
+        found: Counter = Counter()
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+
         for b in batches:
-            found: Counter = Counter()
             for t in b.column("text").to_pylist():
                 found.update(words(t))
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+            if len(found) > COUNTED_WORDS:
+                yield told()
+                found.clear()
+        yield told()
 
     return texts.select(text_or_empty(texts["text"]).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -74,7 +97,7 @@ def _codes(texts: DataFrame, code: dict[str, int], buckets: int) -> DataFrame:
         turn = 0
         for b in batches:
             texts = b.column("text").to_pylist()
-            for lo, hi in by_size(texts, 24_000_000):
+            for lo, hi in by_size(texts, 8_000_000):
                 pairs = [np.array([0, *[get(w, unknown) for w in words(t)]], dtype=np.uint32) for t in texts[lo:hi]]
                 sizes = [len(p) - 1 for p in pairs]
                 codes = np.concatenate([(p[:-1] << np.uint32(16)) | p[1:] for p in pairs])
@@ -130,7 +153,7 @@ def _partial(coded: DataFrame, side: int) -> DataFrame:
             out = []
             for k, raws in found.items():
                 codes, n = np.unique(np.frombuffer(b"".join(raws), "<u4"), return_counts=True)
-                out.append((k, codes.tobytes(), n.astype("<u4").tobytes()))
+                out.append((k, *_packed(codes, n.astype("<u4"))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "codes", "counts"])
 
     return coded.select("bucket", "codes").mapInArrow(run, "bucket int, codes binary, counts binary").withColumn("side", F.lit(side))
@@ -154,7 +177,8 @@ def _model(parts: DataFrame, buckets: int) -> DataFrame:
 
         def told():
             c, n = merged()
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([c.tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())], names=["bucket", "codes", "counts"])
+            raw = _packed(c, n.astype("<i8"))
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([raw[0]], pa.binary()), pa.array([raw[1]], pa.binary())], names=["bucket", "codes", "counts"])
 
         for b in batches:
             for k, side, raw, ns in zip(*(b.column(c).to_pylist() for c in ("bucket", "side", "codes", "counts")), strict=True):
@@ -162,9 +186,9 @@ def _model(parts: DataFrame, buckets: int) -> DataFrame:
                     if bucket is not None:
                         yield told()
                     bucket, codes, counts, wait, held = k, np.empty(0, "<u4"), np.empty((0, 2), np.int64), [], 0
-                c = np.frombuffer(raw, "<u4")
+                c, own = _unpacked(raw, ns, "<u4")
                 n = np.zeros((len(c), 2), np.int64)
-                n[:, side] = np.frombuffer(ns, "<u4")
+                n[:, side] = own
                 wait.append((c, n))
                 held += len(c)
                 if held > max(2_000_000, len(codes)):
@@ -186,7 +210,8 @@ def _totals(model: DataFrame, n_codes: int):
 
         for b in batches:
             for raw, ns in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                c, n = np.frombuffer(raw, "<u4"), np.frombuffer(ns, "<i8").reshape(-1, 2)
+                c, n = _unpacked(raw, ns, "<i8")
+                n = n.reshape(-1, 2)
                 sums = [np.bincount(x, weights=n[:, k], minlength=n_codes) for x in (c & 0xFFFF, c >> 16) for k in (0, 1)]
                 kept = np.flatnonzero(sum(sums))
                 yield pa.RecordBatch.from_arrays([pa.array(kept), *(pa.array(s[kept].astype(np.int64)) for s in sums)], names=["code", "a", "b", "c", "d"])
@@ -224,7 +249,8 @@ def _losses(coded: DataFrame, model: DataFrame, totals, buckets: int) -> DataFra
         for b in batches:
             for k, is_model, rows, ids, lengths, raw, ns in zip(*(b.column(c).to_pylist() for c in ("bucket", "is_model", "rows", "ids", "lengths", "codes", "counts")), strict=True):
                 if is_model:
-                    bucket, known, counts = k, np.frombuffer(raw, "<u4"), np.frombuffer(ns, "<i8").reshape(-1, 2)
+                    bucket, (known, counts) = k, _unpacked(raw, ns, "<i8")
+                    counts = counts.reshape(-1, 2)
                     continue
                 codes, n = np.frombuffer(raw, "<u4"), np.frombuffer(lengths, "<u4").astype(np.int64)
                 seen = np.zeros((len(codes), 2))
@@ -254,7 +280,7 @@ def scores(docs: DataFrame, target: DataFrame, background: DataFrame | None = No
     rows are scored each; null doc_ids like others; an empty table gives none.  Without
     target text the target's model is the uniform one.
     """
-    back = docs if background is None else background
+    back = bounded_batches(docs) if background is None else background
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     buckets = max(4, min(4096, size // BUCKET_BYTES + 1))
     listed = word_counts(back).orderBy(F.desc("n"), "word").limit(min(vocabulary, VOCABULARY - 1)).select("word").collect()  # at most the vocabulary

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm.common import materialize, text_or_empty
+from tidegate.llm.common import bounded_batches, materialize, text_or_empty
 from tidegate.llm.token_ids import by_size, encoder
 
 LENGTH = 4096
@@ -106,7 +106,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
                     names=schema.names,
                 )
 
-    return docs.select(docs["doc_id"], text_or_empty(docs["text"]).alias("text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(docs["doc_id"], text_or_empty(docs["text"]).alias("text")).mapInArrow(run, schema)
 
 
 def _ranges(docs: DataFrame) -> int:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm.common import text_or_empty
+from tidegate.llm.common import bounded_batches, text_or_empty
 from tidegate.llm.token_ids import by_size, encoder
 
 MAGIC = b"TGMPH001"
@@ -212,7 +212,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     spark = docs.sparkSession
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     shards = max(spark.sparkContext.defaultParallelism, min(200_000, size // SHARD_BYTES + 1))
-    rows = docs.select(docs["doc_id"], text_or_empty(docs["text"]).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    rows = bounded_batches(docs).select(docs["doc_id"], text_or_empty(docs["text"]).alias("text")).withColumn("_tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(shards, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
     schema = "number long, name string, n_docs long, n_ids long, low string, high string"
 

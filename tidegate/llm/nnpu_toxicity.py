@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm.common import text_or_empty
+from tidegate.llm.common import bounded_batches, text_or_empty
 
 #: Bounds of the training sample, met on average (documents are drawn by a hash of doc_id).
 MAX_POSITIVE = 3000
@@ -184,7 +184,7 @@ def with_scores(docs: DataFrame, model: Model, score: str = "score") -> DataFram
             told = pa.array([model.score(t or "") for t in b.column("__text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], told], names=[*rest, score])
 
-    return docs.select(*rest, docs["text"].cast("string").alias("__text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*rest, docs["text"].cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:

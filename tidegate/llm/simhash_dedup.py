@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm.common import materialize, row_key
+from tidegate.llm.common import bounded_batches, materialize, row_key
 from tidegate.llm.components import components
 
 WORDS = 4
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fps = np.array([fingerprint(t or "", words) for t in b.column("_text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(3)] + [pa.array(fps.view(np.int64))], names=schema.names)
 
-    return docs.select(docs["doc_id"], *row_key(docs), docs["text"].cast("string").alias("_text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(docs["doc_id"], *row_key(docs), docs["text"].cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def _segments(n: int, radius: int) -> list[tuple[int, int, int]]:
