@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidegate.llm.common import bounded_batches, materialize, text_or_empty
 from tidegate.llm.token_ids import by_size
 
-#: The models' vocabulary: the most frequent background words (codes fit 16 bits); all other words are one unknown word.
+#: The models' vocabulary: the most frequent background words, at most (codes fit 16 bits); all other words are one unknown word.
 VOCABULARY = 65_535
 #: Pseudo-count of the unigram estimate in a bigram estimate, and of the uniform one in that.
 PRIOR_UNIGRAM, PRIOR_UNIFORM = 8.0, 1.0
@@ -73,6 +73,23 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select(text_or_empty(texts["text"]).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> dict[str, int]:
+    """Codes from 1 of the words at least as frequent as leaves at most ``most`` of them.
+
+    The least frequency comes from how many words have each, so no task or driver sorts
+    more words than it keeps; words tied at the limit are all in or all out.
+    """
+    counts = materialize(counts, "word-counts")
+    least, held = None, 0
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).toLocalIterator():
+        held += r["k"]
+        if held > most:
+            break
+        least = r["n"]
+    kept = [] if least is None else counts.where(F.col("n") >= least).collect()  # at most the vocabulary
+    return {r["word"]: k + 1 for k, r in enumerate(sorted(kept, key=lambda r: (-r["n"], r["word"])))}
+
+
 def _codes(texts: DataFrame, code: dict[str, int], buckets: int) -> DataFrame:
     """(bucket, part, rows, ids, lengths, codes): for each batch and bucket its documents' bigrams of that bucket.
 
@@ -283,8 +300,7 @@ def scores(docs: DataFrame, target: DataFrame, background: DataFrame | None = No
     back = bounded_batches(docs) if background is None else background
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     buckets = max(4, min(4096, size // BUCKET_BYTES + 1))
-    listed = word_counts(back).orderBy(F.desc("n"), "word").limit(min(vocabulary, VOCABULARY - 1)).select("word").collect()  # at most the vocabulary
-    code = {r["word"]: k + 1 for k, r in enumerate(listed)}
+    code = frequent_words(word_counts(back), min(vocabulary, VOCABULARY - 1))
     coded = materialize(_codes(_rows(docs, "doc_id"), code, buckets), "bigrams")
     other = coded if background is None else _codes(_rows(back, None), code, buckets)
     parts = _partial(other, 0).unionByName(_partial(_codes(_rows(target, None), code, buckets), 1))
