@@ -10,7 +10,7 @@ from tidegate.functions import scalars
 from tidegate.model import OUTBOX, Settings
 from tidegate.operators import claims, lists, maintenance, states, transitions
 from tidegate.operators.running import inside_any, islands, running_max, running_sum
-from tidegate.streaming.control import ClaimPause, depth, heartbeats, mean_send_time, room
+from tidegate.streaming.control import ClaimPause, depth, heartbeats, mean_send_time, mean_send_times, pauses, room
 
 NOW = datetime(2024, 1, 20)
 S = timedelta(seconds=1)
@@ -183,3 +183,28 @@ def test_islands_and_ranges(spark):
     points = spark.createDataFrame([(NOW - 2 * S,), (NOW + 4 * S,), (NOW + 4001 * S,), (NOW + 5000 * S,)], "t timestamp")
     got = inside_any(points, "t", ranges, "lo", "hi", "x", slack_us=1_000_000).orderBy("t").collect()
     assert [r.x for r in got] == [False, True, True, False]
+
+
+@pytest.mark.parametrize("after", [0, 1, 3])
+def test_logs_fold_by_slices(spark, after):
+    settings, rows = Settings(pause_after=after), [("ab"[i % 2], "t", i, None if i % 11 == 0 else "success" if i * i % 13 == 3 and i < 90 else "failure") for i in range(120)]
+    want = {}
+    for pod, _, _, said in rows:
+        p, begun = want.get(pod, (ClaimPause(settings), 0))
+        was = p.paused
+        if said:
+            p.failed(0) if said == "failure" else p.succeeded()
+        want[pod] = p, begun + (p.paused and not was)
+    log = spark.createDataFrame(rows, "pod string, transport string, seq long, verdict string").repartition(5)
+    for slices in (1, 4, 40):
+        got = {r.pod: (r.failures, r.paused, r.begun) for r in pauses(log, settings, slices).collect()}
+        assert got == {k: (p.failures, p.paused, n) for k, (p, n) in want.items()}
+
+
+def test_send_times_fold_by_slices(spark):
+    rows, want = [("ab"[i % 2], i, 1000 + i * 7919 % 5000) for i in range(120)], {}
+    for pod, _, took in rows:
+        want[pod] = mean_send_time(want.get(pod), took)
+    log = spark.createDataFrame(rows, "pod string, seq long, took_us long").repartition(5)
+    for slices in (1, 4, 40):
+        assert {r.pod: r.mean_us for r in mean_send_times(log, slices).collect()} == pytest.approx(want)
