@@ -111,13 +111,43 @@ def test_store(spark, tmp_path):
     assert got == want
     store = mph_store.Store(path)
     assert [len(store.get(i)) for i in (2, 3, 999, None)] == [1, 2, 0, 0] and store.get(10)[0].tolist() == ids[10].tolist()
+    assert not any(store.get(k) for k in range(1000, 4000))
     mph_store.write_store(empty(spark), f"{path}-none", vocabulary("byte_bpe_50k.json"))
     assert mph_store.read_store(spark, f"{path}-none", docs.schema["doc_id"].dataType).count() == 0
 
 
+@pytest.mark.parametrize("sql", ["date_add(DATE'2020-01-01', CAST(doc_id AS INT))", "CAST(doc_id AS DECIMAL(20,3))", "encode(concat('k', doc_id), 'utf-8')", "IF(doc_id = 4, CAST('NaN' AS DOUBLE), doc_id / 2)", "IF(doc_id % 5 = 0, NULL, concat('é', doc_id))"])
+def test_store_with_keys_of_other_types(spark, tmp_path, sql):
+    docs = table(spark, HARD).withColumn("doc_id", F.expr(sql))
+    path = f"file://{tmp_path}/store"
+    mph_store.write_store(docs, path, vocabulary("byte_bpe_50k.json"))
+    store, texts = mph_store.Store(path), {}
+    for r in docs.collect():
+        texts.setdefault("NaN" if r.doc_id != r.doc_id else r.doc_id if not isinstance(r.doc_id, bytearray) else bytes(r.doc_id), []).append(r.text)
+    for key, mine in texts.items():
+        want = sorted(x.tolist() for x in encoded("byte_bpe_50k.json", mine))
+        assert sorted(x.tolist() for x in store.get(float("nan") if key == "NaN" else key)) == want
+    assert mph_store.read_store(spark, path, docs.schema["doc_id"].dataType).count() == len(HARD)
+
+
+def test_one_word_encoder_for_both(spark):
+    import random
+
+    import pyarrow as pa
+
+    from tidegate.llm.token_ids import encoder
+
+    rng = random.Random(1)
+    bits = ["a", "B", "é", "É", " ", "  ", "\n", "\n\n", ".", ",", "...", "'s", "'t", "don't", "1", "23", "_", "-", "\t", "\x0b", "\x1c", "\x85", "\xa0", "İ", "ß", "ſ", "Σ", "ς", "中", "。", "e\u0301", "\u0301", "😀", "<|endoftext|>", " The", "!", "?;", "ª", "µ", "\u3000", "x", "ŉ", "Ǆ", "\r\n"]
+    texts = [*HARD, *("".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)), "z" * 50_000]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        ids, ends = encoder(vocabulary(name)).encode(pa.array([t or "" for t in texts]), 2)
+        assert all((ids[a:b] == w).all() and b - a == len(w) for a, b, w in zip(ends, ends[1:], encoded(name, texts), strict=False))
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
 def test_index_is_minimal_and_perfect(n):
-    _, slots = mph_store.build_index([f"key {k}" for k in range(n)])
+    _, slots = mph_store.build_index([b"key %d" % k for k in range(n)])
     assert sorted(slots.tolist()) == list(range(n))
 
 

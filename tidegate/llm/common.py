@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but these six characters.
 GAP = r"[\x20\x09-\x0D]+"
@@ -87,16 +87,45 @@ def null_coded(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c.cast("string")))
 
 
-def row_key(df: DataFrame) -> list[Column]:
-    """Two 64-bit hashes of all columns: rows share both only if they are equal."""
-    cols = [df[f"`{c}`"] for c in df.columns]
-    return [F.xxhash64(*cols, F.lit("a")).alias("_k1"), F.xxhash64(F.lit("b"), *cols).alias("_k2")]
+def quoted(name: str) -> str:
+    """A column's name as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [df[quoted(c)] for c in df.columns]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, ``row``, beside which no name clashes; ``select("row.*")`` gives them back."""
+    return F.struct(*columns_of(df)).alias("row")
 
 
-def require(df: DataFrame, names: Iterable[str]) -> None:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _hashed(c: Column, kind: T.DataType, seed: int) -> Column:
+    """A 64-bit hash of a value of any type that tells nulls and their places apart."""
+    if isinstance(kind, T.StructType):
+        parts = [_hashed(c.getField(f.name), f.dataType, seed) for f in kind.fields]
+    elif isinstance(kind, T.ArrayType):
+        parts = [F.size(c), F.transform(c, lambda x: _hashed(x, kind.elementType, seed))]
+    elif isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        parts = [F.size(c), F.array_sort(F.transform(F.map_entries(c), lambda x: _hashed(x, entry, seed)))]
+    else:
+        parts = [c]
+    return F.xxhash64(F.lit(seed), c.isNull(), *parts)
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """_k1, _k2: two 64-bit hashes of all columns, nulls and their places included; unequal rows share both by chance alone."""
+    return [F.xxhash64(F.lit(k), *[_hashed(df[quoted(f.name)], f.dataType, k) for f in df.schema.fields]).alias(f"_k{k}") for k in (1, 2)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

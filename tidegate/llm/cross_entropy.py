@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidegate.llm.common import bounded_batches, materialize, text_or_empty
-from tidegate.llm.token_ids import by_size
 
 #: The models' vocabulary: the most frequent background words, at most (codes fit 16 bits); all other words are one unknown word.
 VOCABULARY = 65_535
@@ -49,6 +48,18 @@ def words(text: str) -> list[str]:
     return text.lower().split()
 
 
+def by_size(texts: list[str], most: int = 4_000_000):
+    """Ranges of a batch of at most ``most`` characters (or one text)."""
+    at, held = 0, 0
+    for k, t in enumerate(texts):
+        if k > at and held + len(t) > most:
+            yield at, k
+            at, held = k, 0
+        held += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over whole texts, summed by batch before the exchange."""
 

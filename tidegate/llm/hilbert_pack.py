@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.llm.common import bounded_batches, materialize, text_or_empty
-from tidegate.llm.token_ids import by_size, encoder
+from tidegate.llm.token_ids import encoder
 
 LENGTH = 4096
 END_ID = 2
@@ -68,12 +68,14 @@ def hilbert_key(axes, bits: int = BITS):
     return key
 
 
-def curve_keys(ids_list: list) -> list[int]:
-    """Hilbert keys of documents given as id arrays."""
+def curve_keys(ids, ends) -> list[int]:
+    """Hilbert keys of documents: document k is ids[ends[k]:ends[k + 1]]."""
     import numpy as np
 
     bucket, project = _projection()
-    counts = np.array([np.bincount(bucket[ids & 0xFFFF], minlength=2 * HASHED) for ids in ids_list], dtype=np.float64).reshape(-1, 2 * HASHED)
+    n, wide = len(ends) - 1, 2 * HASHED
+    doc = np.repeat(np.arange(n) * wide, np.diff(ends))
+    counts = np.bincount(doc + bucket[ids & 0xFFFF], minlength=n * wide).reshape(n, wide).astype(np.float64)
     v = counts[:, :HASHED] - counts[:, HASHED:]
     at = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ project
     # A logistic curve in place of the normal distribution spreads the coordinates.
@@ -82,7 +84,7 @@ def curve_keys(ids_list: list) -> list[int]:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, curve, n, ids) of each row; ids as little-endian unsigned 16-bit integers if they fit, else 32-bit."""
+    """(doc_id, curve, n, wide, ids) of each row; ids as little-endian unsigned 16-bit integers if they fit, else 32-bit (wide)."""
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("curve", T.LongType()),
         T.StructField("n", T.LongType()), T.StructField("wide", T.BooleanType()), T.StructField("ids", T.BinaryType()),
@@ -92,19 +94,15 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in by_size(texts):
-                ids = [np.frombuffer(x + end, dtype="<u4") for x in encoder(tokenizer).encode(texts[lo:hi])]
-                wide = [bool(x.max() > 0xFFFF) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").slice(lo, hi - lo), pa.array(curve_keys(ids), pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array(wide, pa.bool_()), pa.array([(x if w else x.astype("<u2")).tobytes() for x, w in zip(ids, wide, strict=True)], pa.binary()),
-                    ],
-                    names=schema.names,
-                )
+            if not len(b):
+                continue
+            ids, ends = encoder(tokenizer).encode(b.column("text"), end_id)
+            wide = np.maximum.reduceat(ids, ends[:-1]) > 0xFFFF
+            told = [ids[x:y].astype("<u4" if w else "<u2").tobytes() for x, y, w in zip(ends.tolist(), ends[1:].tolist(), wide.tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(curve_keys(ids, ends), pa.int64()), pa.array(np.diff(ends)), pa.array(wide), pa.array(told, pa.binary())], names=schema.names
+            )
 
     return bounded_batches(docs).select(docs["doc_id"], text_or_empty(docs["text"]).alias("text")).mapInArrow(run, schema)
 

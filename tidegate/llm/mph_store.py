@@ -4,13 +4,15 @@ A store is a folder of shards.  Shard k is ``ids-k.bin``, the ids of its documen
 end in ascending doc_id order (little-endian unsigned, 16 or 32 bits), and ``ids-k.mph``,
 the index: a hash-and-displace function that gives each distinct key its own slot, and for
 each slot a 32-bit fingerprint of its key, the key's first document and how many follow.
-A lookup hashes the key once, reads one displacement and one slot, compares fingerprints
-and slices the payload.  ``manifest.json`` lists the shards and their key ranges.
+A lookup hashes the key once, reads one displacement and one slot, compares fingerprints,
+then the stored key itself, and slices the payload.  ``manifest.json`` lists the shards,
+``bounds.arrow`` their first and last keys in the keys' own type.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import struct
 import zlib
@@ -19,9 +21,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidegate.llm.common import bounded_batches, text_or_empty
-from tidegate.llm.token_ids import by_size, encoder
+from tidegate.llm.token_ids import encoder
 
 MAGIC = b"TGMPH001"
 KEYS_PER_BUCKET = 4
@@ -39,14 +42,19 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def _hashes(keys: list) -> tuple:
-    """Two 64-bit hashes of each key; null, 1 and "1" are three keys."""
+def _told(key) -> bytes:
+    """A key as bytes; null, 1 and "1" are three keys, 0.0 and -0.0 one."""
+    if key is None:
+        return b"n"
+    return f"{type(key).__name__}:{key + 0.0 if isinstance(key, float) else key}".encode("utf-8", "surrogatepass")
+
+
+def _hashes(told: list[bytes]) -> tuple:
+    """Two 64-bit hashes of each key."""
     import numpy as np
     import xxhash
 
-    told = [b"n" if k is None else f"{type(k).__name__}:{k}".encode() for k in keys]
-    raw = b"".join(xxhash.xxh3_128_digest(x) for x in told)
-    both = np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in told), dtype="<u8").reshape(-1, 2)
     return both[:, 0].copy(), both[:, 1].copy()
 
 
@@ -60,16 +68,16 @@ def _slots(h, shift, n: int):
     return (x % np.uint64(n)).astype(np.int64)
 
 
-def build_index(keys: list) -> tuple:
-    """(displacements, slot of each key) for distinct keys.
+def build_index(told: list[bytes]) -> tuple:
+    """(displacements, slot of each key) for distinct keys, as bytes.
 
     Buckets of several keys, the largest first, try displacements until all their keys
     fall on free slots; a bucket of one key names its slot, as -1 - slot.
     """
     import numpy as np
 
-    n = len(keys)
-    h1, h2 = _hashes(keys)
+    n = len(told)
+    h1, h2 = _hashes(told)
     m = max(1, -(-n // KEYS_PER_BUCKET))
     bucket = (h1 % np.uint64(m)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -127,16 +135,22 @@ class Shard:
         self.width = width
 
     def find(self, keys: list):
-        """(first document, number of documents) of each key; 0 documents where the fingerprint differs."""
+        """(first document, number of documents) of each key; 0 documents of an unknown key."""
         import numpy as np
+        import pyarrow as pa
 
-        if not len(self.mark):
+        told = [_told(k) for k in keys]
+        if not len(self.mark) or not told:
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        h1, h2 = _hashes(keys)
+        h1, h2 = _hashes(told)
         shift = self.shift[(h1 % np.uint64(len(self.shift))).astype(np.int64)].astype(np.int64)
         slot = np.where(shift < 0, -1 - shift, _slots(h2, np.maximum(shift, 0), len(self.mark)))
+        first = self.first[slot].astype(np.int64)
         known = self.mark[slot] == (h1 >> np.uint64(32)).astype("<u4")
-        return self.first[slot].astype(np.int64), np.where(known, self.count[slot], 0).astype(np.int64)
+        at = np.flatnonzero(known)
+        stored = self.keys.take(pa.array(first[at])).to_pylist()
+        known[at] = [_told(k) == told[i] for k, i in zip(stored, at.tolist(), strict=True)]
+        return first, np.where(known, self.count[slot], 0).astype(np.int64)
 
     def read(self, start: int, end: int):
         """Ids start to end of the payload."""
@@ -146,20 +160,49 @@ class Shard:
             f.seek(start * self.width)
             return np.frombuffer(f.read((end - start) * self.width), self.kind)
 
+    def found(self, keys: list) -> Iterator[tuple]:
+        """(document, first id, ids) of each document of some distinct keys, by way of the index; neighbours in the payload are read at once."""
+        import numpy as np
+
+        first, count = self.find(keys)
+        doc = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        for part in np.split(doc, np.flatnonzero(np.diff(doc) != 1) + 1):
+            for k in range(0, len(part), 2000):
+                lo, hi = int(part[k]), int(part[min(k + 2000, len(part)) - 1]) + 1
+                at = self.offsets[lo : hi + 1].tolist()
+                ids = self.read(at[0], at[-1])
+                yield from ((d, a, ids[a - at[0] : b - at[0]]) for d, a, b in zip(range(lo, hi), at, at[1:], strict=False))
+
     def get(self, key) -> list:
-        first, count = (int(x[0]) for x in self.find([key]))
-        at = self.offsets[first : first + count + 1]
-        ids = self.read(int(at[0]), int(at[-1])) if count else []
-        return [ids[a - at[0] : b - at[0]] for a, b in zip(at, at[1:], strict=False)] if count else []
+        return [ids for _, _, ids in self.found([key])]
+
+
+@functools.total_ordering
+class _Rank:
+    """Orders keys as Spark does: null first, NaN last."""
+
+    def __init__(self, key):
+        self.at = (0,) if key is None else (2,) if key != key else (1, key)
+
+    def __eq__(self, other) -> bool:
+        return self.at == other.at
+
+    def __lt__(self, other: _Rank) -> bool:
+        return self.at < other.at
 
 
 class Store:
-    """A written store.  The shard of a key comes from the manifest's ranges, its ids from the shard's index."""
+    """A written store.  The shard of a key comes from the shards' bounds, its ids from the shard's index."""
 
     def __init__(self, path: str):
+        import pyarrow as pa
+
         fs, root = file_system(path)
         with fs.open_input_file(f"{root}/manifest.json") as f:
             self.shards = json.loads(f.read())
+        with fs.open_input_file(f"{root}/bounds.arrow") as f:
+            bounds = pa.ipc.open_stream(f.read()).read_all()
+        self._low, self._high = ([_Rank(k) for k in bounds.column(c).to_pylist()] for c in ("low", "high"))
         self.path, self._open = path, {}
 
     def shard(self, name: str) -> Shard:
@@ -169,25 +212,21 @@ class Store:
 
     def get(self, key) -> list:
         """Id arrays of all documents of a key (a key may run over from one shard into the next)."""
-        low = [(s["low"] is not None, s["low"]) for s in self.shards]
-        rank = (key is not None, key)
-        to = bisect.bisect_right([_Rank(x) for x in low], _Rank(rank))
-        found: list = []
-        for s in reversed(self.shards[:to]):
-            if _Rank((s["high"] is not None, s["high"])) < _Rank(rank):
+        rank, found = _Rank(key), []
+        for k in range(bisect.bisect_right(self._low, rank) - 1, -1, -1):
+            if self._high[k] < rank:
                 break
-            found = self.shard(s["name"]).get(key) + found
+            found = self.shard(self.shards[k]["name"]).get(key) + found
         return found
 
 
-class _Rank:
-    """Orders keys, null first."""
-
-    def __init__(self, x: tuple):
-        self.x = x
+def _stream(table) -> bytes:
+    import pyarrow as pa
 
-    def __lt__(self, other: _Rank) -> bool:
-        return self.x[0] < other.x[0] or (self.x[0] and other.x[0] and self.x[1] < other.x[1])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def _write(fs, path: str, chunks, mark: str) -> None:
@@ -214,7 +253,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     shards = max(spark.sparkContext.defaultParallelism, min(200_000, size // SHARD_BYTES + 1))
     rows = bounded_batches(docs).select(docs["doc_id"], text_or_empty(docs["text"]).alias("text")).withColumn("_tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(shards, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
-    schema = "number long, name string, n_docs long, n_ids long, low string, high string"
+    schema = "number long, name string, n_docs long, n_ids long, bounds binary"
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -227,57 +267,59 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
         fs.create_dir(root, recursive=True)
         keys: list = []
         sizes: list[int] = []
-        end = np.array([end_id], dtype="<u4").tobytes()
 
         def payload():
             for b in batches:
-                keys.append(b.column("doc_id"))
-                texts = b.column("text").to_pylist()
-                for lo, hi in by_size(texts):
-                    ids = [x + end for x in encoder(tokenizer).encode(texts[lo:hi])]
-                    sizes.extend(len(x) // 4 for x in ids)
-                    whole = b"".join(ids)
-                    yield whole if width == 4 else np.frombuffer(whole, "<u4").astype("<u2").tobytes()
+                if len(b):
+                    keys.append(b.column("doc_id"))
+                    ids, ends = encoder(tokenizer).encode(b.column("text"), end_id)
+                    sizes.extend(np.diff(ends).tolist())
+                    yield ids.astype(f"<u{width}").tobytes()
 
         _write(fs, f"{root}/{name}.bin", payload(), mark)
         if not sizes:
             fs.delete_file(f"{root}/{name}.bin")
             return
-        table = pa.table({"key": pa.chunked_array(keys)})
-        listed = table.column(0).to_pylist()
-        first = [k for k in range(len(listed)) if not k or listed[k] != listed[k - 1]]
-        distinct = [listed[k] for k in first]
+        table = pa.table({"key": pa.chunked_array(keys, kind)})
+        told = [_told(k) for k in table.column(0).to_pylist()]
+        first = [k for k in range(len(told)) if not k or told[k] != told[k - 1]]
+        distinct = [told[k] for k in first]
         shift, slot = build_index(distinct)
         h1, _ = _hashes(distinct)
-        counts = np.diff(np.array([*first, len(listed)]))
+        counts = np.diff(np.array([*first, len(told)]))
         cols = [np.empty(len(first), "<u4") for _ in range(3)]
         for c, v in zip(cols, ((h1 >> np.uint64(32)), np.array(first), counts), strict=True):
             c[slot] = v
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as w:
-            w.write_table(table)
-        told = sink.getvalue().to_pybytes()
+        stored = _stream(table)
         offsets = np.concatenate(([0], np.cumsum(sizes))).astype("<u8")
-        head = MAGIC + struct.pack("<5q", len(first), len(listed), len(shift), width, len(told))
-        _write(fs, f"{root}/{name}.mph", [head, shift.tobytes(), *(c.tobytes() for c in cols), offsets.tobytes(), told], mark)
-        low, high = json.dumps(listed[0], default=str), json.dumps(listed[-1], default=str)
+        head = MAGIC + struct.pack("<5q", len(first), len(told), len(shift), width, len(stored))
+        _write(fs, f"{root}/{name}.mph", [head, shift.tobytes(), *(c.tobytes() for c in cols), offsets.tobytes(), stored], mark)
+        bounds = _stream(pa.table({"low": table.column(0).slice(0, 1), "high": table.column(0).slice(len(told) - 1)}))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([task.partitionId()]), pa.array([name]), pa.array([len(listed)]), pa.array([int(offsets[-1])]), pa.array([low]), pa.array([high])],
-            names=["number", "name", "n_docs", "n_ids", "low", "high"],
+            [pa.array([task.partitionId()]), pa.array([name]), pa.array([len(told)]), pa.array([int(offsets[-1])]), pa.array([bounds], pa.binary())],
+            names=["number", "name", "n_docs", "n_ids", "bounds"],
         )
 
-    found, start = [], 0
+    import pyarrow as pa
+
+    manifest, start = [], 0
+    bounds = [pa.table({"low": pa.array([], kind), "high": pa.array([], kind)})]
     for r in sorted(rows.mapInArrow(run, schema).collect()):  # one row a shard
-        found.append({"name": r["name"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "start": start, "low": json.loads(r["low"]), "high": json.loads(r["high"])})
+        manifest.append({"name": r["name"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "start": start})
+        bounds.append(pa.ipc.open_stream(bytes(r["bounds"])).read_all())
         start += r["n_ids"]
     fs, root = file_system(path)
     fs.create_dir(root, recursive=True)
-    _write(fs, f"{root}/manifest.json", [json.dumps(found).encode()], "part")
-    return found
+    _write(fs, f"{root}/bounds.arrow", [_stream(pa.concat_tables(bounds, promote_options="permissive"))], "part")
+    _write(fs, f"{root}/manifest.json", [json.dumps(manifest).encode()], "part")
+    return manifest
 
 
 def read_store(spark: SparkSession, path: str, key: T.DataType) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document of a store, each found by its key in its shard's index.
+    """(doc_id, start, n_tokens, ids_crc32) of each document of a store.
+
+    Every distinct key a shard lists is looked up in the shard's index, and what the index
+    names is read from the payload; an empty store gives no rows.
 
     start: ids of all documents before it.  ids_crc32: of its ids as little-endian unsigned
     32-bit integers.
@@ -288,27 +330,15 @@ def read_store(spark: SparkSession, path: str, key: T.DataType) -> DataFrame:
     listed = spark.createDataFrame(shards, "name string, start long").repartition(max(1, len(shards)))
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for b in batches:
             for name, base in zip(b.column("name").to_pylist(), b.column("start").to_pylist(), strict=True):
                 shard = Shard(path, name)
-                keys = shard.keys.to_pylist()
-                first, count = shard.find(keys)
-                turn = np.arange(len(keys))
-                # The k-th of a key's documents, in file order.
-                doc = first + turn - np.maximum.accumulate(np.where(first == turn, turn, 0))
-                if not (doc == turn).all() or not (count > 0).all():
-                    raise ValueError(f"the index of {name} doesn't lead to its documents")
-                at = shard.offsets
-                for lo in range(0, len(keys), 2000):
-                    hi = min(lo + 2000, len(keys))
-                    ids = shard.read(int(at[lo]), int(at[hi])).astype("<u4").tobytes()
-                    crc = [zlib.crc32(ids[4 * (at[k] - at[lo]) : 4 * (at[k + 1] - at[lo])]) for k in doc[lo:hi]]
-                    yield pa.RecordBatch.from_arrays(
-                        [shard.keys.slice(lo, hi - lo).combine_chunks(), pa.array(base + at[lo:hi]), pa.array(np.diff(at[lo : hi + 1])), pa.array(crc, pa.int64())],
-                        names=schema.names,
-                    )
+                asked = shard.keys.unique()
+                for lo in range(0, len(asked), 2000):
+                    rows = [(doc, base + at, len(ids), zlib.crc32(ids.astype("<u4"))) for doc, at, ids in shard.found(asked.slice(lo, 2000).to_pylist())]
+                    doc, *told = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([shard.keys.take(doc).combine_chunks(), *told], names=schema.names)
 
     return listed.mapInArrow(run, schema)
