@@ -394,37 +394,61 @@ def test_links_miss_nothing(spark):
 # 10
 
 
-def test_cross_entropy(spark):
-    target = [words(200, 50 + i, 40) for i in range(5)] + [None]
-    texts = ODD + [words(100, i, 400) for i in range(20)] + [words(100, 50, 40)]
-    rows = {r.doc_id: r for r in cross_entropy.scores(table(spark, texts), table(spark, target)).collect()}
-    split = lambda t: (t or "").lower().split()
-    seen = Counter(w for t in texts for w in split(t))
-    top = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: cross_entropy.VOCABULARY - 1]]
-    code = {w: k + 1 for k, w in enumerate(top)}
-    pairs = lambda t: list(zip([0, *(c := [code.get(w, len(code) + 1) for w in split(t)])], c, strict=False))
-
-    def model(ts):
-        big = Counter(p for t in ts for p in pairs(t))
-        uni, ctx = Counter(), Counter()
-        for (c, w), n in big.items():
-            uni[w] += n
-            ctx[c] += n
-        total, size = sum(uni.values()), len(code) + 2
-        def p(c, w):
-            u = (uni[w] + cross_entropy.PRIOR_UNIFORM) / (total + cross_entropy.PRIOR_UNIFORM * size)
-            return (big[c, w] + cross_entropy.PRIOR_UNIGRAM * u) / (ctx[c] + cross_entropy.PRIOR_UNIGRAM)
-        return p
-
-    back, goal = model(texts), model(target)
-    assert len(rows) == len(texts)
-    for i, t in enumerate(texts):
-        ps = pairs(t)
-        assert rows[i].n_tokens == len(ps)
-        if ps:
-            a, b = (-sum(math.log(m(*x)) for x in ps) / len(ps) for m in (goal, back))
-            assert math.isclose(rows[i].target_loss, a, rel_tol=1e-9) and math.isclose(rows[i].background_loss, b, rel_tol=1e-9)
+def plain_losses(texts, target, background):
+    """Losses of each text by two dictionaries of counts."""
+    split = lambda t: re.findall(r"[^ \t-\r]+", (t or "").lower())
+
+    def counts(ts):
+        big, uni, n = Counter(), Counter(), 0
+        for w in map(split, ts):
+            if w:
+                n += 1
+                uni.update([*w, None])
+                big.update(zip([0, *w], [*w, None], strict=True))
+        return big, uni, n, uni.total()
+
+    models = counts(background), counts(target)
+    every = sum(m[3] for m in models)
+    for t in texts:
+        w, told = split(t), []
+        for big, uni, n, total in models:
+            loss = 0.0
+            for v, x in zip([0, *w], [*w, None], strict=True):
+                pooled = max(1, sum(m[1][x] for m in models)) / (every + 1)
+                u = (uni[x] + cross_entropy.PRIOR_POOLED * pooled) / (total + cross_entropy.PRIOR_POOLED)
+                before = n if v == 0 else uni[v]
+                loss -= math.log((big[v, x] + cross_entropy.PRIOR_UNIGRAM * u) / (before + cross_entropy.PRIOR_UNIGRAM))
+            told.append(loss / (len(w) + 1) if w else None)
+        yield len(w), *told
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 30, 4000])
+@pytest.mark.parametrize("own", [True, False])
+def test_cross_entropy(spark, bucket_bytes, own):
+    target = [words(200, 50 + i, 40) for i in range(5)] + [None, "of the of the"]
+    texts = ODD + [words(100, i, 400) for i in range(20)] + ["of the " * 300, "of the Of THE", "  of the  ", words(100, 50, 40), None, "of the " * 40]
+    background = texts if own else [words(100, 70 + i, 300) for i in range(30)] + ["the of the"] * 50
+    docs = table(spark, texts).withColumn("doc_id", F.expr("IF(doc_id = 5, NULL, doc_id)")).repartition(3)
+    docs = docs.unionByName(docs.where("doc_id = 12"))
+    back = None if own else table(spark, background).repartition(2)
+    rows = cross_entropy.scores(docs, table(spark, target), back, bucket_bytes=bucket_bytes).collect()
+    assert len(rows) == len(texts) + 1 and sum(r.doc_id == 12 for r in rows) == 2
+    want = list(plain_losses(texts, target, [*background, texts[12]] if own else background))
+    for r in rows:
+        n, b, t = want[5 if r.doc_id is None else r.doc_id]
+        assert r.n_tokens == n
+        if n:
+            assert math.isclose(r.target_loss, t, rel_tol=1e-9) and math.isclose(r.background_loss, b, rel_tol=1e-9)
+            assert math.isclose(r.difference, t - b, abs_tol=1e-9)
         else:
-            assert rows[i].difference is None
-    assert rows[len(texts) - 1].difference < rows[len(texts) - 2].difference
-    assert cross_entropy.scores(empty(spark), table(spark, target)).count() == 0
+            assert r.target_loss is r.background_loss is r.difference is None
+
+
+def test_cross_entropy_of_many_words(spark):
+    texts = [" ".join(f"x{k}" for k in range(i * 1000, i * 1000 + 1500)) for i in range(90)]
+    rows = {r.doc_id: r for r in cross_entropy.scores(table(spark, texts), table(spark, texts[:1]), bucket_bytes=100_000).collect()}
+    for i, (n, b, t) in enumerate(plain_losses(texts, texts[:1], texts)):
+        assert rows[i].n_tokens == n and math.isclose(rows[i].background_loss, b, rel_tol=1e-9) and math.isclose(rows[i].target_loss, t, rel_tol=1e-9)
+    assert cross_entropy.scores(empty(spark), table(spark, texts[:1])).count() == 0
+    assert cross_entropy.scores(empty(spark), empty(spark)).count() == 0
+    assert all(r.difference is not None for r in cross_entropy.scores(table(spark, texts[:2]), empty(spark)).collect())

@@ -4,14 +4,15 @@ Two bigram models of one shared vocabulary and one smoothing, one of target text
 of background texts.  A document's score is its mean loss under the target less its mean
 loss under the background: the lower, the more the document is like the target.
 
-Bigram counts stay distributed.  Each batch of documents is turned once into bigram codes,
-dealt by hash into buckets; a bucket's counts are summed and then meet its documents' codes
-again, in parts small enough to stream, so no task holds all documents of a frequent bigram.
+The models hold every word and every bigram, as 64-bit hashes, and stay distributed: each
+batch of texts sends its bigrams to buckets by their word, a bucket counts what all batches
+sent and returns the losses of each batch's documents.  A word too frequent for one bucket
+is dealt by bigram, with its count known beforehand; the few bigrams as frequent as that are
+counted beforehand and scored where the texts are read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -19,309 +20,351 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidegate.llm.common import bounded_batches, materialize, text_or_empty
+from tidegate.llm.common import bounded_batches, text_or_empty
 
-#: The models' vocabulary: the most frequent background words, at most (codes fit 16 bits); all other words are one unknown word.
-VOCABULARY = 65_535
-#: Pseudo-count of the unigram estimate in a bigram estimate, and of the uniform one in that.
-PRIOR_UNIGRAM, PRIOR_UNIFORM = 8.0, 1.0
-#: Bytes of stored text for each bucket of bigrams, and how many parts a bucket's documents are dealt into.
-BUCKET_BYTES, PARTS = 64 << 20, 4
-#: Distinct words a task counts before it hands them on.
-COUNTED_WORDS = 500_000
+#: Pseudo-count of the unigram estimate in a bigram estimate, and of the pooled one in that.
+PRIOR_UNIGRAM, PRIOR_POOLED = 1.0, 1.0
+#: Bytes of text for each bucket, and the part of a bucket that one word or bigram may be before it is dealt apart.
+BUCKET_BYTES, HEAVY_PART = 48 << 20, 1 / 16
+#: Hashes of a text's end, which is predicted like a word, and of its start.
+_END, _START = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
-def _packed(codes, counts) -> tuple[bytes, bytes]:
-    """Sorted codes as differences and small counts, deflated."""
+def tokens(texts):
+    """(hash of each distinct word, word numbers of all texts, words of each text) of an Arrow array of strings.
+
+    Words are runs of anything but the six ASCII gaps, lower-cased letter by letter.  A text
+    that has words is followed by its end; the last two numbers are the end and the start.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+    import xxhash
+
+    cut = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+    coded = cut.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    number = coded.indices.to_numpy()
+    sizes = pc.list_value_length(cut).to_numpy().astype(np.int64)
+    if "" in words:  # beside a leading or trailing gap
+        real = number != words.index("")
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        number = number[real]
+    some = np.flatnonzero(sizes)
+    number = np.insert(number.astype(np.int64), np.cumsum(sizes)[some], len(words))
+    hashes = np.array([*map(xxhash.xxh3_64_intdigest, words), _END, _START], dtype=np.uint64)
+    return hashes, number, sizes
+
+
+def _pairs(hashes, number, sizes) -> tuple:
+    """(text, number of the word before, bigram's hash) of each token."""
     import numpy as np
 
-    return zlib.compress(np.diff(codes, prepend=np.uint32(0)).astype("<u4"), 1), zlib.compress(np.ascontiguousarray(counts), 1)
+    spans = np.where(sizes > 0, sizes + 1, 0)
+    before = np.empty(len(number), np.int64)
+    before[1:] = number[:-1]
+    ends = np.cumsum(spans)
+    before[(ends - spans)[spans > 0]] = len(hashes) - 1
+    x = hashes[before] * np.uint64(0xD6E8FEB86659FD93) + hashes[number]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xA0761D6478BD642F)
+    return np.repeat(np.arange(len(sizes)), spans), before, x ^ (x >> np.uint64(32))
 
 
-def _unpacked(codes: bytes, counts: bytes, kind: str) -> tuple:
+def _place(keys, asked):
+    """(place in sorted ``keys``, whether it is there) of each asked key."""
     import numpy as np
 
-    return np.cumsum(np.frombuffer(zlib.decompress(codes), "<u4"), dtype=np.uint32), np.frombuffer(zlib.decompress(counts), kind)
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.searchsorted(keys, asked).clip(0, len(keys) - 1)
+    return at, keys[at] == asked
+
 
+def _frequent_somewhere(texts: DataFrame, share: float) -> DataFrame:
+    """(kind, key) of words (0) and bigrams (1) that are ``share`` of some batch: all that are of the whole, and some more."""
 
-def words(text: str) -> list[str]:
-    return text.lower().split()
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
+        for b in batches:
+            hashes, number, sizes = tokens(b.column("text"))
+            _, before, bigram = _pairs(hashes, number, sizes)
+            often = np.bincount(number, minlength=len(hashes)) >= max(1.0, share * len(number))
+            seen, n = np.unique(bigram[often[number] & (often[before] | (before == len(hashes) - 1))], return_counts=True)
+            for kind, keys in ((0, hashes[often]), (1, seen[n >= share * len(number)])):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64))], names=["kind", "key"])
 
-def by_size(texts: list[str], most: int = 4_000_000):
-    """Ranges of a batch of at most ``most`` characters (or one text)."""
-    at, held = 0, 0
-    for k, t in enumerate(texts):
-        if k > at and held + len(t) > most:
-            yield at, k
-            at, held = k, 0
-        held += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+    return texts.select("text").mapInArrow(run, "kind int, key long").distinct()
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over whole texts, summed by batch before the exchange."""
+def _counted(texts: DataFrame, asked: dict) -> DataFrame:
+    """(kind, key, n0, n1): counts on either side of the asked words (0) and bigrams (1); kinds 2 and 3 are all tokens and all texts."""
 
     def run(batches: Iterator) -> Iterator:
-        from collections import Counter
-
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        found: Counter = Counter()
+        sums = {k: np.zeros((len(keys), 2), np.int64) for k, keys in asked.items()}
+        total, n_texts = np.zeros(2, np.int64), np.zeros(2, np.int64)
+        for b in batches:
+            for side in (0, 1):
+                part = b.filter(pc.equal(b.column("side"), side))
+                if not len(part):
+                    continue
+                hashes, number, sizes = tokens(part.column("text"))
+                total[side] += len(number)
+                n_texts[side] += np.count_nonzero(sizes)
+                at, known = _place(asked[0], hashes)
+                sums[0][at[known], side] += np.bincount(number, minlength=len(hashes))[known]
+                if len(asked[1]):
+                    often = known.copy()
+                    often[-1] = True
+                    _, before, bigram = _pairs(hashes, number, sizes)
+                    at, known = _place(asked[1], bigram[often[number] & often[before]])
+                    sums[1][:, side] += np.bincount(at[known], minlength=len(asked[1]))
+        rows = [(k, keys, sums[k]) for k, keys in asked.items()] + [(2, np.zeros(1, np.uint64), total[None]), (3, np.zeros(1, np.uint64), n_texts[None])]
+        for kind, keys, n in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], names=["kind", "key", "n0", "n1"])
+
+    counts = texts.select("side", "text").mapInArrow(run, "kind int, key long, n0 long, n1 long")
+    return counts.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _known_beforehand(texts: DataFrame, share: float) -> dict:
+    """Totals and the counts of what is too frequent for one bucket: at most 1/share words and as many bigrams."""
+    import numpy as np
 
-        def told():
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+    asked = {0: [], 1: []}
+    if share < 1:
+        for r in _frequent_somewhere(texts, share).collect():
+            asked[r["kind"]].append(r["key"] % 2**64)
+    asked = {k: np.array(sorted(v), dtype=np.uint64) for k, v in asked.items()}
+    counts = _counted(texts, asked)
+    totals = {r["kind"]: (r["n0"], r["n1"]) for r in counts.where("kind > 1").collect()}
+    found = {"total": np.array(totals.get(2, (0, 0)), float), "texts": np.array(totals.get(3, (0, 0)), float)}
+    least = share * found["total"].sum()
+    kept = sorted((r["kind"], r["key"] % 2**64, r["n0"], r["n1"]) for r in counts.where((F.col("kind") < 2) & (F.col("n0") + F.col("n1") >= F.lit(least))).collect())
+    for kind, name in ((0, "words"), (1, "bigrams")):
+        found[name] = np.array([k[1] for k in kept if k[0] == kind], dtype=np.uint64), np.array([k[2:] for k in kept if k[0] == kind], dtype=float).reshape(-1, 2)
+    return found
+
+
+def _loss(bigrams, words, total):
+    """Losses of tokens, both sides, but for the count of what stands before: from counts of the bigram and of the word."""
+    import numpy as np
 
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                found.update(words(t))
-            if len(found) > COUNTED_WORDS:
-                yield told()
-                found.clear()
-        yield told()
+    pooled = np.maximum(words.sum(1, keepdims=True), 1) / (total.sum() + 1)
+    unigram = (words + PRIOR_POOLED * pooled) / (total + PRIOR_POOLED)
+    return -np.log(bigrams + PRIOR_UNIGRAM * unigram)
 
-    return texts.select(text_or_empty(texts["text"]).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _by_text(text, values, n: int):
+    import numpy as np
 
-def frequent_words(counts: DataFrame, most: int) -> dict[str, int]:
-    """Codes from 1 of the words at least as frequent as leaves at most ``most`` of them.
+    return np.stack([np.bincount(text, weights=values[:, k], minlength=n) for k in (0, 1)], axis=1)
 
-    The least frequency comes from how many words have each, so no task or driver sorts
-    more words than it keeps; words tied at the limit are all in or all out.
-    """
-    counts = materialize(counts, "word-counts")
-    least, held = None, 0
-    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).toLocalIterator():
-        held += r["k"]
-        if held > most:
-            break
-        least = r["n"]
-    kept = [] if least is None else counts.where(F.col("n") >= least).collect()  # at most the vocabulary
-    return {r["word"]: k + 1 for k, r in enumerate(sorted(kept, key=lambda r: (-r["n"], r["word"])))}
-
-
-def _codes(texts: DataFrame, code: dict[str, int], buckets: int) -> DataFrame:
-    """(bucket, part, rows, ids, lengths, codes): for each batch and bucket its documents' bigrams of that bucket.
-
-    A bigram's code is the code of the word before it (0: none, the text's start) times
-    2^16 plus its own; unknown words share the last code.  Documents are told by bucket 0
-    with their ids, even without a bigram there, so that every row is scored.
+
+_BYTES = ("words", "spread", "codes", "docs", "sizes", "places")
+
+
+def _cells(texts: DataFrame, known, buckets: int) -> DataFrame:
+    """One row for each batch, role and bucket: the bucket's words, bigrams and documents; and one with the documents' ids.
+
+    words, spread: hashes, and how many of ``codes`` (bigram hashes) each has.  docs, sizes,
+    places: documents, how many tokens each has here, and each token's place in ``codes``;
+    of texts that aren't scored, places are counts of the codes.
     """
-    unknown = len(code) + 1
-    lookup = texts.sparkSession.sparkContext.broadcast(code)  # at most VOCABULARY words
-    keys = T.ArrayType(texts.schema["id"].dataType)
+    key = texts.schema["id"].dataType
     schema = T.StructType([
-        T.StructField("bucket", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("rows", T.BinaryType()),
-        T.StructField("ids", keys), T.StructField("lengths", T.BinaryType()), T.StructField("codes", T.BinaryType()),
+        T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("side", T.IntegerType()), T.StructField("scored", T.BooleanType()),
+        *[T.StructField(c, T.BinaryType()) for c in _BYTES], T.StructField("ids", T.ArrayType(key)),
     ])
     kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
 
-        get = lookup.value.get
-        turn = 0
+        hot, hot_n = known.value["words"]
+        heavy, heavy_n = known.value["bigrams"]
+        total = known.value["total"]
+        turn = TaskContext.get().partitionId() << 32
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in by_size(texts, 8_000_000):
-                pairs = [np.array([0, *[get(w, unknown) for w in words(t)]], dtype=np.uint32) for t in texts[lo:hi]]
-                sizes = [len(p) - 1 for p in pairs]
-                codes = np.concatenate([(p[:-1] << np.uint32(16)) | p[1:] for p in pairs])
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                bucket = (codes * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(buckets)
-                order = np.argsort(bucket, kind="stable")
-                codes, doc = codes[order], doc[order]
-                ends = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
-                row, ids = np.asarray(b.column("row").slice(lo, hi - lo)), b.column("id").slice(lo, hi - lo).to_pylist()
-                out: list[list] = [[] for _ in kinds]
-                for k in range(buckets):
-                    n = np.bincount(doc[ends[k] : ends[k + 1]], minlength=len(sizes))
-                    kept = np.flatnonzero(n) if k else np.arange(len(sizes))
-                    if len(kept):
-                        new = (k, turn % PARTS, row[kept].astype("<i8").tobytes(), None if k else ids, n[kept].astype("<u4").tobytes(), codes[ends[k] : ends[k + 1]].astype("<u4").tobytes())
-                        for c, v in zip(out, new, strict=True):
-                            c.append(v)
+            for side, scored in ((0, True), (0, False), (1, False), (-1, True)):
+                mine = pc.and_(pc.equal(b.column("side"), side), pc.equal(b.column("scored"), scored))
+                part = b.filter(mine)
+                if not len(part):
+                    continue
                 turn += 1
+                hashes, number, sizes = tokens(part.column("text"))
+                text, before, bigram = _pairs(hashes, number, sizes)
+                hot_at, is_hot = _place(hot, hashes)
+                out: list[list] = [[] for _ in kinds]
+
+                def tell(row, out=out):
+                    for c, v in zip(out, row, strict=True):
+                        c.append(v)
+
+                here = np.zeros(len(number), bool)
+                both = np.flatnonzero(is_hot[number]) if len(heavy) else np.empty(0, int)
+                at, found = _place(heavy, bigram[both])
+                here[both[found]] = True
+                if scored:
+                    sums = np.zeros((len(sizes), 2))
+                    if found.any():
+                        own = both[found]
+                        sums += _by_text(text[own], _loss(heavy_n[at[found]], hot_n[hot_at[number[own]]], total), len(sizes))
+                    own = np.flatnonzero(is_hot[number] & (number < len(hashes) - 2))
+                    if len(own):
+                        sums += _by_text(text[own], np.log(hot_n + PRIOR_UNIGRAM)[hot_at[number[own]]], len(sizes))
+                    ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column("id"))
+                    tell((turn % buckets, turn, side, True, None, None, None, sizes.astype("<u4").tobytes(), sums.tobytes(), None, ids[0]))
+                # Distinct bigrams by bucket, word and hash.
+                left = np.flatnonzero(~here)
+                codes, first, place = np.unique(bigram[left], return_index=True, return_inverse=True)
+                word = number[left[first]]
+                bucket = (np.where(is_hot[word], codes, hashes[word]) >> np.uint64(7)) % np.uint64(buckets)
+                order = np.lexsort((word, bucket))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                codes, word, bucket, place = codes[order], word[order], bucket[order].astype(np.int64), rank[place]
+                ends = np.searchsorted(bucket, np.arange(buckets + 1))
+                of = bucket[place]
+                dealt = np.argsort(of.astype(np.min_scalar_type(buckets)), kind="stable")
+                cuts = np.searchsorted(of[dealt], np.arange(buckets + 1))
+                for k in np.flatnonzero(np.diff(ends)).tolist():
+                    lo, hi = ends[k], ends[k + 1]
+                    turns = np.flatnonzero(np.diff(word[lo:hi], prepend=-1))
+                    told = (hashes[word[lo:hi][turns]].tobytes(), np.diff(turns, append=hi - lo).astype("<u4").tobytes(), codes[lo:hi].tobytes())
+                    own = dealt[cuts[k] : cuts[k + 1]]
+                    places = place[own] - lo
+                    if scored:
+                        t = text[left[own]]
+                        starts = np.flatnonzero(np.diff(t, prepend=-1))
+                        told += (t[starts].astype("<u4").tobytes(), np.diff(starts, append=len(t)).astype("<u4").tobytes(), places.astype("<u2" if hi - lo <= 1 << 16 else "<u4").tobytes())
+                    else:
+                        told += (None, None, np.bincount(places, minlength=hi - lo).astype("<u4").tobytes())
+                    tell((k, turn, side, scored, *told, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
-def _rows(texts: DataFrame, key: str | None) -> DataFrame:
-    return texts.select(
-        F.monotonically_increasing_id().alias("row"),
-        (texts[key] if key else F.lit(None).cast("long")).alias("id"),
-        text_or_empty(texts["text"]).alias("text"),
-    )
-
-
-def _add(codes, counts):
-    """Distinct codes, sorted, and the sums of their rows of counts."""
-    import numpy as np
-
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.empty(0, int)
-    return codes[first], (np.add.reduceat(counts, first) if len(first) else counts)
+def _answers(cells: DataFrame, known, buckets: int) -> DataFrame:
+    """(batch, bucket, docs, sums, ids): summed losses of a batch's documents in each bucket; a batch's own row has bucket -1.
 
-
-def _partial(coded: DataFrame, side: int) -> DataFrame:
-    """(bucket, codes, counts): bigram counts by batch, packed; counts has a column for each side."""
+    A task holds one bucket, which is bounded by BUCKET_BYTES of text.
+    """
+    fields = [cells.schema["batch"], cells.schema["bucket"], T.StructField("docs", T.BinaryType()), T.StructField("sums", T.BinaryType()), cells.schema["ids"]]
+    schema = T.StructType(fields)
+    kinds = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
+        cells = []
         for b in batches:
-            found: dict[int, list[bytes]] = {}
-            for k, raw in zip(b.column("bucket").to_pylist(), b.column("codes").to_pylist(), strict=True):
-                found.setdefault(k, []).append(raw)
-            out = []
-            for k, raws in found.items():
-                codes, n = np.unique(np.frombuffer(b"".join(raws), "<u4"), return_counts=True)
-                out.append((k, *_packed(codes, n.astype("<u4"))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "codes", "counts"])
-
-    return coded.select("bucket", "codes").mapInArrow(run, "bucket int, codes binary, counts binary").withColumn("side", F.lit(side))
-
-
-def _model(parts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, codes, counts): one row a bucket; counts are pairs (background, target), 64-bit.
-
-    Parts stream in by bucket and are summed as they come, so a task holds a bucket's
-    distinct bigrams.
-    """
+            for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "batch", "side", "scored", *_BYTES)), b.column("ids"), strict=True):
+                if row[6] is None:  # a batch's own row
+                    yield told([(row[1], -1, row[7], row[8], row[10])])
+                else:
+                    cells.append(row[:10])
+        if not cells:
+            return
+        hot, hot_n = known.value["words"]
+        total = known.value["total"]
+        read = lambda c, kind: [np.frombuffer(x[c], kind) for x in cells]
+        words, spread, codes = read(4, "<u8"), [x.astype(np.int64) for x in read(5, "<u4")], read(6, "<u8")
+        places = [np.frombuffer(x[9], ("<u2" if len(c) <= 1 << 16 else "<u4") if x[3] else "<u4") for x, c in zip(cells, codes, strict=True)]
+        counts = [np.bincount(p, minlength=len(c)) if x[3] else p for x, p, c in zip(cells, places, codes, strict=True)]
+        own_words, word_at = np.unique(np.concatenate(words), return_inverse=True)
+        own_codes, code_at = np.unique(np.concatenate(codes), return_inverse=True)
+        word_n, code_n = np.zeros((len(own_words), 2)), np.zeros((len(own_codes), 2))
+        w = c = 0
+        for x, ws, s, cs, n in zip(cells, words, spread, codes, counts, strict=True):
+            if x[2] >= 0:  # a cell's codes are distinct, and so are its words
+                code_n[code_at[c : c + len(cs)], x[2]] += n
+                word_n[word_at[w : w + len(ws)], x[2]] += np.add.reduceat(n, np.cumsum(s) - s)
+            w, c = w + len(ws), c + len(cs)
+        at, is_hot = _place(hot, own_words)
+        word_n[is_hot] = hot_n[at[is_hot]]
+        # As the word before the next one; of frequent words that is summed where the texts are read, and an end has none.
+        context = np.where((is_hot | (own_words == np.uint64(_END)))[:, None], 0, np.log(word_n + PRIOR_UNIGRAM))
+        w = c = 0
+        for x, ws, s, cs, p in zip(cells, words, spread, codes, places, strict=True):
+            if x[3]:
+                of = np.repeat(word_at[w : w + len(ws)], s)
+                loss = _loss(code_n[code_at[c : c + len(cs)]], word_n[of], total) + context[of]
+                n = np.frombuffer(x[8], "<u4").astype(np.int64)
+                yield told([(x[1], x[0], x[7], np.add.reduceat(loss[p], np.cumsum(n) - n).tobytes(), None)])
+            w, c = w + len(ws), c + len(cs)
+
+    return cells.repartitionById(buckets, F.col("bucket")).mapInArrow(run, schema)
+
+
+def _summed(answers: DataFrame, known) -> DataFrame:
+    """(doc_id, n_tokens, target, background) of each document of each batch."""
+    key = answers.schema["ids"].dataType.elementType
+    schema = T.StructType([T.StructField("doc_id", key), T.StructField("n_tokens", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("background", T.DoubleType())])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        bucket, codes, counts, wait, held = None, None, None, [], 0
-
-        def merged():
-            return _add(np.concatenate([codes, *(c for c, _ in wait)]), np.concatenate([counts, *(n for _, n in wait)]))
+        start = np.log(known.value["texts"] + PRIOR_UNIGRAM)
+        ids = sizes = sums = None
 
         def told():
-            c, n = merged()
-            raw = _packed(c, n.astype("<i8"))
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([raw[0]], pa.binary()), pa.array([raw[1]], pa.binary())], names=["bucket", "codes", "counts"])
+            background, target = (sums + start).T
+            return pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(target.copy()), pa.array(background.copy())], names=schema.names)
 
         for b in batches:
-            for k, side, raw, ns in zip(*(b.column(c).to_pylist() for c in ("bucket", "side", "codes", "counts")), strict=True):
-                if k != bucket:
-                    if bucket is not None:
+            for bucket, docs, raw, own in zip(b.column("bucket").to_pylist(), b.column("docs").to_pylist(), b.column("sums").to_pylist(), b.column("ids"), strict=True):
+                part = np.frombuffer(raw, float).reshape(-1, 2)
+                if bucket < 0:
+                    if ids is not None:
                         yield told()
-                    bucket, codes, counts, wait, held = k, np.empty(0, "<u4"), np.empty((0, 2), np.int64), [], 0
-                c, own = _unpacked(raw, ns, "<u4")
-                n = np.zeros((len(c), 2), np.int64)
-                n[:, side] = own
-                wait.append((c, n))
-                held += len(c)
-                if held > max(2_000_000, len(codes)):
-                    (codes, counts), wait, held = merged(), [], 0
-        if bucket is not None:
+                    ids, sizes, sums = own.values, np.frombuffer(docs, "<u4").astype(np.int64), part.copy()
+                else:
+                    sums[np.frombuffer(docs, "<u4")] += part
+        if ids is not None:
             yield told()
 
-    dealt = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "bucket int, codes binary, counts binary")
-
-
-def _totals(model: DataFrame, n_codes: int):
-    """Counts of each code as a word and as a context, (codes, 4): background and target of either; sums of small rows."""
-    import numpy as np
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            for raw, ns in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                c, n = _unpacked(raw, ns, "<i8")
-                n = n.reshape(-1, 2)
-                sums = [np.bincount(x, weights=n[:, k], minlength=n_codes) for x in (c & 0xFFFF, c >> 16) for k in (0, 1)]
-                kept = np.flatnonzero(sum(sums))
-                yield pa.RecordBatch.from_arrays([pa.array(kept), *(pa.array(s[kept].astype(np.int64)) for s in sums)], names=["code", "a", "b", "c", "d"])
-
-    out = np.zeros((n_codes, 4))
-    sums = model.select("codes", "counts").mapInArrow(run, "code long, a long, b long, c long, d long").groupBy("code").agg(*[F.sum(x).alias(x) for x in "abcd"])
-    for r in sums.collect():  # at most one row a code
-        out[r["code"]] = r["a"], r["b"], r["c"], r["d"]
-    return out
-
-
-def _losses(coded: DataFrame, model: DataFrame, totals, buckets: int) -> DataFrame:
-    """(row, id, known, n, target, background): a document's losses in one bucket."""
-    import numpy as np
-
-    n_codes = len(totals)
-    # log of prior times unigram estimate, and of context total plus prior: background and target.
-    whole = totals[:, :2].sum(0)
-    unigram = (totals[:, :2] + PRIOR_UNIFORM) / (whole + PRIOR_UNIFORM * n_codes) * PRIOR_UNIGRAM
-    context = np.log(totals[:, 2:] + PRIOR_UNIGRAM)
-    tables = coded.sparkSession.sparkContext.broadcast((unigram, context))  # as long as the vocabulary
-    key = coded.schema["ids"].dataType.elementType
-    schema = T.StructType([
-        T.StructField("row", T.LongType()), T.StructField("id", key), T.StructField("n", T.LongType()),
-        T.StructField("background", T.DoubleType()), T.StructField("target", T.DoubleType()),
-    ])
-    kind = to_arrow_type(key)
+    return answers.repartition("batch").sortWithinPartitions("batch", "bucket").mapInArrow(run, schema)
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
 
-        unigram, context = tables.value
-        bucket, known, counts = None, None, None
-        for b in batches:
-            for k, is_model, rows, ids, lengths, raw, ns in zip(*(b.column(c).to_pylist() for c in ("bucket", "is_model", "rows", "ids", "lengths", "codes", "counts")), strict=True):
-                if is_model:
-                    bucket, (known, counts) = k, _unpacked(raw, ns, "<i8")
-                    counts = counts.reshape(-1, 2)
-                    continue
-                codes, n = np.frombuffer(raw, "<u4"), np.frombuffer(lengths, "<u4").astype(np.int64)
-                seen = np.zeros((len(codes), 2))
-                if k == bucket and len(known) and len(codes):
-                    distinct, back = np.unique(codes, return_inverse=True)
-                    at = np.searchsorted(known, distinct).clip(0, len(known) - 1)
-                    seen = np.where((known[at] == distinct)[:, None], counts[at], 0)[back]
-                loss = context[codes >> 16] - np.log(seen + unigram[codes & 0xFFFF])
-                total = np.concatenate((np.zeros((1, 2)), np.cumsum(loss, axis=0)))
-                ends = np.cumsum(n)
-                sums = total[ends] - total[ends - n]
-                told = pa.array([None] * len(n) if ids is None else ids, kind)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rows, "<i8")), told, pa.array(n), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy())], names=schema.names)
-
-    none = F.lit(None).cast("binary")
-    parts = coded.select("bucket", "part", F.lit(False).alias("is_model"), "rows", "ids", "lengths", "codes", none.alias("counts"))
-    models = model.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(True).alias("is_model"), none.alias("rows"), F.lit(None).cast(coded.schema["ids"].dataType).alias("ids"), none.alias("lengths"), "codes", "counts")
-    dealt = parts.unionByName(models).repartition(buckets * PARTS, "bucket", "part").sortWithinPartitions("bucket", "part", F.desc("is_model"))
-    return dealt.mapInArrow(run, schema)
-
-
-def scores(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, vocabulary: int = VOCABULARY) -> DataFrame:
+def scores(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) for each row of ``docs``.
 
     target, background: tables with a ``text`` column (background: ``docs`` itself unless
-    given).  Losses are nats a word, null for texts of no words (null, empty).  Repeated
-    rows are scored each; null doc_ids like others; an empty table gives none.  Without
-    target text the target's model is the uniform one.
+    given).  Losses are nats an event, the events being a text's words and its end; null for
+    texts of no words (null, empty, gaps alone), which are in no model either.  A bigram's
+    estimate is backed by its word's, and that by the word's in both models' texts pooled;
+    all words in neither are one unknown word of count 1.  Repeated rows are scored each;
+    null doc_ids like others; other columns are left out; an empty table gives none.
     """
-    back = bounded_batches(docs) if background is None else background
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(4, min(4096, size // BUCKET_BYTES + 1))
-    code = frequent_words(word_counts(back), min(vocabulary, VOCABULARY - 1))
-    coded = materialize(_codes(_rows(docs, "doc_id"), code, buckets), "bigrams")
-    other = coded if background is None else _codes(_rows(back, None), code, buckets)
-    parts = _partial(other, 0).unionByName(_partial(_codes(_rows(target, None), code, buckets), 1))
-    model = materialize(_model(parts, buckets), "bigram-model")
-    totals = _totals(model, len(code) + 2)
+    bounded_batches(docs)
+    key = docs.schema["doc_id"].dataType
+    rows = lambda df, side, scored, id_: df.select(F.lit(side).alias("side"), F.lit(scored).alias("scored"), id_.alias("id"), text_or_empty(df["text"]).alias("text"))
+    none = F.lit(None).cast(key)
+    texts = rows(target, 1, False, none)
+    if background is None:
+        texts = texts.unionByName(rows(docs, 0, True, docs["doc_id"]))
+    else:
+        texts = texts.unionByName(rows(background, 0, False, none)).unionByName(rows(docs, -1, True, docs["doc_id"]))
+    modelled = texts.where("side >= 0")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + size // bucket_bytes
+    found = _known_beforehand(modelled, HEAVY_PART / buckets if buckets > 1 else 1.0)
+    known = docs.sparkSession.sparkContext.broadcast(found)  # at most 16 words and 16 bigrams a bucket
+    sums = _summed(_answers(_cells(texts, known, buckets), known, buckets), known)
     n = F.col("n_tokens")
-    return (
-        _losses(coded, model, totals, buckets)
-        .groupBy("row")
-        .agg(F.max("id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("target").alias("_t"), F.sum("background").alias("_b"))
-        .select("doc_id", "n_tokens", F.when(n > 0, F.col("_t") / n).alias("target_loss"), F.when(n > 0, F.col("_b") / n).alias("background_loss"))
-        .withColumn("difference", F.col("target_loss") - F.col("background_loss"))
-    )
+    return sums.select(
+        "doc_id", "n_tokens", F.when(n > 0, F.col("target") / (n + 1)).alias("target_loss"), F.when(n > 0, F.col("background") / (n + 1)).alias("background_loss")
+    ).withColumn("difference", F.col("target_loss") - F.col("background_loss"))
