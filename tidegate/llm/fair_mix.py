@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import materialize, n_words, null_coded, row_key
+from tidegate.llm.common import materialize, n_words, null_coded, row_key, whole_row
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -119,6 +119,6 @@ def fair_mix(docs: DataFrame, **options) -> DataFrame:
     no words are left out: the mix takes none of theirs.
     """
     taken = fair_schedule(docs, **options).groupBy("_k1", "_k2").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    keyed = docs.select("*", *row_key(docs)).dropDuplicates(["_k1", "_k2"])
+    keyed = docs.select(whole_row(docs), *row_key(docs)).dropDuplicates(["_k1", "_k2"])
     out = keyed.join(taken, ["_k1", "_k2"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*docs.columns)
+    return out.select("row.*")

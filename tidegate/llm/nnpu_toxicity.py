@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm.common import bounded_batches, text_or_empty
+from tidegate.llm.common import bounded_batches, columns_of, quoted, text_or_empty, unused
 
 #: Bounds of the training sample, met on average (documents are drawn by a hash of doc_id).
 MAX_POSITIVE = 3000
@@ -173,18 +173,24 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
 
 
 def with_scores(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
-    """``docs`` with the model's score of each whole text (null: empty) in a further column."""
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != score), T.StructField(score, T.DoubleType())])
-    rest = [f.name for f in schema.fields[:-1]]
+    """``docs`` with the model's score of each whole text (null: empty) in a further column, which replaces one of that name.
+
+    Each row is scored by itself; columns are kept whatever their names; an empty table
+    gives none.
+    """
+    rest = docs.select(*[docs[quoted(c)] for c in docs.columns if c.lower() != score.lower()], docs["text"].cast("string").alias(unused(docs, "text_to_score")))
+    *kept, text = columns_of(rest)
+    schema = T.StructType([T.StructField("row", T.StructType(rest.schema.fields[:-1]), False), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            told = pa.array([model.score(t or "") for t in b.column("__text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], told], names=[*rest, score])
+            told = pa.array([model.score(t or "") for t in b.column(1).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), told], names=schema.names)
 
-    return bounded_batches(docs).select(*rest, docs["text"].cast("string").alias("__text")).mapInArrow(run, schema)
+    scored = bounded_batches(rest).select(F.struct(*kept).alias("row"), text.alias("text")).mapInArrow(run, schema)
+    return scored.select("row.*", F.col("score").alias(score))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:

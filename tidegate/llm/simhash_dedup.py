@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.llm.common import bounded_batches, materialize, row_key
+from tidegate.llm.common import bounded_batches, materialize, row_key, whole_row
 from tidegate.llm.components import components
 
 WORDS = 4
@@ -247,8 +247,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id's, and of its repeated rows one."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
     chosen = near_duplicates(docs, **options).groupBy("root").agg(F.min(row).alias("r")).select("r._k1", "r._k2")
-    keyed = docs.select("*", *row_key(docs)).join(chosen, ["_k1", "_k2"], "left_semi")
-    return keyed.dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    keyed = docs.select(whole_row(docs), *row_key(docs)).join(chosen, ["_k1", "_k2"], "left_semi")
+    return keyed.dropDuplicates(["_k1", "_k2"]).select("row.*")
 
 
 def hexed(fp) -> Column:
