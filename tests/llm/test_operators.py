@@ -229,26 +229,49 @@ def test_mixture(spark):
 # 6
 
 
-def test_search(spark):
+@pytest.mark.parametrize("block", [1 << 15, 100])
+def test_search(spark, block):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((900, 8)) * (rng.random((900, 1)) < 0.7)  # many zero vectors: ties
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [1.0, None]), (902, [float("nan")]), (903, [float("inf")]), (None, [1.0]), (5, [float(v) for v in x[5]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = dual_tree.search(df.select("vec_id", dual_tree.scaled(F.col("embedding")).alias("v")), F.pmod("vec_id", F.lit(100)) == 0).collect()
+    vectors = df.select("vec_id", dual_tree.scaled(F.col("embedding")).alias("v"))
+    got = dual_tree.search(vectors, F.pmod("vec_id", F.lit(100)) == 0, data_block=block, query_block=4).collect()
     ints = np.floor(1024 * x).astype(np.int64)
     want = [(q, k + 1, i, -s) for q in range(0, 900, 100) for k, (s, i) in enumerate(sorted((-int(v), i) for i, v in enumerate(ints @ ints[q]) if i != q)[:10])]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
-    assert dual_tree.search(df.where("false").select("vec_id", dual_tree.scaled(F.col("embedding")).alias("v")), F.col("vec_id") == 0).count() == 0
+    assert dual_tree.search(vectors.where("false"), F.col("vec_id") == 0).count() == 0
+    few = dual_tree.search(vectors.where("vec_id < 3"), F.col("vec_id") == 0).collect()
+    assert len(few) == 2
+    # Two vectors of one vec_id are two queries.
+    twins = vectors.where("vec_id < 50").unionByName(vectors.where("vec_id = 7").withColumn("vec_id", F.lit(0).cast("long")))
+    assert Counter(r.query_id for r in dual_tree.search(twins, F.col("vec_id") == 0).collect()) == {0: 20}
+
+
+def test_search_leaves_cells_out(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.standard_normal((20, 6)) * 40
+    x = np.floor(1024 * (middles[rng.integers(0, 20, 6000)] + rng.standard_normal((6000, 6)))).astype(np.int64)
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, v array<long>")
+    told = spark.sparkContext.accumulator(0)
+    got = dual_tree.search(vectors, F.pmod("vec_id", F.lit(20)) == 0, 5, data_block=200, query_block=40, compared=told).collect()
+    want = [(q, k + 1, i, -s) for q in range(0, 6000, 20) for k, (s, i) in enumerate(sorted((-int(v), i) for i, v in enumerate(x @ x[q]) if i != q)[:5])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    assert 0 < told.value < 0.3 * 300 * 6000
 
 
 def test_trees_prune_exactly():
     rng = np.random.default_rng(1)
     middles = rng.integers(-3000, 3000, (40, 12))
-    data = (middles[rng.integers(0, 40, 3000)] + rng.integers(-40, 40, (3000, 12))).astype(np.float64)
-    s, who = dual_tree.top_k(data[:200], np.arange(200), data, np.arange(3000), 5)
-    for q in range(200):
-        want = sorted((-v, i) for i, v in enumerate(data @ data[q]) if i != q)[:5]
-        assert [(-a, b) for a, b in zip(s[q], who[q], strict=True)] == want
+    data = middles[rng.integers(0, 40, 3000)] + rng.integers(-40, 40, (3000, 12))
+    for x in (data, data * 100_000):  # beyond what doubles hold exactly too
+        s, who, compared = dual_tree.top_k(x[:200], np.arange(200), x, np.arange(3000), 5)
+        for q in range(200):
+            want = sorted((-int(v), i) for i, v in enumerate(x @ x[q]) if i != q)[:5]
+            assert [(-int(a), b) for a, b in zip(s[q], who[q], strict=True)] == want
+        assert compared < 0.3 * 200 * 3000
+    with pytest.raises(OverflowError):
+        dual_tree.top_k(data * 10**8, np.arange(3000), data * 10**8, np.arange(3000), 5)
 
 
 # 7

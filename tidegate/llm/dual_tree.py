@@ -1,9 +1,11 @@
 """Exact top-k by inner product with dual cover trees (after Curtin and Ram, 2014).
 
-Queries and data are dealt into blocks.  For each pair of blocks both get a cover tree;
-the trees are walked together.  A pair of nodes is left out if no vector of the one can
-score more with any query of the other than that group's worst k-th score so far, by the
-centres' product and the covering radii.
+Vectors are dealt into cells round sampled pivots, cells into blocks of bounded size.  A
+query first meets a block of its own cell, which gives it a k-th score to beat; then it
+goes to each cell whose ball can hold a better one.  Where a group of queries meets a block
+both get a cover tree, and the trees are walked together: a pair of nodes is left out if no
+vector of the one can reach, with any query of the other, that query's k-th score so far,
+by the centre's product and the covering radius.
 """
 
 from __future__ import annotations
@@ -12,11 +14,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegate.llm.common import materialize
+from tidegate.llm.common import bounded_batches, materialize
 
 LEAF = 48
-DATA_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors in one block and queries in one group, at most, on average.
+DATA_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 13
+#: Pivots, at most: what every task is told of the cells stays small.
+PIVOTS = 1024
 
 
 @dataclass
@@ -33,14 +39,27 @@ class Node:
 def cover_tree(x, points=None) -> Node:
     """Cover tree of the rows of ``x``: children are greedily chosen centres that cover a node's points at half its radius.
 
-    Children of few points are joined into leaves of LEAF points round the node's centre.
+    Children of few points are joined into leaves of LEAF points round their mean.
     """
     import numpy as np
 
     points = np.arange(len(x)) if points is None else points
+    return _node(x, points, *_ball(x, points))
+
+
+def _ball(x, points) -> tuple:
+    """(centre, distance of each point from it)."""
+    import numpy as np
+
     centre = x[points].mean(0)
-    away = np.sqrt(((x[points] - centre) ** 2).sum(1))
-    return _node(x, points, centre, away)
+    return centre, np.sqrt(((x[points] - centre) ** 2).sum(1))
+
+
+def _leaf(x, points) -> Node:
+    import numpy as np
+
+    centre, away = _ball(x, points)
+    return Node(centre, float(np.sqrt(centre @ centre)), float(away.max()), points, [])
 
 
 def _node(x, points, centre, away) -> Node:
@@ -63,114 +82,211 @@ def _node(x, points, centre, away) -> Node:
         left, near = left[~own], near[~own]
     if few:
         few = np.concatenate(few)
-        for at in range(0, len(few), LEAF):
-            own = few[at : at + LEAF]
-            middle = x[own].mean(0)
-            node.children.append(Node(middle, float(np.sqrt(middle @ middle)), float(np.sqrt(((x[own] - middle) ** 2).sum(1)).max()), own, []))
+        node.children += [_leaf(x, few[at : at + LEAF]) for at in range(0, len(few), LEAF)]
     return node
 
 
-def top_k(queries, query_ids, data, data_ids, k: int):
-    """(scores, ids), both (queries, k): highest inner products, ties to the smaller id, a query's own id left out.
+def _slack(most):
+    """An upper bound beyond any rounding; ``most`` is the product of the greatest norms it comes from."""
+    return 1e-9 * most + 1e-3
+
 
-    Missing places have id -1.  Inputs are float64 integers small enough to be exact.
+def top_k(queries, query_ids, data, data_ids, k: int, beat=None):
+    """(scores, ids, compared): highest inner products, both (queries, k), ties to the smaller id, a query's own id left out.
+
+    queries, data: int64.  beat: a score for each query that it surely reaches elsewhere;
+    lower ones are not sought.  Missing places have id -1.  compared: pairs whose product
+    was taken.  A score that 64 bits don't hold raises an error.
     """
     import numpy as np
 
-    low, none = -np.inf, np.iinfo(np.int64).max
+    low, none = np.iinfo(np.int64).min, np.iinfo(np.int64).max
     best, who = np.full((len(queries), k), low), np.full((len(queries), k), none)
-    if not len(queries) or not len(data):
-        return best, np.full_like(who, -1)
-
-    def bound(q: Node, d: Node) -> float:
-        most = q.centre @ d.centre + q.norm * d.radius + d.norm * q.radius + q.radius * d.radius
-        return most + 1e-9 * (abs(most) + 1) + 1e-3  # beyond any rounding; scores are integers
-
-    def compare(q: Node, d: Node) -> None:
-        s = queries[q.points] @ data[d.points].T
-        s[query_ids[q.points][:, None] == data_ids[d.points][None, :]] = low
-        all_s = np.concatenate((best[q.points], s), axis=1)
-        all_i = np.concatenate((who[q.points], np.broadcast_to(data_ids[d.points], s.shape)), axis=1)
-        order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-        best[q.points], who[q.points] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-
-    q_root, d_root = cover_tree(queries), cover_tree(data)
-    stack = [(bound(q_root, d_root), q_root, d_root)]
-    while stack:
-        most, q, d = stack.pop()
-        if most < best[q.points, -1].min():
-            continue
-        if not q.children and not d.children:
-            compare(q, d)
-            continue
-        if d.children and (not q.children or d.radius >= q.radius):
-            pairs = [(bound(q, c), q, c) for c in d.children]
-        else:
-            pairs = [(bound(c, d), c, d) for c in q.children]
-        stack += sorted(pairs, key=lambda p: p[0])  # the most promising is taken first
+    beat = np.full(len(queries), low) if beat is None else beat
+    compared = 0
+    if len(queries) and len(data):
+        qf, df = queries.astype(float), data.astype(float)
+        norm = np.sqrt((qf**2).sum(1))
+        largest = float(norm.max()) * float(np.sqrt((df**2).sum(1).max()))
+        small = largest < 2.0**52  # products of doubles are exact
+        least = np.maximum(best[:, -1], beat).astype(float)
+
+        def bound(q: Node, d: Node) -> float:
+            return q.centre @ d.centre + q.norm * d.radius + d.norm * q.radius + q.radius * d.radius + _slack((q.norm + q.radius) * (d.norm + d.radius))
+
+        def compare(q: Node, d: Node) -> int:
+            # A leaf's own queries: only those that its ball can still help.
+            of = q.points[qf[q.points] @ d.centre + norm[q.points] * d.radius + _slack(norm[q.points] * (d.norm + d.radius)) >= least[q.points]]
+            if not len(of):
+                return 0
+            s = qf[of] @ df[d.points].T
+            if largest >= 2.0**62 and (np.abs(s) >= 2.0**63 * (1 - 1e-9)).any():
+                raise OverflowError("a score does not fit 64 bits")
+            s = s.astype(np.int64) if small else queries[of] @ data[d.points].T  # wraps within sums only
+            s[query_ids[of][:, None] == data_ids[d.points][None, :]] = low
+            all_s = np.concatenate((best[of], s), axis=1)
+            all_i = np.concatenate((who[of], np.broadcast_to(data_ids[d.points], s.shape)), axis=1)
+            order = np.lexsort((all_i, ~all_s), axis=1)[:, :k]
+            best[of], who[of] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
+            least[of] = np.maximum(best[of, -1], beat[of])
+            return s.size
+
+        q_root, d_root = cover_tree(qf), cover_tree(df)
+        stack = [(bound(q_root, d_root), q_root, d_root)]
+        while stack:
+            most, q, d = stack.pop()
+            if most < least[q.points].min():
+                continue
+            if not q.children and not d.children:
+                compared += compare(q, d)
+                continue
+            if d.children and (not q.children or d.radius >= q.radius):
+                pairs = [(bound(q, c), q, c) for c in d.children]
+            else:
+                pairs = [(bound(c, d), c, d) for c in q.children]
+            stack += sorted(pairs, key=lambda p: p[0])  # the most promising is taken first
     who[best == low] = -1
-    return best, who
+    return best, who, compared
 
 
 def scaled(embedding: Column, scale: int = 1024) -> Column:
-    """floor(scale * component) as longs; null where the vector or a component is null or not finite."""
+    """floor(scale * component) as longs; null where the vector or a component is null or not finite; an error where 64 bits don't hold one."""
     bad = F.exists(embedding, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
-    return F.when(embedding.isNotNull() & ~bad, F.transform(embedding, lambda v: F.floor(v.cast("double") * scale).cast("long")))
+    at = lambda v: v.cast("double") * scale
+    whole = lambda v: F.when(F.abs(at(v)) < 2.0**63, F.floor(at(v))).otherwise(F.raise_error(F.lit("a component does not fit 64 bits")).cast("double")).cast("long")
+    return F.when(embedding.isNotNull() & ~bad, F.transform(embedding, whole))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score) for rows (vec_id, v array of long): the ``k`` best for each query.
+def _matrix(column, dims: int):
+    """The int64 rows of an Arrow list column, shorter ones padded with zeros."""
+    import numpy as np
+    import pyarrow as pa
+
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    x = np.zeros((len(lists), dims), dtype=np.int64)
+    x[np.repeat(np.arange(len(lists)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return x
 
-    Queries are rows where ``is_query``; candidates all rows of another vec_id.  Rows with a
-    null vec_id or v take no part; rows repeated in full count once; shorter vectors count
-    as padded with zeros.  Queries and data meet in blocks; nothing is dropped before its
-    bound is below a query group's k-th score.
-    """
-    rows = materialize(vectors.where("vec_id IS NOT NULL AND v IS NOT NULL").select("vec_id", "v").dropDuplicates(["vec_id", "v"]), "vectors")
-    n, n_q, most, dims = rows.agg(
-        F.count(F.lit(1)), F.count_if(is_query), F.coalesce(F.max(F.aggregate("v", F.lit(0.0), lambda a, b: a + b.cast("double") * b)), F.lit(0.0)), F.coalesce(F.max(F.size("v")), F.lit(0))
-    ).first()
-    exact = most < 2.0**52  # a product is at most the squared length
-    d_blocks, q_blocks = 1 + n // DATA_BLOCK, 1 + n_q // QUERY_BLOCK
-    block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    data = rows.select(every(q_blocks).alias("qb"), block(d_blocks).alias("db"), "vec_id", "v")
-    queries = rows.where(is_query).select(block(q_blocks).alias("qb"), every(d_blocks).alias("db"), "vec_id", "v")
+
+def _chain(pivots):
+    """Pivots in an order in which neighbours are near."""
+    import numpy as np
+
+    left, order = np.ones(len(pivots), bool), [0]
+    left[0] = False
+    while left.any():
+        d = np.where(left, ((pivots - pivots[order[-1]]) ** 2).sum(1), np.inf)
+        order.append(int(d.argmin()))
+        left[order[-1]] = False
+    return pivots[order]
+
+
+def _in_cells(rows: DataFrame, pivots) -> DataFrame:
+    """(vec_id, v, asks, cell, away, norm): the nearest pivot's number, the distance from it and the vector's length."""
+    told = rows.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS rows
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType()), T.StructField("norm", T.DoubleType())])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        p = told.value
+        for b in batches:
+            x = _matrix(b.column(1), p.shape[1]).astype(float)
+            cell = ((p**2).sum(1) - 2 * (x @ p.T)).argmin(1)
+            away, norm = np.sqrt(((x - p[cell]) ** 2).sum(1)), np.sqrt((x**2).sum(1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(away), pa.array(norm)], names=schema.names)
+
+    return bounded_batches(rows).mapInArrow(run, schema)
+
+
+def _met(queries: DataFrame, data: DataFrame, keys: list[str], k: int, dims: int, compared=None) -> DataFrame:
+    """(query_id, twin, vec_id, score): each group of queries (vec_id, twin, v, beat) against the block of the same keys."""
 
     def run(left, right):
         import numpy as np
         import pyarrow as pa
 
-        def unpack(t):
-            ids = t.column("vec_id").to_numpy()
-            lists = t.column("v").combine_chunks()
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = np.asarray(lists.flatten()).astype(np.float64 if exact else object)
-            x = np.zeros((len(ids), dims), dtype=flat.dtype)
-            x[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-            return ids, x
-
-        q_ids, q = unpack(left)
-        d_ids, d = unpack(right)
-        if exact:
-            s, who = top_k(q, q_ids, d, d_ids, k)
-        else:  # beyond what doubles hold: integers of any size, without a tree
-            s, who = _plain(q, q_ids, d, d_ids, k)
-        good = who >= 0
-        score = np.array([max(-(1 << 63), min((1 << 63) - 1, int(v))) for v in s[good]], dtype=np.int64)
-        return pa.table({"query_id": np.repeat(q_ids, good.sum(1)), "vec_id": who[good], "score": score})
-
-    found = queries.groupBy("qb", "db").cogroup(data.groupBy("qb", "db")).applyInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _plain(q, q_ids, d, d_ids, k: int):
+        q_ids, d_ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+        beat = left.column("beat").to_numpy()
+        s, who, n = top_k(_matrix(left.column("v"), dims), q_ids, _matrix(right.column("v"), dims), d_ids, k, beat)
+        if compared is not None:
+            compared.add(int(n))
+        good = (who >= 0) & (s >= beat[:, None])
+        take = lambda c: np.repeat(left.column(c).to_numpy(), good.sum(1))
+        return pa.table({"query_id": take("vec_id"), "twin": take("twin"), "vec_id": who[good], "score": s[good]})
+
+    anew = lambda df, *names: df.select(*keys, *names).toDF(*keys, *names).groupBy(*keys)  # noqa: E731  columns of its own: both may come from one table
+    return anew(queries, "vec_id", "twin", "v", "beat").cogroup(anew(data, "vec_id", "v")).applyInArrow(run, "query_id long, twin long, vec_id long, score long")
+
+
+def _reaching(queries: DataFrame, cells: list, pivots) -> DataFrame:
+    """(qb, cell): the cells in which some query of a group may find its ``beat`` or better."""
+    told = queries.sparkSession.sparkContext.broadcast((pivots, cells))  # at most PIVOTS rows
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        pivots, cells = told.value
+        number = np.array([c["cell"] for c in cells], np.int64)
+        p, radius, norm = pivots[number], np.array([c["radius"] for c in cells]), np.array([c["norm"] for c in cells])
+        for b in batches:
+            x = _matrix(b.column(1), pivots.shape[1]).astype(float)
+            length = np.sqrt((x**2).sum(1))[:, None]
+            most = np.minimum(x @ p.T + length * radius, length * norm) + _slack(length * (np.sqrt((p**2).sum(1)) + radius))
+            row, at = np.nonzero(most >= b.column(2).to_numpy()[:, None].astype(float))
+            pairs = np.unique(np.stack((b.column(0).to_numpy()[row], number[at]), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int32())], names=["qb", "cell"])
+
+    return bounded_batches(queries).select("qb", "v", "beat").mapInArrow(run, "qb long, cell int").distinct()
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK, compared=None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for rows (vec_id, v array of long): the ``k`` best for each query.
+
+    Queries are rows where ``is_query``; candidates all rows of another vec_id.  Rows with a
+    null vec_id or v take no part; rows repeated in full count once; of rows that share a
+    vec_id each query has ranks of its own; shorter vectors count as padded with zeros; an
+    empty table gives none.  Nothing is left out before its bound is below a query's k-th
+    score; where bounds help nothing, all pairs are compared, block by block.  compared: an
+    accumulator that is told how many pairs were.
+    """
+    spark = vectors.sparkSession
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asks = F.coalesce(is_query, F.lit(False)).alias("asks")
+    rows = materialize(vectors.where("vec_id IS NOT NULL AND v IS NOT NULL").select("vec_id", "v", asks).dropDuplicates(["vec_id", "v"]), "vectors")
+    n, n_q, dims = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    if not n_q:
+        return none
     import numpy as np
 
-    s, who = np.empty((len(q), k), dtype=object), np.full((len(q), k), -1, dtype=np.int64)
-    for i in range(len(q)):
-        rank = sorted((-int(v), int(j)) for v, j in zip(d @ q[i], d_ids, strict=True) if j != q_ids[i])[:k]
-        for at, (v, j) in enumerate(rank):
-            s[i, at], who[i, at] = -v, j
-    return s, who
+    data_block = min(data_block, max(4096, n // (2 * spark.sparkContext.defaultParallelism)))  # as many blocks as keep the cluster busy
+    wanted = min(PIVOTS, 1 + n // data_block)
+    mixed = F.xxhash64("vec_id", "v")
+    found = rows.orderBy(mixed, "vec_id").select("v").limit(wanted).collect()  # a top-k of at most PIVOTS rows
+    pivots = _chain(np.unique(np.array([[*r["v"], *[0] * (dims - len(r["v"]))] for r in found], dtype=float).reshape(len(found), dims), axis=0))
+    placed = materialize(_in_cells(rows, pivots), "cells")
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("n_q"), F.max("away").alias("radius"), F.max("norm").alias("norm")).orderBy("cell").collect()  # at most PIVOTS rows
+    before = {c["cell"]: sum(x["n_q"] for x in cells if x["cell"] < c["cell"]) for c in cells}
+    table = spark.createDataFrame([(c["cell"], 1 + c["n"] // data_block, c["n_q"], before[c["cell"]]) for c in cells], "cell int, subs long, n_q long, before long")
+    part = F.shiftrightunsigned(mixed, 33) / F.lit(2.0**31)
+    dealt = placed.join(table, "cell")
+    data = dealt.select("cell", F.floor(part * F.col("subs")).cast("int").alias("sub"), "vec_id", "v")
+    # Groups of queries follow the chain of cells; a crowded cell's are dealt over several.
+    group = F.floor((F.col("before") + part * F.col("n_q")) / query_block)
+    low = F.lit(-(1 << 63)).cast("long")
+    queries = materialize(dealt.where("asks").select("cell", group.alias("qb"), "vec_id", mixed.alias("twin"), "v", F.floor(part * F.col("subs")).cast("int").alias("sub"), low.alias("beat")), "queries")
+    if n > data_block:  # what each query reaches in one block of its own cell
+        own = data.join(queries.select("qb", "cell", "sub").distinct(), ["cell", "sub"])
+        first = _met(queries, own, ["qb", "cell", "sub"], k, dims, compared)
+        reached = first.groupBy(F.col("query_id").alias("vec_id"), "twin").agg(F.count(F.lit(1)).alias("h"), F.min("score").alias("beat")).where(F.col("h") >= k).drop("h")
+        queries = materialize(queries.drop("beat").join(reached, ["vec_id", "twin"], "left").withColumn("beat", F.coalesce("beat", low)), "queries")
+    pairs = materialize(_reaching(queries, cells, pivots).join(table.select("cell", "subs"), "cell"), "pairs")
+    every = queries.drop("cell", "sub").join(pairs, "qb").select("qb", "cell", F.explode(F.sequence(F.lit(0), (F.col("subs") - 1).cast("int"))).alias("sub"), "vec_id", "twin", "v", "beat")
+    best = _met(every, data.join(pairs.select("qb", "cell"), "cell"), ["qb", "cell", "sub"], k, dims, compared)
+    order = Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
