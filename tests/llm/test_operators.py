@@ -49,14 +49,47 @@ def counts(t):
 
 def test_quality(spark):
     texts = ODD + [words(80 + i, i) for i in range(60)] + [words(80, 99) + " #$%&" * 300]
-    got = {r.doc_id: r for r in mcd_quality.judge(table(spark, texts, (None,))).collect()}
+    docs = table(spark, texts, (None,)).withColumn("doc_id", F.expr("IF(doc_id = 12, NULL, doc_id)"))
+    got = {r.doc_id: r for r in mcd_quality.judge(docs).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        n = counts(t)
-        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == n
-        assert got[i].base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
-    assert all(got[i].kept for i in range(len(ODD), len(texts) - 1)) and not got[len(texts) - 1].kept and not got[0].kept
+        r, n = got[None if i == 12 else i], counts(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
+    assert all(r.kept for i, r in got.items() if i is None or len(ODD) <= i < len(texts) - 1) and not got[len(texts) - 1].kept and not got[0].kept
     assert mcd_quality.judge(empty(spark)).count() == 0
+    twice = mcd_quality.judge(docs.unionByName(docs.where("doc_id > 68"))).where("doc_id > 68").collect()
+    assert Counter(r.doc_id for r in twice) == {69: 2, 70: 2, 71: 2} and not any(r.kept for r in twice if r.doc_id == 71)
+
+
+def lines(n, seed, size=12):
+    return "\n".join(words(size, 1000 * seed + k, 3000) for k in range(n))
+
+
+@pytest.mark.parametrize("sources", [("s",), tuple(f"s{k}" for k in range(40))])
+def test_quality_rejects_moderate_outliers(spark, sources):
+    clean = [lines(20 + i % 9, i) for i in range(160)]
+    told_twice = [t + "\n" + t.split("\n")[0] for t in clean[:10]]
+    again = lambda t, n: t + "\n" + "\n".join(t.split("\n")[:n])
+    bad = [again(clean[0], 6), again(clean[1], 5), clean[2] + " &" * 30, " ".join(w + "xxxxxx" for w in clean[3].split())]
+    rows = {r.doc_id: r for r in mcd_quality.judge(table(spark, clean + told_twice + bad, sources)).collect()}
+    assert all(rows[i].kept for i in range(170)) and not any(rows[i].base_failed or rows[i].kept for i in range(170, 174))
+
+
+def test_least_determinant(spark):
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for trial in range(3):
+        x = rng.standard_normal((14, 5)) @ rng.standard_normal((5, 5)) * 1.5 + 8
+        x[:3] += 20 * (1 + trial)
+        fixed = np.round(x * mcd_quality.SCALE).astype(np.int64)
+        df = spark.createDataFrame([("g", k, *map(int, r)) for k, r in enumerate(fixed)], "_group string, _draw long, x1 long, x2 long, x3 long, x4 long, x5 long")
+        found = mcd_quality.fit(df).first()
+        z, h = fixed / mcd_quality.SCALE, math.ceil(mcd_quality.SUPPORT * 14)
+        best = min((np.linalg.slogdet(np.cov(z[list(c)].T, bias=True) * mcd_quality.CONSISTENCY)[1], c) for c in itertools.combinations(range(14), h))
+        assert set(best[1]) == set(range(3, 14)) and abs(found.logdet - best[0]) < 1e-6
+        assert np.allclose([found[f"m{k}"] for k in range(5)], z[3:].mean(0))
 
 
 # 2 and 5
