@@ -168,8 +168,9 @@ def test_claim_pushes_its_filters_and_takes_the_top(spark, tmp_path):
 
 def test_running_values_across_slices(spark):
     df = spark.createDataFrame([("a", i, (i * 7) % 10) for i in range(30)] + [(None, 1, 5), (None, 20, 3)], "k string, t long, v long")
-    by = F.floor(F.col("t") / 4).cast("long")
-    got = {(r.k, r.t): (r.m, r.s) for r in running_sum(running_max(df, ["k"], by, ["t"], F.col("v"), "m"), ["k"], by, ["t"], F.col("v"), "s").collect()}
+    small = {"slice_rows": 5}
+    got = {(r.k, r.t): (r.m, r.s) for r in running_sum(running_max(df, ["k"], ["t"], F.col("v"), "m", **small), ["k"], ["t"], F.col("v"), "s", **small).collect()}
+    assert [r.n for r in running_sum(df, [], ["t", "v"], F.lit(1).cast("long"), "n", **small).orderBy("n").collect()] == list(range(1, 33))
     for k, rows in (("a", [(i, (i * 7) % 10) for i in range(30)]), (None, [(1, 5), (20, 3)])):
         for n, (t, _) in enumerate(rows):
             before = [v for _, v in rows[:n]]
@@ -178,7 +179,7 @@ def test_running_values_across_slices(spark):
 
 def test_islands_and_ranges(spark):
     iv = spark.createDataFrame([("a", 0, 10), ("a", 5, 12), ("a", 12, 13), ("a", 40, 50), ("b", 0, 1)], "k string, lo long, hi long")
-    assert sorted(map(tuple, islands(iv, ["k"], width_us=7).collect())) == [("a", 0, 13), ("a", 40, 50), ("b", 0, 1)]
+    assert sorted(map(tuple, islands(iv, ["k"], slice_rows=2).collect())) == [("a", 0, 13), ("a", 40, 50), ("b", 0, 1)]
     ranges = spark.createDataFrame([(NOW, NOW + 5 * S), (NOW + 3 * S, NOW + 4000 * S)], "lo timestamp, hi timestamp")
     points = spark.createDataFrame([(NOW - 2 * S,), (NOW + 4 * S,), (NOW + 4001 * S,), (NOW + 5000 * S,)], "t timestamp")
     got = inside_any(points, "t", ranges, "lo", "hi", "x", slack_us=1_000_000).orderBy("t").collect()
@@ -196,8 +197,8 @@ def test_logs_fold_by_slices(spark, after):
             p.failed(0) if said == "failure" else p.succeeded()
         want[pod] = p, begun + (p.paused and not was)
     log = spark.createDataFrame(rows, "pod string, transport string, seq long, verdict string").repartition(5)
-    for slices in (1, 4, 40):
-        got = {r.pod: (r.failures, r.paused, r.begun) for r in pauses(log, settings, slices).collect()}
+    for rows_each in (1000, 30, 3):
+        got = {r.pod: (r.failures, r.paused, r.begun) for r in pauses(log, settings, rows_each).collect()}
         assert got == {k: (p.failures, p.paused, n) for k, (p, n) in want.items()}
 
 
@@ -206,5 +207,5 @@ def test_send_times_fold_by_slices(spark):
     for pod, _, took in rows:
         want[pod] = mean_send_time(want.get(pod), took)
     log = spark.createDataFrame(rows, "pod string, seq long, took_us long").repartition(5)
-    for slices in (1, 4, 40):
-        assert {r.pod: r.mean_us for r in mean_send_times(log, slices).collect()} == pytest.approx(want)
+    for rows_each in (1000, 30, 3):
+        assert {r.pod: r.mean_us for r in mean_send_times(log, rows_each).collect()} == pytest.approx(want)

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from tidegate.model import CONCURRENT, DEFAULTS, REACHED, Settings, at
 from tidegate.operators import states
 from tidegate.operators.gauges import gauges
-from tidegate.operators.running import DAY_US, inside_any, islands, running_max, running_sum, time_slice
+from tidegate.operators.running import inside_any, islands, running_max, running_sum
 
 SLACK_US = 50_000
-_IDS = 1 << 20
 
 
 def delivered() -> Column:
@@ -61,7 +60,7 @@ def ordered_overlaps(log: DataFrame) -> DataFrame:
     """(pod, before, after): ordered sends of a pod that began before the one before them had ended."""
     sends = log.where(~F.col("lane").eqNullSafe(CONCURRENT))
     last = F.struct(_us("start").alias("s"), F.col("row_id"), F.col("attempt"), _us("end").alias("e"))
-    seen = running_max(sends, ["pod"], time_slice("start"), ["start", "row_id", "attempt"], last, "_last")
+    seen = running_max(sends, ["pod"], ["start", "row_id", "attempt"], last, "_last")
     return seen.where(_us("start") < F.col("_last.e") - SLACK_US).select("pod", F.col("_last.row_id").alias("before"), F.col("row_id").alias("after"))
 
 
@@ -70,7 +69,7 @@ def ordered_inversions(rows: DataFrame, log: DataFrame) -> DataFrame:
     failed = log.where(~delivered()).select(F.col("row_id").alias("id")).distinct()
     plain = rows.where(F.col("release_at").isNull()).select("id").join(failed, "id", "left_anti").withColumnRenamed("id", "row_id")
     first = log.where(~F.col("lane").eqNullSafe(CONCURRENT) & (F.col("attempt") == 1)).join(plain, "row_id", "left_semi")
-    seen = running_max(first, ["pod"], time_slice("start"), ["start", "row_id"], F.col("row_id"), "last")
+    seen = running_max(first, ["pod"], ["start", "row_id"], F.col("row_id"), "last")
     return seen.where("row_id < last").select("pod", "row_id", "last")
 
 
@@ -79,7 +78,7 @@ def key_overlaps(log: DataFrame, pods: DataFrame, settings: Settings = DEFAULTS)
     sends = log.where(F.col("lane").eqNullSafe(CONCURRENT) & F.col("ordering_key").isNotNull()).join(pods.select("pod", "killed"), "pod", "left")
     excused = (_us("end") - _us("start") > lease_us(settings)) | F.coalesce("killed", F.lit(False))
     longest = F.struct(_us("end").alias("e"), (-_us("start")).alias("s"), (-F.col("row_id")).alias("r"), excused.alias("excused"))
-    seen = running_max(sends, ["ordering_key"], time_slice("start"), ["start", "row_id", "attempt"], longest, "_long")
+    seen = running_max(sends, ["ordering_key"], ["start", "row_id", "attempt"], longest, "_long")
     return seen.where((_us("start") < F.col("_long.e") - SLACK_US) & ~F.col("_long.excused")).select(
         "ordering_key", (-F.col("_long.r")).alias("before"), F.col("row_id").alias("after")
     )
@@ -93,8 +92,7 @@ def key_inversions(rows: DataFrame, log: DataFrame) -> DataFrame:
     sends = log.where(F.col("lane").eqNullSafe(CONCURRENT) & F.col("ordering_key").isNotNull())
     first = sends.where(delivered()).groupBy("ordering_key", "row_id").agg(F.min(_us("start")).alias("first"))
     last = F.struct("first", "row_id")
-    by = F.floor(F.col("first") / F.lit(DAY_US)).cast("long")
-    seen = running_max(first, ["ordering_key"], by, ["first", "row_id"], last, "_last").where(F.col("row_id") < F.col("_last.row_id"))
+    seen = running_max(first, ["ordering_key"], ["first", "row_id"], last, "_last").where(F.col("row_id") < F.col("_last.row_id"))
     failed = log.where(~delivered()).groupBy("row_id").agg(F.min(_us("end")).alias("_failed"))
     own = rows.select(F.col("id").alias("row_id"), "release_at", "attempts")
     joined = seen.join(failed, "row_id", "left").join(own, "row_id", "left")
@@ -125,10 +123,9 @@ def free_intervals(log: DataFrame, pods: DataFrame, now: datetime, concurrent: b
         .unionByName(alive.select("pod", F.explode(F.array("_from", "_to")).alias("at"), F.lit(0).alias("d")))
         .groupBy("pod", "at").agg(F.sum("d").alias("d"))
     )
-    sl = F.floor(F.col("at") / F.lit(DAY_US)).cast("long")
-    busy = running_sum(changes, ["pod"], sl, ["at"], F.col("d"), "busy")
+    busy = running_sum(changes, ["pod"], ["at"], F.col("d"), "busy")
     # The next instant is the least later one: a running maximum of the negated instants, backwards.
-    step = running_max(busy, ["pod"], -sl, [F.desc("at")], -F.col("at"), "_next").withColumn("_next", -F.col("_next"))
+    step = running_max(busy, ["pod"], [F.desc("at")], -F.col("at"), "_next").withColumn("_next", -F.col("_next"))
     free = step.join(alive, "pod").where((F.col("busy") < F.col("_slots")) & F.col("_next").isNotNull())
     free = free.select("pod", F.greatest("at", "_from").alias("lo"), F.least("_next", "_to").alias("hi"))
     return free.where("lo < hi")
@@ -153,9 +150,8 @@ def _minus(free: DataFrame, outages: DataFrame) -> DataFrame:
     stop = cut.select(F.explode(F.array(F.lit("concurrent"), F.lit("ordered"))).alias("lane"), "lo", "hi")
     changes = changes.unionByName(stop.select("lane", F.col("lo").alias("at"), F.lit(-2).alias("d"))).unionByName(stop.select("lane", F.col("hi").alias("at"), F.lit(2).alias("d")))
     changes = changes.groupBy("lane", "at").agg(F.sum("d").alias("d"))
-    sl = F.floor(F.col("at") / F.lit(DAY_US)).cast("long")
-    level = running_sum(changes, ["lane"], sl, ["at"], F.col("d"), "level")
-    step = running_max(level, ["lane"], -sl, [F.desc("at")], -F.col("at"), "_next").withColumn("_next", -F.col("_next"))
+    level = running_sum(changes, ["lane"], ["at"], F.col("d"), "level")
+    step = running_max(level, ["lane"], [F.desc("at")], -F.col("at"), "_next").withColumn("_next", -F.col("_next"))
     return step.where("level = 1 AND _next IS NOT NULL").select("lane", F.col("at").alias("lo"), F.col("_next").alias("hi"))
 
 
@@ -170,9 +166,8 @@ def starved(rows: DataFrame, log: DataFrame, pods: DataFrame, outages: DataFrame
     joined = rows.select("id", "ordering_key", "lane", _us("created_on").alias("_created"), _us("release_at").alias("_release"), states.open_().alias("_open")).join(sent, "id", "left")
     keyed = joined.where("ordering_key IS NOT NULL")
     ahead = F.struct((F.col("_open") & F.col("_done").isNull()).cast("int").alias("stuck"))
-    by = F.floor(F.col("id") / F.lit(_IDS)).cast("long")
-    keyed = running_max(keyed, ["ordering_key"], by, ["id"], F.col("_done"), "_ahead")
-    keyed = running_max(keyed, ["ordering_key"], by, ["id"], ahead["stuck"], "_stuck")
+    keyed = running_max(keyed, ["ordering_key"], ["id"], F.col("_done"), "_ahead")
+    keyed = running_max(keyed, ["ordering_key"], ["id"], ahead["stuck"], "_stuck")
     plain = joined.where("ordering_key IS NULL").withColumns({"_ahead": F.lit(None).cast("long"), "_stuck": F.lit(None).cast("int")})
     first = F.coalesce("_first", F.when(F.col("_open"), F.unix_micros(at(now))))
     wait = keyed.unionByName(plain).join(mine, "id", "left_semi").withColumn("_start", first)
@@ -182,15 +177,13 @@ def starved(rows: DataFrame, log: DataFrame, pods: DataFrame, outages: DataFrame
     free = [islands(free_intervals(log, pods, now, c).withColumn("lane", F.lit("concurrent" if c else "ordered")), ["lane"]) for c in (False, True)]
     free = _minus(free[0].unionByName(free[1]), outages)
     # Free time up to an instant: of the last interval that began, what lay before it and what of it has passed.
-    sl = F.floor(F.col("lo") / F.lit(DAY_US)).cast("long")
-    grown = running_sum(free, ["lane"], sl, ["lo"], F.col("hi") - F.col("lo"), "before", through=False)
+    grown = running_sum(free, ["lane"], ["lo"], F.col("hi") - F.col("lo"), "before", through=False)
     marks = grown.select("lane", F.col("lo").alias("at"), F.struct(F.col("lo").alias("lo"), "hi", "before").alias("m"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("which"))
     none = F.lit(None).cast(marks.schema["m"].dataType)
     asks = wait.select(F.col("lane_name").alias("lane"), "id", F.explode(F.array(F.struct(F.col("_from").alias("at"), F.lit(1).alias("which")), F.struct(F.col("_start").alias("at"), F.lit(2).alias("which")))).alias("a"))
     asks = asks.select("lane", F.col("a.at").alias("at"), none.alias("m"), "id", F.col("a.which").alias("which"))
     both = marks.unionByName(asks)
-    sl = F.floor(F.col("at") / F.lit(DAY_US)).cast("long")
-    known = running_max(both, ["lane"], sl, ["at", "which", "id"], F.col("m"), "last", through=True).where("which > 0")
+    known = running_max(both, ["lane"], ["at", "which", "id"], F.col("m"), "last", through=True).where("which > 0")
     upto = F.coalesce(F.col("last.before") + F.least(F.col("at"), F.col("last.hi")) - F.col("last.lo"), F.lit(0))
     spans = known.groupBy("id").agg((F.max(F.when(F.col("which") == 2, upto)) - F.max(F.when(F.col("which") == 1, upto))).alias("free_us"))
     bound = F.lit(settings.sweep // timedelta(microseconds=1) + 1_000_000) + lease_us(settings)
@@ -237,14 +230,13 @@ def inconsistencies(rows: DataFrame, log: DataFrame, now: datetime, settings: Se
 def late_turns(log: DataFrame, eligible: datetime, factor: float = 1.5, slack: timedelta = timedelta(seconds=10)) -> DataFrame:
     """(row_id, rank, waited_ms): rows that waited beyond their share of a drain.
 
-    Claims go round by round over the keys, so a row's rank is the rows of earlier rounds
-    plus its key's place in the round; it may wait ``factor`` times its share plus slack.
+    Claims go round by round over the keys, so a row's rank is its place in the order of
+    rounds and keys; it may wait ``factor`` times its share plus slack.
     """
     first = log.where("ordering_key IS NOT NULL").groupBy("ordering_key", "row_id").agg(F.min(_us("start")).alias("first"), F.max(_us("end")).alias("done"))
-    turn = first.withColumn("round", F.row_number().over(Window.partitionBy("ordering_key").orderBy("row_id")))
-    rounds = turn.groupBy("round").agg(F.count(F.lit(1)).alias("_n"))
-    rounds = rounds.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = turn.join(rounds, "round").withColumn("rank", F.col("_ahead") + F.row_number().over(Window.partitionBy("round").orderBy("ordering_key")))
+    one = F.lit(1).cast("long")
+    turn = running_sum(first, ["ordering_key"], ["row_id"], one, "round")
+    ranked = running_sum(turn, [], ["round", "ordering_key"], one, "rank")
     n, done = first.agg(F.count(F.lit(1)), F.max("done")).first()
     if not n:
         return ranked.select("row_id", "rank", F.lit(0).cast("long").alias("waited_ms"))
@@ -260,10 +252,12 @@ def claim_wraps(claims: DataFrame) -> DataFrame:
 
     A wrap is due only after a short first pass whose head keys were counted and short too.
     """
-    order = Window.partitionBy("pod").orderBy("seq")
-    rounds = claims.withColumn("_round", F.count_if(F.col("statement") == "claim").over(order))
-    inside = Window.partitionBy("pod", "_round").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    of = lambda kind, c: F.last(F.when(F.col("statement") == kind, F.col(c)), ignorenulls=True).over(inside)
-    seen = rounds.withColumns({"_limit": of("claim", "limit"), "_count": of("claim", "count"), "_heads": of("head_keys", "count")})
-    early = (F.coalesce("_count", F.lit(-1)) >= F.coalesce("_limit", F.lit(-1))) | F.col("_heads").isNull() | (F.col("_heads") >= F.coalesce("_limit", F.lit(-1)))
-    return seen.where("statement = 'wrap'").select("pod", "seq", early.alias("premature"))
+    is_ = lambda kind: F.col("statement") == kind
+    # A claim opens a round; what a wrap is judged by is the last claim before it and the last head keys since.
+    claim = F.when(is_("claim"), F.struct("seq", "limit", "count"))
+    heads = F.when(is_("head_keys"), F.struct("seq", "count"))
+    seen = running_max(running_max(claims, ["pod"], ["seq"], claim, "_claim"), ["pod"], ["seq"], heads, "_heads")
+    limit, count = F.col("_claim.limit"), F.col("_claim.count")
+    own = F.when(F.col("_heads.seq") > F.coalesce(F.col("_claim.seq"), F.lit(-1)), F.col("_heads.count"))
+    early = (F.coalesce(count, F.lit(-1)) >= F.coalesce(limit, F.lit(-1))) | own.isNull() | (own >= F.coalesce(limit, F.lit(-1)))
+    return seen.where(is_("wrap")).select("pod", "seq", early.alias("premature"))

@@ -1,8 +1,9 @@
 """Running maxima and sums, and as-of lookups, that no single task carries alone.
 
 A window partitioned by a pod or a lane would put a third of a log into one task.  Here a
-key's rows are cut into slices (of time, of ids): a window runs inside each slice, and what
-the slices before it add is a second window over one row a slice.  The results are exact.
+rows are cut by their order into slices of about SLICE_ROWS rows, whatever their number: a
+window runs inside each slice, and what the slices before it add is a second window over
+one row a slice.  The results are exact.
 """
 
 from __future__ import annotations
@@ -14,16 +15,21 @@ from pyspark.sql import functions as F
 
 from tidegate.plans.tables import settled
 
-DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
+SLICE_ROWS = 100_000
 
 
-def time_slice(ts: Column | str, width_us: int = DAY_US) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(width_us)).cast("long")
+def sliced(df: DataFrame, *order: Column | str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``df``, computed once, with ``_slice``: ranges of ``order``, about equal in rows; rows equal in it share one."""
+    df = settled(df)
+    slices = 1 + df.count() // slice_rows
+    if slices == 1:
+        return df.withColumn("_slice", F.lit(0))
+    return settled(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
 
 
-def _running(df: DataFrame, keys: Sequence[str], slice_: Column, order: Sequence[Column | str], value: Column, out: str, combine, fold, through: bool) -> DataFrame:
-    df = settled(df.withColumn("_slice", slice_).withColumn("_value", value))
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, out: str, combine, fold, through: bool, slice_rows: int) -> DataFrame:
+    df = sliced(df.withColumn("_value", value), *order, slice_rows=slice_rows)
     own = [*keys, "_slice"]
     inside = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if through else -1)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -37,20 +43,21 @@ def _running(df: DataFrame, keys: Sequence[str], slice_: Column, order: Sequence
     return joined.select(*[run[c] for c in run.columns if c not in ("_slice", "_value", "_inside")], combine(F.col("_inside"), F.col("_before")).alias(out))
 
 
-def running_max(df: DataFrame, keys: Sequence[str], slice_: Column, order: Sequence[Column | str], value: Column, out: str, through: bool = False) -> DataFrame:
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, out: str, through: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``out``: the greatest ``value`` of the rows before (or up to) each row of its keys; null if there is none.
 
     With a struct that begins with the order columns it is the row just before: a lag.
     """
-    return _running(df, keys, slice_, order, value, out, _later, F.max, through)
+    return _running(df, keys, order, value, out, _later, F.max, through, slice_rows)
 
 
 def _later(a: Column, b: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).when(a >= b, a).otherwise(b)
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], slice_: Column, order: Sequence[Column | str], value: Column, out: str, through: bool = True) -> DataFrame:
-    return _running(df, keys, slice_, order, value, out, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), F.sum, through)
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, out: str, through: bool = True, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``out``: the sum of ``value`` over the rows up to (or before) each row of its keys; without keys, of all rows."""
+    return _running(df, keys, order, value, out, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), F.sum, through, slice_rows)
 
 
 def inside_any(points: DataFrame, at: str, intervals: DataFrame, lo: str, hi: str, flag: str, width_us: int = HOUR_US, slack_us: int = 0) -> DataFrame:
@@ -69,14 +76,13 @@ def inside_any(points: DataFrame, at: str, intervals: DataFrame, lo: str, hi: st
     return joined.withColumn(flag, hit).drop("_bucket", "_near")
 
 
-def islands(intervals: DataFrame, keys: Sequence[str], lo: str = "lo", hi: str = "hi", width_us: int = DAY_US) -> DataFrame:
+def islands(intervals: DataFrame, keys: Sequence[str], lo: str = "lo", hi: str = "hi", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(keys, lo, hi) in microseconds: unions of overlapping or touching intervals of each key.
 
     An interval opens a union if it begins after all earlier ends; unions are numbered by
     a running sum of openings.
     """
-    sl = F.floor(F.col(lo) / F.lit(width_us)).cast("long")
-    marked = running_max(intervals.select(*keys, lo, hi), keys, sl, [lo, hi], F.col(hi), "_upto")
+    marked = running_max(intervals.select(*keys, lo, hi), keys, [lo, hi], F.col(hi), "_upto", slice_rows=slice_rows)
     opens = F.when(F.col("_upto").isNull() | (F.col(lo) > F.col("_upto")), 1).otherwise(0).cast("long")
-    numbered = running_sum(marked, keys, sl, [lo, hi], opens, "_island")
+    numbered = running_sum(marked, keys, [lo, hi], opens, "_island", slice_rows=slice_rows)
     return numbered.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")

@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegate.model import OUTBOX, conform
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset, one in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once for several uses: checkpointed in the session's shared folder, or cached if it has none.
+    """``df`` computed once for several uses: written to the shared folder and read from there, so a lost executor costs nothing.
 
-    Either survives a lost executor: a checkpoint is read again, a lost cached part is
-    computed again.
+    The files go when the driver's interpreter ends.
     """
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist()
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove_written() -> None:
+    for spark, path in _written:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is gone; the folder stays for whoever keeps the shared store
+            return
 
 
 class SnapshotTable:
