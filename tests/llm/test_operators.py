@@ -326,6 +326,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert nnpu_toxicity.toxicity(empty(spark), labels).count() == 0
 
 
+def test_slopes_are_the_risks_gradient():
+    rng = np.random.default_rng(6)
+    for prior, shift in ((0.2, 0.0), (0.9, -4.0)):
+        p, u = rng.standard_normal(7) + 1, rng.standard_normal(9) + shift
+        corrected = nnpu_toxicity.rest_risk(p, u, prior) < 0
+        assert corrected == (shift < 0)
+        told = np.concatenate(nnpu_toxicity.slopes(p, u, prior))
+
+        def risk(x):
+            rest = nnpu_toxicity.rest_risk(x[:7], x[7:], prior)
+            return -rest if corrected else prior * np.logaddexp(0, -x[:7]).mean() + rest
+
+        x = np.concatenate((p, u))
+        steps = np.eye(16) * 1e-6
+        assert np.allclose(told, [(risk(x + d) - risk(x - d)) / 2e-6 for d in steps], atol=1e-8)
+
+
 # 8
 
 ASSIGN = re.compile(entropy_secrets.ASSIGN)
@@ -475,7 +492,15 @@ def test_near_duplicates(spark):
     assert simhash_dedup.near_duplicates(empty(spark)).count() == 0
 
 
-def test_links_miss_nothing(spark):
+def test_parts_and_copies_stay_bounded():
+    cut = simhash_dedup._segments(simhash_dedup.SEGMENTS, simhash_dedup.RADIUS)
+    for n in (0, 1, 10**6, 10**9, 10**12):
+        bits = simhash_dedup.part_bits_for(n, cut)
+        assert n >> bits <= simhash_dedup.PART and sum(len(simhash_dedup._ball(bits, r)) for *_, r in cut) <= 420
+
+
+@pytest.mark.parametrize("bits", [None, 3, 12])
+def test_links_miss_nothing(spark, bits):
     rng = np.random.default_rng(2)
     base = [int(x) for x in rng.integers(0, 2**63, 60)]
     fps = set(base)
@@ -488,7 +513,7 @@ def test_links_miss_nothing(spark):
             f = g if rng.random() < 0.5 else f
     fps = sorted(fps)
     df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
-    edges = simhash_dedup.links(df)
+    edges = simhash_dedup.links(df, part_bits=bits)
     from tidegate.llm.components import components
 
     root = {r.node % 2**64: r.root for r in components(edges).collect()}

@@ -18,6 +18,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round points every node's neighbours at its least neighbour (larger ones, then
     smaller ones) until the graph is a set of stars.  Rounds grow with the logarithm of the
     longest chain; each is written to the shared folder.  Hubs are split by the join.
+    Repeated links and links of a node to itself count for nothing; without links there are
+    no rows; nodes are not null.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges, "stars")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tidegate.llm.common import bounded_batches, materialize
 
-LEAF = 48
+LEAF, FANOUT, DEPTH = 48, 16, 40
 #: Vectors in one block and queries in one group, at most, on average.
 DATA_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 13
 #: Pivots, at most: what every task is told of the cells stays small.
@@ -36,53 +36,35 @@ class Node:
     children: list
 
 
-def cover_tree(x, points=None) -> Node:
-    """Cover tree of the rows of ``x``: children are greedily chosen centres that cover a node's points at half its radius.
+def cover_tree(x, points=None, depth: int = 0) -> Node:
+    """Cover tree of the rows of ``x``: a node's children stand round points of it chosen far apart.
 
-    Children of few points are joined into leaves of LEAF points round their mean.
+    Points are chosen until they cover all at half the radius, FANOUT at most; each point
+    goes to the nearest, and its child gets a ball of its own.
     """
     import numpy as np
 
     points = np.arange(len(x)) if points is None else points
-    return _node(x, points, *_ball(x, points))
-
-
-def _ball(x, points) -> tuple:
-    """(centre, distance of each point from it)."""
-    import numpy as np
-
     centre = x[points].mean(0)
-    return centre, np.sqrt(((x[points] - centre) ** 2).sum(1))
-
-
-def _leaf(x, points) -> Node:
-    import numpy as np
-
-    centre, away = _ball(x, points)
-    return Node(centre, float(np.sqrt(centre @ centre)), float(away.max()), points, [])
-
-
-def _node(x, points, centre, away) -> Node:
-    import numpy as np
-
+    away = np.sqrt(((x[points] - centre) ** 2).sum(1))
     radius = float(away.max())
     node = Node(centre, float(np.sqrt(centre @ centre)), radius, points, [])
     if len(points) <= LEAF or radius == 0:
         return node
-    left, near = points, away
-    few: list = []
-    while len(left):
-        k = int(near.argmax())  # the farthest from the centre
-        d = np.sqrt(((x[left] - x[left[k]]) ** 2).sum(1))
-        own = d <= radius / 2
-        if own.sum() > LEAF // 4:
-            node.children.append(_node(x, left[own], x[left[k]], d[own]))
-        else:
-            few.append(left[own])
-        left, near = left[~own], near[~own]
-    if few:
-        few = np.concatenate(few)
-        node.children += [_leaf(x, few[at : at + LEAF]) for at in range(0, len(few), LEAF)]
+    if depth > DEPTH:  # far points one by one: any parts will do
+        parts = np.array_split(points, -(-len(points) // LEAF))
+    else:
+        near, own = np.full(len(points), np.inf), np.zeros(len(points), np.int64)
+        k = int(away.argmax())
+        for turn in range(FANOUT):
+            d = np.sqrt(((x[points] - x[points[k]]) ** 2).sum(1))
+            own[d < near] = turn
+            near = np.minimum(near, d)
+            k = int(near.argmax())
+            if turn and near[k] <= radius / 2 or near[k] == 0:
+                break
+        parts = [points[own == turn] for turn in range(FANOUT) if (own == turn).any()]
+    node.children = [cover_tree(x, p, depth + 1) for p in parts]
     return node
 
 

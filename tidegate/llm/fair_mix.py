@@ -17,8 +17,8 @@ from tidegate.llm.common import materialize, n_words, null_coded, row_key, whole
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-#: Virtual time is cut into slices of this part of one unit; only the slice in which the budget ends is sorted in full.
-SLICES = 4096
+#: A unit of virtual time is cut into at least so many slices, and into more as rows grow: only the slice in which the budget ends is sorted in full.
+SLICES, SLICE_ROWS = 4096, 25_000
 
 
 def source_targets(slim: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int = MAX_PASSES) -> DataFrame:
@@ -68,7 +68,10 @@ def fair_schedule(
         "mix",
     )
     targets = materialize(source_targets(slim, weights, passes), "mix-targets")
-    n_slices = 16 + slim.count() // rows_per_task * 2
+    n_rows = slim.count()
+    n_slices = 16 + n_rows // rows_per_task * 2
+    # A source's documents finish evenly over its time, so a slice has its part of all rows.
+    moments = max(SLICES, passes * n_rows // SLICE_ROWS)
     # Copies beyond what the target can take by one pass are not queued.
     served = F.when(F.col("target") > 0, F.least(F.lit(passes), F.ceil(F.col("target") / F.col("source_size")) + F.lit(1))).otherwise(F.lit(1))
     queue = (
@@ -86,7 +89,7 @@ def fair_schedule(
         queue.withColumn("_upto", F.sum("size").over(inside))
         .join(sums, ["_source", "_pass", "_slice"])
         .withColumn("_finish", F.when(F.col("target") > 0, (F.col("_pass") * F.col("source_size") + F.col("_before") + F.col("_upto")) / F.col("target")).otherwise(F.lit(float(passes + 1))))
-        .select("_row", "size", "_source", "_pass", "_order", "_k1", "_k2", "_finish", F.floor(F.least(F.col("_finish"), F.lit(1e6)) * SLICES).cast("long").alias("_at"))
+        .select("_row", "size", "_source", "_pass", "_order", "_k1", "_k2", "_finish", F.floor(F.least(F.col("_finish"), F.lit(1e6)) * F.lit(float(moments))).cast("long").alias("_at"))
     )
     timed = materialize(timed, "mix-times")
     budget = F.lit(targets.agg(F.sum("source_size")).first()[0] or 0)  # one number

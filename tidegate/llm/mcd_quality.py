@@ -127,10 +127,22 @@ def _levels(d2: Column) -> Column:
 _STATE = [*(f"m{i}" for i in range(_P)), *(f"l_{i}_{j}" for i, j in _CELLS), "logdet"]
 
 
+#: Estimates that a task is told whole; more are dealt by group, a group's documents over SALTS tasks.
+TOLD, SALTS = 50_000, 32
+
+
+def _with_estimates(vectors: DataFrame, now: DataFrame, how: str = "inner") -> DataFrame:
+    """``vectors`` joined with the estimates of their groups, of which there are a few rows a group."""
+    if now.count() <= TOLD:
+        return vectors.join(F.broadcast(now), "_group", how)
+    salted = now.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return vectors.withColumn("_salt", F.pmod("_draw", F.lit(SALTS)).cast("int")).join(salted, ["_group", "_salt"], how).drop("_salt")
+
+
 def _starts(vectors: DataFrame) -> DataFrame:
     """(_group, _start, n, centre, factor, logdet): medians with their deviations (0) and subsets drawn by hash (1 and on)."""
     middle = materialize(vectors.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(x, F.lit(0.5)).alias(f"c{i}") for i, x in enumerate(NAMES)]), "mcd")
-    off = vectors.join(middle, "_group").select("_group", *[F.abs(F.col(x) - F.col(f"c{i}")).cast("long").alias(x) for i, x in enumerate(NAMES)])
+    off = _with_estimates(vectors, middle.drop("n")).select("_group", *[F.abs(F.col(x) - F.col(f"c{i}")).cast("long").alias(x) for i, x in enumerate(NAMES)])
     spread = off.groupBy("_group").agg(*[F.percentile(x, F.lit(0.5)).alias(f"s{i}") for i, x in enumerate(NAMES)])
     wide = [F.greatest(F.col(f"s{i}") / SCALE * 1.4826, F.lit(FLOOR[i])) for i in range(_P)]
     medians = middle.join(spread, "_group").select(
@@ -140,7 +152,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
         F.lit(float("inf")).alias("logdet"),
     )
     draw = F.shiftrightunsigned(F.xxhash64("_draw", F.col("_start")), 33) / F.lit(2.0**31)
-    some = vectors.join(middle.select("_group", "n"), "_group").withColumn("_start", F.explode(F.array(*[F.lit(k + 1) for k in range(SUBSETS)]))).where(draw * F.col("n") < SUBSET)
+    some = _with_estimates(vectors, middle.select("_group", "n")).withColumn("_start", F.explode(F.array(*[F.lit(k + 1) for k in range(SUBSETS)]))).where(draw * F.col("n") < SUBSET)
     sums = some.groupBy("_group", "_start").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n"), *[F.sum(v).alias(k) for k, v in _moments().items()])
     drawn = _estimated(sums, "h", 1.0, "_group", "_start", "n").withColumn("logdet", F.lit(float("inf")))
     return medians.unionByName(drawn)
@@ -152,7 +164,7 @@ def _concentrate(vectors: DataFrame, now: DataFrame) -> DataFrame:
     Rows are summed by group and distance level before the exchange; only those sums are
     ordered by level.  Of the level where the support ends the needed share is taken.
     """
-    far = vectors.join(now, "_group").select("_group", "_start", *NAMES, _levels(distance()).alias("_far"))
+    far = _with_estimates(vectors, now).select("_group", "_start", *NAMES, _levels(distance()).alias("_far"))
     sums = _moments()
     level = far.groupBy("_group", "_start", "_far").agg(F.count(F.lit(1)).alias("h"), *[F.sum(v).alias(k) for k, v in sums.items()])
     group = Window.partitionBy("_group", "_start")
@@ -189,11 +201,11 @@ def fit(vectors: DataFrame) -> DataFrame:
 def estimates(stats: DataFrame) -> DataFrame:
     """One row a language and source: the estimate that judges it, its own or its language's or that of all documents.
 
-    Only rows that pass the base rule count.  No row where even all are fewer than LEAST.
+    Only rows that pass the base rule count; _draw, a hash of the row, draws the starts.  No
+    row where even all are fewer than LEAST.
     """
     passed = stats.where(~F.col("base_failed"))
-    draw = F.xxhash64("doc_id", "n_words", "word_chars").alias("_draw")
-    vectors = passed.select(F.explode(F.array("_group", "_lang", F.lit(_ALL))).alias("_group"), draw, *NAMES)
+    vectors = passed.select(F.explode(F.array("_group", "_lang", F.lit(_ALL))).alias("_group"), "_draw", *NAMES)
     small = passed.groupBy("_group", "_lang").agg(F.count(F.lit(1)).alias("n"))
     by_lang = small.groupBy("_lang").agg(F.sum("n").alias("n_lang"))
     judge = F.when(F.col("n") >= LEAST, F.col("_group")).when(F.col("n_lang") >= LEAST, F.col("_lang")).otherwise(F.lit(_ALL))
@@ -210,8 +222,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     and all of them are kept.  Repeated rows and null doc_ids are judged like others; an
     empty table gives none.
     """
-    stats = materialize(statistics(docs), "stats")
-    found = stats.join(estimates(stats), "_group", "left")
+    stats = materialize(statistics(docs).withColumn("_draw", F.xxhash64("doc_id", "n_words", "word_chars")), "stats")
+    found = _with_estimates(stats, materialize(estimates(stats), "mcd"), "left")
     return found.withColumn("distance2", F.when(~F.col("base_failed"), distance())).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)).alias("kept"),

@@ -113,6 +113,33 @@ def _gather(docs: DataFrame, labels: DataFrame, folds: int) -> tuple[list, list,
     return pos, unl, n_pos / n
 
 
+def _soft(g):
+    """Logistic loss of label 0 at score ``g``; of label 1 it is that of ``-g``."""
+    import numpy as np
+
+    return np.logaddexp(0, g)
+
+
+def rest_risk(positive, unlabelled, prior: float) -> float:
+    """Risk of label 0 among the negatives: the unlabelled loss less what hidden positives add to it."""
+    return _soft(unlabelled).mean() - prior * _soft(positive).mean()
+
+
+def slopes(positive, unlabelled, prior: float) -> tuple:
+    """What each score of positives and unlabelled adds to the gradient.
+
+    That of the whole risk, prior times the loss of label 1 among positives plus
+    :func:`rest_risk`; where the latter is negative, which only overfitting makes it, the
+    reverse of its own gradient.
+    """
+    import numpy as np
+
+    logistic = lambda g: 0.5 * (1 + np.tanh(g / 2))
+    if rest_risk(positive, unlabelled, prior) >= 0:
+        return prior * (-logistic(-positive) - logistic(positive)) / len(positive), logistic(unlabelled) / len(unlabelled)
+    return prior * logistic(positive) / len(positive), -logistic(unlabelled) / len(unlabelled)
+
+
 def train(pos: list, unl: list, prior: float) -> Model:
     """The model of positives and unlabelled documents (arrays of distinct features)."""
     import numpy as np
@@ -146,16 +173,9 @@ def train(pos: list, unl: list, prior: float) -> Model:
     sets = matrix(pos), matrix(unl)
     w, bias = np.zeros(len(feats)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(feats) + 1), np.zeros(len(feats) + 1)
-    logistic = lambda g: 0.5 * (1 + np.tanh(g / 2))
 
     for step in range(1, STEPS + 1):
-        scores = [bias + np.bincount(r, w[c], n) for r, c, n in sets]
-        soft = lambda g: np.logaddexp(0, g)  # noqa: E731  loss of label 0; of label 1 it is soft(-g)
-        rest = soft(scores[1]).mean() - prior * soft(scores[0]).mean()
-        if rest >= 0:
-            push = [prior * (-logistic(-scores[0]) - logistic(scores[0])) / len(pos), logistic(scores[1]) / len(unl)]
-        else:  # the non-negative correction: only undo the overfitted part
-            push = [prior * logistic(scores[0]) / len(pos), -logistic(scores[1]) / len(unl)]
+        push = slopes(*(bias + np.bincount(r, w[c], n) for r, c, n in sets), prior)
         grad = np.zeros(len(feats) + 1)
         for (r, c, _), d in zip(sets, push, strict=True):
             grad[:-1] += np.bincount(c, d[r], len(feats))

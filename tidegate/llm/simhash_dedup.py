@@ -9,6 +9,8 @@ it finds is compared in full.
 Wide segments keep what a value finds by chance small, but their balls are large, so a ball
 is not shuffled value by value.  A segment's table is dealt into parts by its first bits; a
 fingerprint goes to each part its ball reaches and enumerates there the rest of the ball.
+Parts grow in number with the table, so a part stays one task's work, and the copies of a
+fingerprint grow only with the square of the logarithm of the table.
 Copies are folded into one fingerprint first.  A crowded part is dealt into blocks of
 stored and of asking fingerprints; each pair of blocks returns a forest that connects what
 it found linked, not all pairs.
@@ -29,8 +31,8 @@ WORDS = 4
 RADIUS = 4
 SEGMENTS = 2
 SEED = 42
-#: First bits of a segment's value by which its table is dealt into parts.
-PART_BITS = 8
+#: A segment's table is dealt into parts by its values' first bits, at least so many and so many more that a part holds about PART fingerprints.
+LEAST_PART_BITS, PART = 6, 1 << 14
 #: Mean numbers of stored and asking fingerprints in one block of a crowded part.
 STORED_BLOCK, ASKING_BLOCK = 1 << 16, 1 << 18
 #: Comparisons held at a time.
@@ -195,9 +197,15 @@ def _links(batches: Iterator, cut: list[tuple[int, int, int]], part_bits: int, w
         yield from links_of([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, part_bits: int = PART_BITS) -> DataFrame:
+def part_bits_for(n: int, cut: list[tuple[int, int, int]]) -> int:
+    """Bits that deal ``n`` fingerprints into parts of about PART, in every segment alike."""
+    return min(max(LEAST_PART_BITS, (max(1, n) // PART).bit_length()), min(width for _, width, _ in cut) - 1)
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, part_bits: int | None = None) -> DataFrame:
     """Links (a, b) that connect every two of the distinct fingerprints ``fp`` within ``radius`` bits."""
     cut = _segments(segments, radius)
+    part_bits = part_bits_for(distinct.count(), cut) if part_bits is None else part_bits
     stored, asking = [], []
     for i, (shift, width, ball) in enumerate(cut):
         part = F.shiftrightunsigned("fp", shift + width - part_bits).bitwiseAND((1 << part_bits) - 1)
@@ -244,7 +252,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id's, and of its repeated rows one."""
+    """``docs`` with one row of each component: the smallest doc_id's (nulls last), and of its repeated rows one.
+
+    Null and empty texts are one component; columns are kept whatever their names; an empty
+    table gives none.
+    """
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
     chosen = near_duplicates(docs, **options).groupBy("root").agg(F.min(row).alias("r")).select("r._k1", "r._k2")
     keyed = docs.select(whole_row(docs), *row_key(docs)).join(chosen, ["_k1", "_k2"], "left_semi")
