@@ -1,16 +1,19 @@
-"""The relay end to end: a versioned table, sends, retries, and a stream of appended rows."""
+"""The relay end to end: stored claims, sends, retries, lapses, pauses, commands, and a stream of appended rows."""
 
 import threading
 from datetime import datetime, timedelta
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_rules import outbox
 from tidegate.model import Settings
-from tidegate.plans.tables import SnapshotTable
+from tidegate.plans.tables import EventTable
 from tidegate.sources import sinks
-from tidegate.streaming.relay import Relay
+from tidegate.streaming import ops
+from tidegate.streaming.publishers import Publisher
+from tidegate.streaming.relay import Relay, _Renewing
 
 NOW = datetime(2024, 1, 20)
 
@@ -20,30 +23,147 @@ def _failing_threes(rows):
     return rows.select("id", F.when(bad, "FAIL").otherwise("OK").alias("outcome"), F.when(bad, "IOException: no").alias("error"))
 
 
+def _table(spark, path, *rows, **options):
+    table = EventTable(spark, f"file://{path}/outbox", **options)
+    table.append(outbox(spark, *rows))
+    return table
+
+
+def _rows(table):
+    return {r.id: r for r in table.read().collect()}
+
+
+def _key(i):
+    return {"id": i, "lane": "CONCURRENT", "ordering_key": f"k{i % 2}", "destination": "https://h/x"}
+
+
 def test_passes_book_and_retry(spark, tmp_path):
-    table = SnapshotTable(spark, f"file://{tmp_path}/outbox")
-    key = lambda i: {"id": i, "lane": "CONCURRENT", "ordering_key": f"k{i % 2}", "destination": "https://h/x"}
-    table.write(outbox(spark, {"id": 1}, {"id": 3}, *(key(i) for i in (10, 11, 12, 14))))
-    relay = Relay(table, _failing_threes, Settings(max_attempts=2))
+    settings = Settings(max_attempts=2)
+    table = _table(spark, tmp_path, {"id": 1}, {"id": 3}, *map(_key, (10, 11, 12, 14)), settings=settings)
+    relay = Relay(table, _failing_threes, settings, compact_after=2)
     assert relay.drain(NOW) == 6
-    rows = {r.id: r for r in table.read().collect()}
+    rows = _rows(table)
     assert all(rows[i].relayed_on == NOW for i in (1, 10, 11, 14))
     assert rows[3].attempts == 1 and rows[3].next_attempt_on == NOW + timedelta(seconds=5)
     assert relay.drain(NOW + timedelta(seconds=6)) == 2
-    rows = {r.id: r for r in table.read().collect()}
-    assert rows[3].parked_on and rows[12].parked_on and len(table.versions()) == 2
+    rows = _rows(table)
+    assert rows[3].parked_on and rows[12].parked_on and table.version() > 0 and len(rows) == 6
+    assert relay.mean_s is not None and relay.room() <= settings.batch
+
+
+def test_a_pass_that_dies_comes_back_when_its_lease_ends(spark, tmp_path):
+    table, later = _table(spark, tmp_path, {"id": 1}, {"id": 2, "destination": "https://h/x", "lane": "CONCURRENT"}), NOW + timedelta(minutes=5)
+    dead = Relay(table, _failing_threes)
+    seq, n = dead.claim(NOW)  # and nothing after it
+    rows = _rows(table)
+    assert n == 2 and rows[1].claimed_until == NOW + timedelta(seconds=15) and rows[2].claimed_until == NOW + timedelta(minutes=2)
+    assert Relay(table, _failing_threes).drain(NOW + timedelta(seconds=1)) == 0
+    # Killed before its sends were seen to run: sent again, no attempt counted.
+    heir = Relay(table, _failing_threes)
+    seq, n = heir.claim(later)
+    assert n == 2 and heir.passes[-1]["lapsed"] == 0
+    # This one dies between send and booking, after a renewal.
+    _Renewing(heir, seq, later, lambda: later + timedelta(seconds=5)).beat()
+    assert _rows(table)[1].sending_since == later
+    last, after = Relay(table, _failing_threes), later + timedelta(minutes=5)
+    assert last.drain(after) == 2 and last.passes[0]["lapsed"] == 2
+    rows = _rows(table)
+    assert all(r.attempts == 1 and r.relayed_on is None and r.last_error.startswith("LeaseLapsed") and r.next_attempt_on == after + timedelta(seconds=5) for r in rows.values())
+    assert last.drain(after + timedelta(seconds=6)) == 2 and all(r.relayed_on for r in _rows(table).values())
+
+
+def test_long_sends_renew_their_leases(spark, tmp_path):
+    import time
+
+    def slowly(rows):
+        return sinks.send_with(rows, lambda r: time.sleep(3))
+
+    settings = Settings(ordered_lease=timedelta(seconds=3), kafka_lease=timedelta(seconds=3), send_timeout=timedelta(seconds=2))
+    table = _table(spark, tmp_path, {"id": 1}, settings=settings)
+    relay = Relay(table, slowly, settings)
+    assert relay.run_pass() == 1
+    kinds = [r.kind for r in table.log().orderBy("seq").collect()]
+    assert kinds[0] == "CLAIM" and "HEARTBEAT" in kinds and kinds[-1] == "RELAYED" and _rows(table)[1].relayed_on
+
+
+def test_a_stopped_relay_gives_back_and_the_cursor_survives(spark, tmp_path):
+    table = _table(spark, tmp_path, {"id": 1}, *map(_key, (10, 11)))
+    relay = Relay(table, _failing_threes)
+    relay.stop()
+    assert relay.drain(NOW) == 0
+    assert all(r.claimed_until is None and r.attempts == 0 for r in _rows(table).values())
+    assert relay._cursor == "k1" and Relay(table, _failing_threes)._cursor == "k1"
+    table.compact()
+    assert Relay(table, _failing_threes)._cursor == "k1" and Relay(table, _failing_threes).drain(NOW) == 3
+    none = _table(spark, tmp_path / "b", {"id": 1})
+    idle = Relay(none, _failing_threes, slots=0)
+    assert idle.run_pass(NOW) == 0 and _rows(none)[1].claimed_until is None
+
+
+def test_pauses_and_policies(spark, tmp_path):
+    down = lambda rows: rows.select("id", F.lit("FAIL").alias("outcome"), F.lit("java.net.TimeoutException: late").alias("error"))
+    ok = lambda rows: rows.select("id", F.lit("OK").alias("outcome"), F.lit(None).cast("string").alias("error"))
+    told = []
+    http = Publisher("http", down, Settings(max_attempts=1, exhausted="DROP"), timedelta(minutes=1), on_exhausted=lambda rows: told.extend(r.id for r in rows.collect()))
+    kafka = Publisher("kafka", ok, on_booked=lambda rows: told.extend(-r.id for r in rows.collect()))
+    settings = Settings(pause_after=3)
+    rows = [{"id": i, "destination": f"https://h/{i}", "lane": "CONCURRENT", "next_attempt_on": NOW} for i in range(10, 14)]
+    table = _table(spark, tmp_path, {"id": 1}, *rows, settings=settings)
+    relay = Relay(table, settings=settings, publishers=(http, kafka))
+    seq, _ = relay.claim(NOW)
+    assert _rows(table)[10].claimed_until == NOW + timedelta(minutes=1)
+    relay.deliver(seq, lambda: NOW)
+    rows = _rows(table)
+    assert sorted(told) == [-1, 10, 11, 12, 13] and all(rows[i].relayed_on and rows[i].attempts == 1 for i in range(10, 14))
+    assert relay.pauses["http"].paused and relay.gauges() == {"claims.paused.http": 1, "claims.paused.kafka": 0, "relay.running": 0}
+    table.append(outbox(spark, *({"id": i, "destination": "https://h/9", "lane": "CONCURRENT", "next_attempt_on": NOW} for i in (20, 21)), {"id": 22, "next_attempt_on": NOW}))
+    assert relay.claim(NOW + timedelta(seconds=1))[1] == 1  # the other transport's
+    assert relay.claim(NOW + timedelta(seconds=6))[1] == 2  # a probe's time has come
+    assert relay.claim(NOW + timedelta(minutes=9))[1] == 3  # left too long by others
+
+
+def test_commands(spark, tmp_path):
+    settings = Settings(maintenance_batch=2)
+    parked = [{"id": i, "parked_on": NOW - timedelta(hours=i), "attempts": 3, "reference": "r" if i % 2 else None} for i in range(10, 15)]
+    old = [{"id": i, "relayed_on": NOW - timedelta(days=9)} for i in range(20, 23)]
+    table = _table(spark, tmp_path, {"id": 1}, {"id": 2, "claimed_until": NOW + timedelta(minutes=1)}, *parked, *old, {"id": 30, "cancelled_on": NOW - timedelta(days=8)}, settings=settings)
+    ops.cancel(table, 1, NOW)
+    assert _rows(table)[1].cancelled_on == NOW
+    for bad, error in ((99, ops.NotFound), (1, ops.WrongState), (2, ops.WrongState), (20, ops.WrongState)):
+        with pytest.raises(error):
+            ops.cancel(table, bad, NOW)
+    ops.unpark(table, 10, NOW)
+    assert _rows(table)[10].parked_on is None and _rows(table)[10].attempts == 0
+    with pytest.raises(ops.WrongState):
+        ops.unpark(table, 10, NOW)
+    assert [ops.STATUS[e] for e in (ops.NotFound, ops.WrongState, ops.BadFilter)] == [404, 409, 400]
+    some = ops.UnparkFilter.of({"destination": "topic-x", "parkedFrom": "2024-01-19T08:00:00-02:00", "parkedTo": "2024-01-19T12:30:00Z", "other": 1})
+    ticks = iter([0.0, 1.0, 99.0])
+    assert ops.unpark_all(table, some, NOW, lambda: next(ticks)) == (2, True)  # of three in the range, one batch in time
+    assert ops.unpark_all(table, some, NOW) == (1, False) and ops.unpark_all(table, ops.UnparkFilter.of({"destination": "topic-x"}), NOW) == (1, False)
+    assert {i for i, r in _rows(table).items() if r.parked_on} == set()
+    done = ops.prune(table, NOW)
+    assert (done.relayed, done.cancelled, done.more_to_prune) == (3, 1, False) and set(_rows(table)) == {1, 2, *range(10, 15)}
+    assert {r.state: r.rows for r in ops.pruned_counter(table).collect()} == {"relayed": 3, "cancelled": 1}
+
+
+@pytest.mark.parametrize("body", [{}, {"destination": ""}, {"destination": False}, {"destination": "x", "reference": 1}, {"destination": "x", "parkedFrom": 1705708800}, {"destination": "x", "parkedFrom": "2024-01-20T00:00:00"}, {"destination": "x", "parkedTo": "yesterday"}, {"destination": ["x"]}, {"destination": {"x": 1}}, {"destination": "x", "parkedTo": "2024-01-20"}])
+def test_bodies_of_a_bulk_unpark(body):
+    with pytest.raises(ops.BadFilter):
+        ops.UnparkFilter.of(body)
 
 
 def test_stream_appends_once(spark, tmp_path):
     rows = outbox(spark, {"id": 1}, {"id": 2})
     rows.write.parquet(f"{tmp_path}/in/a")
     rows.write.parquet(f"{tmp_path}/in/b")  # the same rows again
-    table = SnapshotTable(spark, f"file://{tmp_path}/outbox")
+    table = EventTable(spark, f"file://{tmp_path}/outbox")
     stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 100).parquet(f"{tmp_path}/in").dropDuplicates(["id"])
-    query = Relay(table, _failing_threes).start(stream, f"{tmp_path}/cp", clock=lambda: NOW)
+    relay = Relay(table, _failing_threes)
+    query = relay.start(stream, f"{tmp_path}/cp", clock=lambda: NOW)
     query.processAllAvailable()
     query.stop()
-    assert sorted((r.id, r.relayed_on) for r in table.read().collect()) == [(1, NOW), (2, NOW)]
+    assert sorted((r.id, r.relayed_on) for r in table.read().collect()) == [(1, NOW), (2, NOW)] and relay.gauges()["relay.running"] == 1
 
 
 class _Receiver(BaseHTTPRequestHandler):

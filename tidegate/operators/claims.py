@@ -146,12 +146,20 @@ def next_cursor(claimed_keys: list[str], walked: str | None, keys_ran_out: bool,
     return top if top is not None else (None if keys_ran_out else cursor)
 
 
-def claim_pass(rows: DataFrame, now: datetime, limit: int, cursor: str | None) -> tuple[DataFrame, str | None, bool]:
+def claim_pass(rows: DataFrame, now: datetime, limit: int, cursor: str | None, takes: Column | None = None) -> tuple[DataFrame, str | None, bool]:
     """One concurrent pass with its wrap: (claimed rows, new cursor, whether it wrapped).
 
     It wraps only if the first pass was short because the keys above the cursor ran out.
-    Driver state is bounded by ``limit`` keys.
+    takes: which rows may be taken while a transport is paused; then a pass looks at a skip
+    window, and the cursor stays where it is if the room filled inside it.  Driver state is
+    bounded by ``limit`` keys.
     """
+    if takes is not None:
+        picked = skip_window(lambda r, at, n: concurrent_claim(r, at, n, cursor), rows, now, limit, takes)
+        if picked.count() >= limit:
+            return picked, cursor, False
+        keys = [r["ordering_key"] for r in head_keys(rows, now, 10 * limit, cursor).collect()]
+        return picked, next_cursor([], keys[-1] if keys else None, len(keys) < 10 * limit, False, cursor), False
     first = concurrent_claim(rows, now, limit, cursor)
     taken = [(r["id"], r["ordering_key"]) for r in first.select("id", "ordering_key").collect()]
     keys = [k for _, k in taken if k is not None]

@@ -83,7 +83,7 @@ QUERIES: dict[str, str] = {
     "s3_point_lookup": "SELECT id, destination, attempts, next_attempt_on FROM o WHERE id = 42",
     "s1_append": """SELECT e + 1000001 AS id, CASE WHEN http THEN 'https://hub/' || user_id ELSE 'topic-' || event_type END AS destination,
       CASE WHEN http THEN 'CONCURRENT' ELSE 'ORDERED' END AS lane, CASE WHEN http THEN 'https://hub/' || user_id END AS ordering_key,
-      now AS created_on, now AS next_attempt_on, CAST(0 AS INTEGER) AS attempts, '{"x-n":"' || e || '"}' AS headers, m AS key_token FROM ev, k WHERE e % 5 = 0""",
+      now AS created_on, now AS next_attempt_on, CAST(0 AS INTEGER) AS attempts, '{"x-n":"' || e || '"}' AS headers, m AS key_token FROM ev, k""",
     "s5_kafka_records": """SELECT id, destination AS topic, aggregate_id AS key, CASE WHEN headers IS NULL THEN 3 ELSE 5 END AS n_headers,
       'service:outbox:' || id || coalesce(':' || key_token, '') AS idempotency FROM o WHERE destination LIKE 'topic-%' AND is_open""",
     "s8_client_profile": """SELECT id, CASE WHEN starts_with(destination, 'https://hub/1') THEN 'ones' WHEN starts_with(destination, 'https://') THEN 'any' END AS profile FROM o""",
@@ -98,7 +98,10 @@ QUERIES: dict[str, str] = {
     "c6_concurrent_claim_after": f"SELECT id, ordering_key FROM (({_FIRST.format(where="WHERE ordering_key > 'https://hub/3'", n=100)}) UNION ALL ({_UNKEYED.format(n=100)})) ORDER BY id LIMIT 100",
     "c7_wrap_claim": f"SELECT id, ordering_key FROM ({_FIRST.format(where="WHERE ordering_key <= 'https://hub/3'", n=10)}) ORDER BY id LIMIT 10",
     "c8_head_keys": f"SELECT ordering_key FROM ({_FIRST.format(where="WHERE ordering_key > 'https://hub/3'", n=10)})",
-    "c9_cursor": f"SELECT max(ordering_key) AS next_cursor, count(*) AS claimed FROM (SELECT * FROM (({_FIRST.format(where='', n=10)}) UNION ALL ({_UNKEYED.format(n=10)})) ORDER BY id LIMIT 10)",
+    "c9_cursor": f"""
+      SELECT 'start' AS pass, count(*) AS claimed, max(ordering_key) AS next_cursor, false AS wrapped FROM (SELECT * FROM (({_FIRST.format(where='', n=10)}) UNION ALL ({_UNKEYED.format(n=10)})) ORDER BY id LIMIT 10)
+      UNION ALL SELECT 'middle', count(*), coalesce(max(ordering_key), 'https://hub/3'), false FROM (SELECT * FROM (({_FIRST.format(where="WHERE ordering_key > 'https://hub/3'", n=10)}) UNION ALL ({_UNKEYED.format(n=10)})) ORDER BY id LIMIT 10)
+      UNION ALL SELECT 'wrap', (SELECT count(*) FROM heads) + (SELECT count(*) FROM d WHERE conc AND ordering_key IS NULL), (SELECT max(ordering_key) FROM heads WHERE ordering_key <= 'https://hub/3'), true""",
     "c11_recheck": "SELECT id, ordering_key FROM heads",
     "c12_surviving": f"""SELECT id, ordering_key FROM (({_FIRST.format(where='', n=100)}) UNION ALL ({_UNKEYED.format(n=100)}))
       WHERE ordering_key IS NULL OR CAST(split_part(ordering_key, '/', 4) AS BIGINT) % 2 = 0""",
@@ -146,7 +149,7 @@ QUERIES: dict[str, str] = {
     "p7_verdicts": """SELECT t AS total, f AS "offset", l AS "limit", CASE WHEN t > 0 AND f >= t THEN 416 WHEN t = 0 OR (f = 0 AND l >= t) THEN 200 ELSE 206 END AS status,
       CASE WHEN t > 0 AND f < t THEN f END AS first_item, CASE WHEN t > 0 AND f < t THEN least(f + l, t) - 1 END AS last_item
       FROM (SELECT event_id % 120 AS t, event_id % 70 AS f, 1 + event_id % 60 AS l FROM events)""",
-    "p8_payload": "SELECT id, payload, last_error FROM o WHERE id % 100 = 7",
+    "p8_payload": "SELECT id, payload, last_error FROM o",
     "f1_backoff": "SELECT id, CAST(least(5000 * pow(2, id % 40), 600000) AS BIGINT) AS delay_ms FROM o",
     "f2_f3_f4_stamp": """SELECT id, CASE WHEN http THEN 'http' ELSE 'kafka' END AS route, CASE WHEN http THEN 'CONCURRENT' ELSE 'ORDERED' END AS stamped_lane,
       CASE WHEN length(x) <= 255 THEN CASE WHEN trim(x) <> '' THEN x END ELSE 'sha256:' || sha256(x) END AS fitted
@@ -155,7 +158,18 @@ QUERIES: dict[str, str] = {
     "f10_f12_failures": f"SELECT id, {_KIND} AS kind, left(event_type || coalesce(': ' || last_error, ''), 4000) AS told FROM o",
     "f13_sanitized": """SELECT id, CASE WHEN id % 3 = 0 THEN destination WHEN id % 3 = 1 THEN 'https://hub:' || (id % 9000) ELSE 'unparsed' END AS shown FROM (
       SELECT id, CASE WHEN starts_with(destination, 'http') THEN 'https://hub' ELSE destination END AS destination FROM o)""",
-    "f14_send_bound": "SELECT id, greatest(CASE WHEN conc THEN 120000000 ELSE 15000000 END, id % 200 * 1000000) AS bound_us FROM o",
+    "f14_send_bound": "SELECT id, CAST(CASE WHEN conc THEN 120000000 ELSE 60000000 END AS BIGINT) AS bound_us FROM o",
+    "f18_transport_down": "SELECT id, id % 5 IN (0, 1, 2) AS down FROM o",
+    "a11_pruned_counter": """SELECT * FROM (VALUES ('relayed'), ('cancelled')) s(state), LATERAL (SELECT count(*) AS rows FROM o
+      WHERE CASE WHEN relayed_on < epoch_us(TIMESTAMP '2024-01-13') THEN 'relayed' WHEN cancelled_on < epoch_us(TIMESTAMP '2024-01-13') THEN 'cancelled' END = s.state), (SELECT false AS more_to_prune)""",
+    "w11_renew_due": "SELECT id, id % 30 >= 12 AS renews FROM o",
+    "w13_verdicts": """SELECT row_id, attempt, s AS start, CASE WHEN interrupted THEN 'failure' WHEN outcome IN ('OK', 'HANG', 'HOLD', 'DEAF') THEN 'success' WHEN outcome = 'TERMINAL' THEN NULL WHEN row_id % 4 = 0 THEN 'failure' END AS verdict FROM log""",
+    "w3_relay_drain": """SELECT id, CASE WHEN took AND NOT lapsed AND id % 3 <> 0 THEN now ELSE relayed_on END AS relayed_on,
+      CAST(attempts + CASE WHEN took AND (lapsed OR id % 3 = 0) THEN 1 ELSE 0 END AS INTEGER) AS attempts,
+      CASE WHEN took AND lapsed THEN 'LeaseLapsedException: the send outlived its lease' WHEN took AND id % 3 = 0 THEN 'IOException: no' ELSE last_error END AS last_error,
+      CASE WHEN took THEN lapsed OR id % 3 = 0 ELSE next_attempt_on > now END AS waits
+    FROM (SELECT o.*, o.claimed_until IS NOT NULL AND o.sending_since IS NOT NULL AS lapsed, o.id IN (SELECT id FROM d WHERE NOT conc OR ordering_key IS NULL
+        OR ordering_key NOT IN (SELECT ordering_key FROM o WHERE leased AND conc AND ordering_key IS NOT NULL)) AS took FROM o)""",
     "w7_send_times": """SELECT pod, round(sum(took * w), 3) AS mean_us FROM (SELECT pod, CAST(f - s AS DOUBLE) AS took, CASE WHEN row_number() OVER (PARTITION BY pod ORDER BY s, row_id, attempt) = 1 THEN pow(0.875, n - 1) ELSE 0.125 * pow(0.875, n - row_number() OVER (PARTITION BY pod ORDER BY s, row_id, attempt)) END AS w
       FROM (SELECT *, count(*) OVER (PARTITION BY pod) AS n FROM log)) GROUP BY pod""",
     "w12_pauses": """SELECT pod, transport, arg_max(run, seq) AS failures, arg_max(run, seq) >= 5 AS paused, count(*) FILTER (run = 5) AS begun FROM (

@@ -1,13 +1,17 @@
-"""A versioned snapshot table in a shared folder: every write is a new version, named once it is whole."""
+"""The outbox as Parquet datasets in a shared folder, and intermediate results there."""
 
 from __future__ import annotations
 
 import atexit
 import uuid
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegate.model import OUTBOX, conform
+from tidegate.model import DEFAULTS, OUTBOX, Settings, conform
+from tidegate.operators.transitions import LOG, fold
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,36 +46,68 @@ def _remove_written() -> None:
             return
 
 
-class SnapshotTable:
-    """``path``/v=N holds version N as Parquet; readers take the highest with Spark's success mark.
+class EventTable:
+    """An outbox in a shared folder, as Parquet datasets that only grow between compactions.
 
-    One writer at a time: a version's predecessor stays until two newer ones are there, so
-    running queries keep their files.
+    ``base=N`` are its rows as of version N, ``new=N`` rows appended and ``log=N`` the
+    transitions booked since.  Reading folds the log into the rows it names; the others are
+    scanned as they are, so filters reach the files.  :meth:`compact` writes base N+1 and
+    counts once that has Spark's success mark.  One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._root = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._at = lambda v, name="": jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v:09d}{name}")
+    def __init__(self, spark: SparkSession, path: str, settings: Settings = DEFAULTS, policies: Mapping[str, Settings] | None = None):
+        self.spark, self.path, self.settings, self.policies = spark, path.rstrip("/"), settings, dict(policies or {})
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _there(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.path}/{name}"))
+
+    def version(self) -> int:
+        if not self._there(""):
+            return 0
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
+        return max((int(n[5:]) for n in names if n.startswith("base=") and self._there(f"{n}/_SUCCESS")), default=0)
+
+    def _part(self, name: str, schema) -> DataFrame:
+        name = f"{name}={self.version()}"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._there(name) else self.spark.createDataFrame([], schema)
 
-    def versions(self) -> list[int]:
-        if not self._fs.exists(self._root):
-            return []
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
-        return sorted(v for v in (int(n[2:]) for n in found if n.startswith("v=")) if self._fs.exists(self._at(v, "/_SUCCESS")))
+    def log(self) -> DataFrame:
+        return self._part("log", LOG)
 
     def read(self) -> DataFrame:
-        have = self.versions()
-        if not have:
-            return self.spark.createDataFrame([], OUTBOX)
-        return self.spark.read.schema(OUTBOX).parquet(self._at(have[-1]).toString())
-
-    def write(self, rows: DataFrame) -> int:
-        have = self.versions()
-        v = have[-1] + 1 if have else 0
-        conform(rows).write.mode("overwrite").parquet(self._at(v).toString())
-        for old in have[:-1]:
-            self._fs.delete(self._at(old), True)
-        return v
+        rows, log = self._part("base", OUTBOX).unionByName(self._part("new", OUTBOX)), self.log()
+        named = log.select("id").distinct()
+        changed = fold(rows.join(named, "id", "left_semi"), log, self.settings, self.policies).drop("effective")
+        return rows.join(named, "id", "left_anti").unionByName(changed)
+
+    def append(self, rows: DataFrame) -> None:
+        conform(rows).write.mode("append").parquet(f"{self.path}/new={self.version()}")
+
+    def book(self, entries: DataFrame) -> None:
+        entries.write.mode("append").parquet(f"{self.path}/log={self.version()}")
+
+    def last_seq(self) -> int:
+        return self.log().agg(F.max("seq")).first()[0] or 0
+
+    def cursor(self) -> str | None:
+        """The last booked cursor of the concurrent claim."""
+        found = self.log().where("kind = 'CURSOR'").agg(F.max_by("error", "seq")).first()
+        return found[0]
+
+    def compact(self, rows: DataFrame | None = None) -> int:
+        """Writes the next base, of ``rows`` or of what :meth:`read` gives; the cursor goes along.  The base before stays for running readers."""
+        v, cursor = self.version(), self.cursor()
+        conform(self.read() if rows is None else rows).write.mode("overwrite").parquet(f"{self.path}/base={v + 1}")
+        if cursor is not None:
+            self.book(cursor_entry(self.spark, 0, cursor))
+        for old in range(max(0, v - 2), v):
+            for name in ("base", "new", "log"):
+                self._fs.delete(self._path(f"{self.path}/{name}={old}"), True)
+        return v + 1
+
+
+def cursor_entry(spark: SparkSession, seq: int, cursor: str | None) -> DataFrame:
+    """A log entry that no row has: where the concurrent claim goes on."""
+    return spark.createDataFrame([(-1, seq, "CURSOR", None, None, None, None, cursor, None)], LOG)

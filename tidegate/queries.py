@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions import scalars
-from tidegate.model import Settings
+from tidegate.model import DEFAULTS, Settings
 from tidegate.operators import analytics, claims, gauges, lists, maintenance, states, transitions
+from tidegate.plans import tables
 from tidegate.sources import append, fixtures, sinks
 from tidegate.streaming import control, relay
 
@@ -64,7 +66,7 @@ def _null(kind: str) -> Column:
 
 def s1_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    events = _events(spark, sf_dir).where(e % 5 == 0)
+    events = _events(spark, sf_dir)
     http = F.concat(F.lit("https://hub/"), F.col("user_id"))
     requests = events.select(
         "event_id", F.lit("user").alias("aggregate_type"), F.col("user_id").cast("string").alias("aggregate_id"), "event_type",
@@ -160,7 +162,12 @@ def c8_head_keys(o):
 
 @_on_outbox("c9_cursor")
 def c9_cursor(o):
-    return claims.concurrent_claim(o, NOW, 10).agg(F.max("ordering_key").alias("next_cursor"), F.count(F.lit(1)).alias("claimed"))
+    """Three passes: from the start, from a cursor, and one that takes all and wraps."""
+    told = []
+    for name, limit, cursor in (("start", 10, None), ("middle", 10, MIDDLE), ("wrap", 1_000_000, MIDDLE)):
+        rows, after, wrapped = claims.claim_pass(o, NOW, limit, cursor)
+        told.append((name, rows.count(), after, wrapped))
+    return o.sparkSession.createDataFrame(told, "pass string, claimed long, next_cursor string, wrapped boolean")
 
 
 @_on_outbox("c11_recheck", "id ordering_key")
@@ -304,6 +311,13 @@ def t15_after_prune(o):
     return maintenance.pruned_all(o, _CUT).agg(F.count(F.lit(1)).alias("n"))
 
 
+@_on_outbox("a11_pruned_counter")
+def a11_pruned_counter(o):
+    """What a prune in batches counts, by state."""
+    done = maintenance.prune(o, NOW, NOW - _CUT, Settings(maintenance_batch=20_000, maintenance_budget=timedelta(hours=1)))
+    return o.sparkSession.createDataFrame([("relayed", done.relayed, done.more_to_prune), ("cancelled", done.cancelled, done.more_to_prune)], "state string, rows long, more_to_prune boolean")
+
+
 # --- gauges and lists
 
 
@@ -353,7 +367,7 @@ _QUERIES["p7_verdicts"] = p7_verdicts
 
 @_on_outbox("p8_payload")
 def p8_payload(o):
-    return lists.payload_view(o.where(F.col("id") % 100 == 7))
+    return lists.payload_view(o)
 
 
 # --- scalar rules
@@ -390,8 +404,14 @@ def f13_sanitized(o):
 
 @_on_outbox("f14_send_bound")
 def f14_send_bound(o):
-    until = F.unix_micros(F.lit(NOW) + claims.lease_length()) - F.unix_micros(F.lit(NOW))
-    return o.select("id", F.greatest(until, F.col("id") % 200 * 1000000).alias("bound_us"))
+    bounds = {lease: scalars.send_bound(lease, timedelta(seconds=60)) // timedelta(microseconds=1) for lease in (DEFAULTS.lease, DEFAULTS.ordered_lease)}
+    return o.select("id", F.when(states.concurrent(), bounds[DEFAULTS.lease]).otherwise(bounds[DEFAULTS.ordered_lease]).cast("long").alias("bound_us"))
+
+
+@_on_outbox("f18_transport_down")
+def f18_transport_down(o):
+    inner = F.element_at(F.array(*[F.lit(c) for c in ("a.b.RetriableCommitException", "java.net.SocketTimeoutException", "x.Outer$TimeoutException", "java.io.IOException", "TimeoutExceptions")]), (F.col("id") % 5 + 1).cast("int"))
+    return o.select("id", scalars.transport_down(F.array(F.lit("java.lang.RuntimeException"), inner)).alias("down"))
 
 
 # --- stream rules over logs
@@ -404,6 +424,31 @@ def w7_send_times(o, log):
     return control.mean_send_times(sends).select("pod", F.round("mean_us", 3).alias("mean_us"))
 
 
+@_on_outbox("w11_renew_due")
+def w11_renew_due(o):
+    waited = F.make_dt_interval(secs=F.col("id") % 30)
+    return o.select("id", control.renew_due(waited, DEFAULTS.lease).alias("renews"))
+
+
+@_on_log("w13_verdicts")
+def w13_verdicts(o, log):
+    return log.select("row_id", "attempt", F.unix_micros("start").alias("start"), control.verdict(F.col("outcome"), F.col("interrupted"), F.col("row_id") % 4 == 0).alias("verdict"))
+
+
+def w3_relay_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outbox after a relay has drained it: every third send fails, and lapsed rows count as failed."""
+    settings = Settings(batch=20_000)
+    table = tables.EventTable(spark, f"{tables.shared_dir(spark)}/outbox-{uuid.uuid4().hex}", settings)
+    table.append(fixtures.outbox(spark, sf_dir))
+    bad = F.col("id") % 3 == 0
+    send = lambda rows: rows.select("id", F.when(bad, "FAIL").otherwise("OK").alias("outcome"), F.when(bad, "IOException: no").alias("error"))
+    relay.Relay(table, send, settings, slots=8, mean_s=1e-6).drain(NOW)
+    return _micros(table.read().select("id", "relayed_on", "attempts", "last_error", F.col("next_attempt_on") > F.lit(NOW)).toDF("id", "relayed_on", "attempts", "last_error", "waits"))
+
+
+_QUERIES["w3_relay_drain"] = w3_relay_drain
+
+
 def w12_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     good = F.floor(e * 2654435761 / 65536) % 10 < 2
