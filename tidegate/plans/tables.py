@@ -20,18 +20,24 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once for several uses: written to the shared folder and read from there, so a lost executor costs nothing.
-
-    The files go when the driver's interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver's interpreter ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
+    return path
+
+
+def settled(df: DataFrame, label: str = "settled") -> DataFrame:
+    """``df`` written to the shared folder, and a scan of it.
+
+    Computed once for several uses; what follows survives the loss of any executor and never
+    computes ``df`` again.
+    """
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _written: list[tuple[SparkSession, str]] = []

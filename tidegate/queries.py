@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -438,7 +437,7 @@ def w13_verdicts(o, log):
 def w3_relay_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outbox after a relay has drained it: every third send fails, and lapsed rows count as failed."""
     settings = Settings(batch=20_000)
-    table = tables.EventTable(spark, f"{tables.shared_dir(spark)}/outbox-{uuid.uuid4().hex}", settings)
+    table = tables.EventTable(spark, tables.fresh_path(spark, "outbox"), settings)
     table.append(fixtures.outbox(spark, sf_dir))
     bad = F.col("id") % 3 == 0
     send = lambda rows: rows.select("id", F.when(bad, "FAIL").otherwise("OK").alias("outcome"), F.when(bad, "IOException: no").alias("error"))
