@@ -124,6 +124,18 @@ def test_packing(spark):
     assert hilbert_pack.pack(empty(spark), vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_a_sequence_holds_neighbours(spark):
+    topics = [words(150, k, 40).replace("w", f"t{k % 5}x") for k in range(60)]
+    docs, ids = table(spark, topics), encoded("word_bpe_49k.json", topics)
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    keys = hilbert_pack.curve_keys(np.concatenate(ids), ends)
+    pieces = sorted(hilbert_pack.pack(docs, vocabulary("word_bpe_49k.json"), length=512).collect(), key=lambda p: (p.sequence_id, p.offset))
+    along = [(p.sequence_id >> 40, keys[p.doc_id]) for p in pieces if p.start == 0]
+    assert along == sorted(along) and len({k for k, _ in along}) > 1
+    near = [topics[a.doc_id][:2] == topics[b.doc_id][:2] for a, b in zip(pieces, pieces[1:], strict=False)]
+    assert sum(near) > 0.6 * len(near)  # at random a fifth
+
+
 def test_hilbert_curve_steps_to_neighbours():
     axes = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = hilbert_pack.hilbert_key(axes, 3)
@@ -291,6 +303,11 @@ def test_search_leaves_cells_out(spark):
     want = [(q, k + 1, i, -s) for q in range(0, 6000, 20) for k, (s, i) in enumerate(sorted((-int(v), i) for i, v in enumerate(x @ x[q]) if i != q)[:5])]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
     assert 0 < told.value < 0.3 * 300 * 6000
+    # Vectors in which no ball is smaller than the whole leave nothing out, but no pair is compared twice.
+    shapeless = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.integers(-1000, 1000, (600, 48)))], "vec_id long, v array<long>")
+    told = spark.sparkContext.accumulator(0)
+    dual_tree.search(shapeless, F.pmod("vec_id", F.lit(20)) == 0, 5, data_block=100, query_block=40, compared=told).collect()
+    assert told.value <= 30 * 600
 
 
 def test_trees_prune_exactly():
@@ -521,6 +538,25 @@ def test_links_miss_nothing(spark, bits):
     assert group([root.get(f, f"own {f}") for f in fps]) == group(plain_components(fps, fps))
 
 
+@pytest.mark.parametrize("sql", ["doc_id", "IF(doc_id % 3 = 0, NULL, doc_id)"])
+def test_repeated_rows_and_null_ids(spark, sql):
+    texts = [*ODD, "password=hunter2222 x", words(40, 2)]
+    docs = table(spark, texts).withColumn("doc_id", F.expr(sql))
+    many = docs.unionByName(docs).unionByName(docs.where("size < 0"))
+    told = lambda df: Counter(tuple(r) for r in df.collect())
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").where("false")
+    model = nnpu_toxicity.Model(-1.0, {}, 0.1)
+    for run in (lambda d: entropy_secrets.digest(entropy_secrets.scan_secrets(d)), lambda d: nnpu_toxicity.with_scores(d, model), lambda d: nnpu_toxicity.toxicity(d, labels), lambda d: mcd_quality.judge(d).drop("distance2", "kept")):
+        once = told(run(docs))
+        assert told(run(many)) == Counter({k: 3 * n for k, n in once.items()})
+    packed = hilbert_pack.pack(many, vocabulary("word_bpe_49k.json"), length=64).collect()
+    assert sum(p.length for p in packed) == 3 * sum(len(x) for x in encoded("word_bpe_49k.json", texts))
+    groups = simhash_dedup.near_duplicates(many).collect()
+    assert len(groups) == 3 * len(texts)
+    for keep in (simhash_dedup.keep_one, shingle_dedup.keep_one):
+        assert keep(many).count() == keep(docs).count()
+
+
 # 10
 
 

@@ -1,61 +1,18 @@
-"""What the text operators share: word rules, row keys and written intermediate tables."""
+"""What the text operators share: word rules, row keys, batches; intermediate tables are written to the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegate.plans.tables import fresh_path  # noqa: F401
+from tidegate.plans.tables import settled as materialize  # noqa: F401
+
 #: Words are maximal runs of anything but these six characters.
 GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset, one in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver's interpreter ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark, path))
-    return path
-
-
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone; the folder stays for whoever keeps the shared store
-            return
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns a scan of it.
-
-    Cuts the lineage: what follows survives the loss of any executor and never
-    recomputes ``df``.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of one batch between Spark and Python: long texts make short batches.
 BATCH_BYTES = 8 << 20
 

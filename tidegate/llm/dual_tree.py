@@ -261,14 +261,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, data_block: int =
     group = F.floor((F.col("before") + part * F.col("n_q")) / query_block)
     low = F.lit(-(1 << 63)).cast("long")
     queries = materialize(dealt.where("asks").select("cell", group.alias("qb"), "vec_id", mixed.alias("twin"), "v", F.floor(part * F.col("subs")).cast("int").alias("sub"), low.alias("beat")), "queries")
-    if n > data_block:  # what each query reaches in one block of its own cell
+    found, seen = None, F.lit(False)
+    if n > data_block:  # what each query finds in the block it lies in
         own = data.join(queries.select("qb", "cell", "sub").distinct(), ["cell", "sub"])
-        first = _met(queries, own, ["qb", "cell", "sub"], k, dims, compared)
-        reached = first.groupBy(F.col("query_id").alias("vec_id"), "twin").agg(F.count(F.lit(1)).alias("h"), F.min("score").alias("beat")).where(F.col("h") >= k).drop("h")
+        found = materialize(_met(queries, own, ["qb", "cell", "sub"], k, dims, compared), "found")
+        reached = found.groupBy(F.col("query_id").alias("vec_id"), "twin").agg(F.count(F.lit(1)).alias("h"), F.min("score").alias("beat")).where(F.col("h") >= k).drop("h")
         queries = materialize(queries.drop("beat").join(reached, ["vec_id", "twin"], "left").withColumn("beat", F.coalesce("beat", low)), "queries")
+        seen = (F.col("cell") == F.col("own_cell")) & (F.col("sub") == F.col("own_sub"))
     pairs = materialize(_reaching(queries, cells, pivots).join(table.select("cell", "subs"), "cell"), "pairs")
-    every = queries.drop("cell", "sub").join(pairs, "qb").select("qb", "cell", F.explode(F.sequence(F.lit(0), (F.col("subs") - 1).cast("int"))).alias("sub"), "vec_id", "twin", "v", "beat")
-    best = _met(every, data.join(pairs.select("qb", "cell"), "cell"), ["qb", "cell", "sub"], k, dims, compared)
+    asking = queries.withColumnsRenamed({"cell": "own_cell", "sub": "own_sub"}).join(pairs, "qb").withColumn("sub", F.explode(F.sequence(F.lit(0), (F.col("subs") - 1).cast("int"))))
+    best = _met(asking.where(~seen), data.join(pairs.select("qb", "cell"), "cell"), ["qb", "cell", "sub"], k, dims, compared)
+    best = best if found is None else best.unionByName(found)
     order = Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
