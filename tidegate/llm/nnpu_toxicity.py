@@ -28,7 +28,7 @@ PREFIXES = (4, 5)
 LEAST_POSITIVES, LEAST_Z = 3, 4.0
 STEPS, RATE, DECAY = 400, 0.05, 1e-3
 _EDGES = ".,;:!?\"'()[]{}<>*#-_&$%|="
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 200_000
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:

@@ -24,7 +24,7 @@ _LETTERS = re.compile(f"[{_LATIN}]+").fullmatch
 #: Further places inside a word: before punctuation after a letter, and round a single line break.
 _INSIDE = re.compile(rf"(?<=[{_LATIN}])(?=[,.;:!?\n])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: Words in each of two generations of the store, and other pieces kept.  These bound memory, not results.
-KEPT_WORDS, KEPT_PIECES = 700_000, 100_000
+KEPT_WORDS, KEPT_PIECES = 250_000, 100_000
 _TRIED = (" Ab", " ouanque", "Zz", " Été", "èlle", " Wombat", "the", " The", " řŽ")
 
 
@@ -148,6 +148,7 @@ class WordEncoder:
         laid = pa.array(words, pa.large_binary()).take(pa.array(codes))
         at = np.frombuffer(laid.buffers()[1], np.int64, len(codes) + 1, 8 * laid.offset) // 4
         ids = np.frombuffer(laid.buffers()[2], "<u4") if at[-1] else np.empty(0, "<u4")
+        pa.default_memory_pool().release_unused()  # a worker keeps little between batches
         return ids[: at[-1]], at[np.concatenate(([0], np.cumsum(sizes + 1)))]
 
 
