@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tidegate.functions import scalars
 from tidegate.model import OUTBOX, Settings
 from tidegate.operators import claims, lists, maintenance, states, transitions
+from tidegate.operators.gauges import GaugeSnapshot
 from tidegate.operators.running import inside_any, islands, running_max, running_sum
-from tidegate.streaming.control import ClaimPause, depth, heartbeats, mean_send_time, mean_send_times, pauses, room
+from tidegate.streaming.control import ClaimPause, OffsetClock, depth, fastest_offset, heartbeats, mean_send_time, mean_send_times, pauses, room
 
 NOW = datetime(2024, 1, 20)
 S = timedelta(seconds=1)
@@ -158,6 +159,26 @@ def test_pause_and_queue_rules():
     assert heartbeats(100, 30 * S, 60 * S) == (5, True)
 
 
+def test_clock_follows_the_fastest_trip():
+    ms, at = timedelta(milliseconds=1), iter(range(0, 10_000, 7))
+    clock = OffsetClock(lambda: NOW + 500 * ms, lambda: NOW + next(at) * ms, trips=2)
+    clock()
+    assert 400 * ms < clock.offset < 500 * ms
+    assert fastest_offset([(NOW, NOW + 2 * ms, NOW + 4 * ms), (NOW, NOW + 900 * ms, NOW + 90 * ms)]) == timedelta(0)
+    assert fastest_offset([(NOW, NOW + 50 * ms, NOW + 10 * ms)]) == 45 * ms
+
+
+def test_gauges_are_one_snapshot_or_unknown(spark):
+    import math
+
+    table = {"rows": outbox(spark, {"id": 1}, {"id": 2, "lane": "CONCURRENT", "parked_on": NOW})}
+    shown = GaugeSnapshot(lambda: table["rows"])
+    assert all(map(math.isnan, shown.values.values())) and math.isnan(shown.age_s(NOW))
+    assert shown.refresh(NOW) and (shown.values["ordered.open"], shown.values["concurrent.parked"], shown.values["ordered.relay_lag_s"]) == (1, 1, 100)
+    del table["rows"]
+    assert not shown.refresh(NOW + 5 * S) and all(map(math.isnan, shown.values.values())) and shown.age_s(NOW + 5 * S) == 5
+
+
 def test_claim_pushes_its_filters_and_takes_the_top(spark, tmp_path):
     outbox(spark, {"id": 1}).write.parquet(str(tmp_path / "t"))
     plan = claims.ordered_claim(spark.read.parquet(str(tmp_path / "t")), NOW, 10)._jdf.queryExecution().executedPlan().toString()

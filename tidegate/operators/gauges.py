@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -66,3 +68,31 @@ def total(rows: DataFrame) -> DataFrame:
 
 def metrics_age_s(last_success: datetime | None, now: datetime) -> float:
     return float("nan") if last_success is None else max(0.0, (now - last_success).total_seconds())
+
+
+_SHOWN = ("open", "parked", "pending", "in_flight", "relay_lag_s")
+
+
+@dataclass
+class GaugeSnapshot:
+    """The gauges as last read: all of one instant, or all NaN after a read that failed.
+
+    ``read`` gives the table.  ``values`` has lane.gauge names; before a first read none is known.
+    """
+
+    read: Callable[[], DataFrame]
+    values: dict[str, float] = field(default_factory=lambda: {f"{lane}.{g}": float("nan") for lane in ("concurrent", "ordered") for g in _SHOWN})
+    last_success: datetime | None = None
+
+    def refresh(self, now: datetime) -> bool:
+        """Reads anew and swaps all values at once; says whether that succeeded."""
+        try:
+            rows = gauges(self.read(), now).collect()
+        except Exception:  # whatever a read raises, its gauges are unknown
+            self.values = dict.fromkeys(self.values, float("nan"))
+            return False
+        self.values, self.last_success = {f"{r['lane']}.{g}": float(r[g]) for r in rows for g in _SHOWN}, now
+        return True
+
+    def age_s(self, now: datetime) -> float:
+        return metrics_age_s(self.last_success, now)
