@@ -24,7 +24,7 @@ _LETTERS = re.compile(f"[{_LATIN}]+").fullmatch
 #: Further places inside a word: before punctuation after a letter, and round a single line break.
 _INSIDE = re.compile(rf"(?<=[{_LATIN}])(?=[,.;:!?\n])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: Words in each of two generations of the store, and other pieces kept.  These bound memory, not results.
-KEPT_WORDS, KEPT_PIECES = 250_000, 100_000
+KEPT_WORDS, KEPT_PIECES = 300_000, 100_000
 _TRIED = (" Ab", " ouanque", "Zz", " Été", "èlle", " Wombat", "the", " The", " řŽ")
 
 
