@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import cross_entropy, dual_tree, entropy_secrets, fair_mix, hilbert_pack, jump_shards, mcd_quality, mph_store, nnpu_toxicity, simhash_dedup
+from tidegate.llm import cross_entropy, dual_tree, entropy_secrets, fair_mix, hilbert_pack, jump_shards, mcd_quality, merkle, mph_store, nnpu_toxicity, radix_audit, simhash_dedup
 from tidegate.llm.common import fresh_path, table, vocabulary
 
 
@@ -60,6 +60,14 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check(table(spark, sf_dir, "documents")).drop("path")
+
+
+def op13_radix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_entropy_secrets": op8_entropy_secrets,
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_cross_entropy": op10_cross_entropy,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_radix_audit": op13_radix_audit,
     }
 
 
@@ -94,7 +104,73 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 10
 """
 
+#: Levels of both trees by recursion; a proof takes the other children of each node's parent; each tampered leaf is folded level by level.
+_OP11 = r"""
+WITH RECURSIVE told AS (
+  SELECT row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST) AS uid, doc_id, source,
+    coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+  FROM documents),
+leaf AS (
+  SELECT uid, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS r, row_number() OVER (PARTITION BY source ORDER BY uid) - 1 AS i,
+    sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS h,
+    sha256(head || CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN coalesce(octet_length(encode(low)) || ':' || low, '-') ELSE coalesce(octet_length(encode(text)) || ':' || text, '-') END) AS trial
+  FROM told),
+up AS (
+  SELECT 0 AS l, r, i, h, count(*) OVER (PARTITION BY r) AS n FROM leaf
+  UNION ALL
+  SELECT l + 1, r, i // 16, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 15) // 16 FROM up WHERE n > 1 GROUP BY l, r, i // 16),
+tops AS (SELECT r, l AS height, h AS subroot FROM up WHERE n = 1),
+up2 AS (
+  SELECT 0 AS l, r AS i, subroot AS h, count(*) OVER () AS n FROM tops
+  UNION ALL
+  SELECT l + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 15) // 16 FROM up2 WHERE n > 1 GROUP BY l, i // 16),
+root AS (SELECT l AS height, h AS root FROM up2 WHERE n = 1),
+-- Steps of a leaf: the children of its parent at each level of its source's tree, then of the sources' tree.
+steps AS (
+  SELECT f.uid, u.l AS step, u.i AS kid, f.i >> (4 * u.l) AS own, u.h FROM leaf f JOIN up u ON u.r = f.r AND u.n > 1 AND u.i >> 4 = f.i >> (4 * u.l + 4)
+  UNION ALL
+  SELECT f.uid, t.height + u.l, u.i, f.r >> (4 * u.l), u.h FROM leaf f JOIN tops t ON t.r = f.r JOIN up2 u ON u.n > 1 AND u.i >> 4 = f.r >> (4 * u.l + 4)),
+proof AS (SELECT uid, coalesce(string_agg(h, '' ORDER BY step, kid) FILTER (WHERE kid <> own), '') AS siblings FROM steps GROUP BY uid),
+sides AS (
+  SELECT uid, step, coalesce(string_agg(h, '' ORDER BY kid) FILTER (WHERE kid < own), '') AS before, coalesce(string_agg(h, '' ORDER BY kid) FILTER (WHERE kid > own), '') AS behind
+  FROM steps GROUP BY uid, step),
+folds AS (
+  SELECT uid, 0 AS step, trial AS h FROM leaf
+  UNION ALL
+  SELECT f.uid, f.step + 1, sha256(s.before || f.h || s.behind) FROM folds f JOIN sides s ON s.uid = f.uid AND s.step = f.step)
+SELECT f.doc_id, f.h AS leaf, t.subroot, root.root, sha256(coalesce(p.siblings, '')) AS proof_sha256, d.h AS folded_root, d.h = root.root AS verified
+FROM leaf f JOIN tops t ON t.r = f.r CROSS JOIN root LEFT JOIN proof p ON p.uid = f.uid
+JOIN folds d ON d.uid = f.uid AND d.step = t.height + root.height
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT uid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c_lang FROM w GROUP BY lang, term HAVING count(DISTINCT uid) >= 3),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(c_lang) AS n_lang FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+p AS (
+  SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (n.n + l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.c_lang + 1) // (l.n_lang + l.v) AS q
+  FROM n JOIN langs l ON l.lang = n.lang JOIN kept k ON k.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms QUALIFY rank <= 200)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL can't say the others (trained models, tokenizers, 64-bit hashes of this engine, entropy windows, robust fits): brute force in tests/llm checks them."""
-    return {"op6_dual_tree": _OP6}
+    return {"op6_dual_tree": _OP6, "op11_merkle_manifest": _OP11, "op13_radix_audit": _OP13}
