@@ -10,7 +10,8 @@ import regex
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import ODD, empty, table, words
-from tidegate.llm import merkle, radix_audit
+from tidegate.llm import merkle, radix_audit, suffix_dedup
+from tidegate.llm.suffix_arrays import common_prefixes, suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, leaf string, r long, uid string"
 
@@ -103,6 +104,90 @@ def test_manifest_of_nothing(spark):
     assert merkle.check(table(spark, [None])).first().verified
 
 
+# 12
+
+
+@pytest.mark.parametrize("symbols", [1, 2, 4, 200])
+def test_suffix_array(symbols):
+    rng = np.random.default_rng(symbols)
+    for trial in range(60):
+        text = rng.integers(0, symbols, rng.integers(0, 130)).astype(np.uint8)
+        if trial % 3 == 0 and len(text):
+            text = np.tile(text[: 1 + len(text) // 7], 8)
+        data = text.tobytes()
+        want = sorted(range(len(data)), key=lambda i: data[i:])
+        order = suffix_array(text)
+        assert order.tolist() == want
+        shared = [0] * len(data)
+        for a, b in zip(want, want[1:], strict=False):
+            while max(a, b) + shared[b] < len(data) and data[a + shared[b]] == data[b + shared[b]]:
+                shared[b] += 1
+        assert common_prefixes(text, order).tolist() == shared
+
+
+def repeats(texts, length):
+    """(n_bytes, spans, kept bytes) of each text, by a table of all windows."""
+    data = [(t or "").encode() for t in texts]
+    times = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        spans = []
+        for i in range(len(d) - length + 1):
+            if times[d[i : i + length]] > 1:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + length
+                else:
+                    spans.append([i, i + length])
+        edges = [0, *(x for s in spans for x in s), len(d)]
+        out.append((len(d), spans, b"".join(d[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))))
+    return out
+
+
+def repeating_texts():
+    rng = np.random.default_rng(7)
+    passage, near = words(30, 1), [*words(40, 2)]
+    texts = [*ODD, "a" * 300, "a" * 299 + "b", "ab" * 200, "é" * 90, passage, passage + "x"]
+    for i in range(40):
+        copy = near.copy()
+        copy[int(rng.integers(0, len(near)))] = "#"
+        texts += [words(10 + i % 5, 100 + i) + " " + passage + " " + words(8, 200 + i), "".join(copy), words(20, 300 + i % 30)]
+    return texts + [words(25, 500)] * 5 + [words(9, 600) + words(9, 600)]
+
+
+#: As in production, each context crowded, texts cut into short pieces, and a shard a context.
+SIZES = [{}, {"mark_bytes": 1}, {"piece": 150}, {"shard_bytes": 500, "mark_bytes": 3000}]
+
+
+@pytest.mark.parametrize("sizes", SIZES, ids=["plain", "crowded", "pieces", "shards"])
+def test_repeats(spark, sizes, monkeypatch):
+    if "piece" in sizes:
+        monkeypatch.setattr(suffix_dedup, "RUN", 5)
+    texts = repeating_texts()
+    docs = documents(spark, [(i if i else None, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in suffix_dedup.digest(docs, length=60, gram=16, **sizes).collect()}
+    for i, (n, spans, kept) in enumerate(repeats(texts, 60)):
+        want = (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest())
+        r = got[i if i else None]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want, i
+
+
+def test_repeats_in_the_table(spark):
+    texts = repeating_texts()
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).withColumn("kept", F.lit("own"))
+    got = {r.doc_id: r for r in suffix_dedup.without_repeats(docs, length=60, gram=16).collect()}
+    for i, (_, spans, kept) in enumerate(repeats(texts, 60)):
+        assert [[s.start, s.end] for s in got[i].removed] == spans and bytes(got[i].kept_) == kept and (got[i].kept, got[i].text) == ("own", texts[i])
+
+
+def test_repeats_of_production_length_and_of_nothing(spark):
+    page = words(90, 1)
+    texts = [page[:399], page[:400] + "!", "?" + page[:400], page[1:400] + "&", None, words(3000, 5), page[:400]]
+    got = sorted(tuple(r) for r in suffix_dedup.digest(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect())
+    assert [(r[0], r[2], r[3]) for r in got] == [(0, 0, 0), (1, 400, 1), (2, 400, 1), (3, 0, 0), (4, 0, 0), (5, 0, 0), (6, 400, 1)]
+    assert got[1][4] == hashlib.sha256(b"!").hexdigest() and got[6][4] == hashlib.sha256(b"").hexdigest()
+    assert suffix_dedup.digest(empty(spark)).count() == 0
+
+
 # 13
 
 TERM = regex.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import cross_entropy, dual_tree, entropy_secrets, fair_mix, hilbert_pack, jump_shards, mcd_quality, merkle, mph_store, nnpu_toxicity, radix_audit, simhash_dedup
+from tidegate.llm import cross_entropy, dual_tree, entropy_secrets, fair_mix, hilbert_pack, jump_shards, mcd_quality, merkle, mph_store, nnpu_toxicity, radix_audit, simhash_dedup, suffix_dedup
 from tidegate.llm.common import fresh_path, table, vocabulary
 
 
@@ -64,6 +64,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.check(table(spark, sf_dir, "documents")).drop("path")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_radix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_audit.audit(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_cross_entropy": op10_cross_entropy,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_suffix_dedup": op12_suffix_dedup,
         "op13_radix_audit": op13_radix_audit,
     }
 
@@ -147,6 +152,26 @@ FROM leaf f JOIN tops t ON t.r = f.r CROSS JOIN root LEFT JOIN proof p ON p.uid
 JOIN folds d ON d.uid = f.uid AND d.step = t.height + root.height
 """
 
+#: Every window of every text by its bytes; a run of repeated starts goes on while the next one begins within the one before.
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT uid, unnest(range(octet_length(b) - 399)) AS s, b FROM d WHERE octet_length(b) >= 400),
+h AS (SELECT uid, s, md5(array_slice(b, s + 1, s + 400)) AS h FROM w),
+twice AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT uid, s FROM h SEMI JOIN twice USING (h)),
+marked AS (SELECT uid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY uid ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM hits),
+grouped AS (SELECT uid, s, sum(new) OVER (PARTITION BY uid ORDER BY s) AS span FROM marked),
+spans AS (SELECT uid, span, min(s) AS a, max(s) + 400 AS e FROM grouped GROUP BY uid, span),
+pieces AS (
+  SELECT uid, coalesce(lag(e) OVER (PARTITION BY uid ORDER BY a), 0) AS a, a AS e FROM spans
+  UNION ALL
+  SELECT s.uid, max(s.e), octet_length(any_value(d.b)) FROM spans s JOIN d ON d.uid = s.uid GROUP BY s.uid),
+kept AS (SELECT p.uid, sha256(unhex(string_agg(hex(CASE WHEN p.e > p.a THEN array_slice(d.b, p.a + 1, p.e) ELSE ''::BLOB END), '' ORDER BY p.a, p.e))) AS kept FROM pieces p JOIN d ON d.uid = p.uid GROUP BY p.uid),
+lost AS (SELECT uid, sum(e - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY uid)
+SELECT d.doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(l.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(l.n_spans, 0) AS BIGINT) AS n_spans, coalesce(k.kept, sha256(d.b)) AS kept_sha256
+FROM d LEFT JOIN lost l ON l.uid = d.uid LEFT JOIN kept k ON k.uid = d.uid
+"""
+
 _OP13 = r"""
 WITH d AS (SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
@@ -173,4 +198,4 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 
 def oracle_sql() -> dict[str, str]:
     """SQL can't say the others (trained models, tokenizers, 64-bit hashes of this engine, entropy windows, robust fits): brute force in tests/llm checks them."""
-    return {"op6_dual_tree": _OP6, "op11_merkle_manifest": _OP11, "op13_radix_audit": _OP13}
+    return {"op6_dual_tree": _OP6, "op11_merkle_manifest": _OP11, "op12_suffix_dedup": _OP12, "op13_radix_audit": _OP13}
