@@ -31,9 +31,9 @@ LEAST_DOCS = 3
 #: Shares are counted in billionths.
 UNIT = 1_000_000_000
 #: Leaves of a trie in a task.
-TRIE_LEAVES = 200_000
+TRIE_LEAVES = 400_000
 #: Counters (term, source) that a task gathers before they go to its trie.
-GATHERED = 400_000
+GATHERED = 1_000_000
 #: (language, source) groups of one side of the comparison that tasks are told at once.
 CHUNK = 2_000
 TOP = 200
@@ -45,7 +45,7 @@ class _Node:
     __slots__ = ("label", "kids", "docs", "counts")
 
     def __init__(self, label: bytes):
-        self.label, self.kids, self.docs, self.counts = label, {}, 0, None
+        self.label, self.kids, self.docs, self.counts = label, None, 0, None
 
 
 class RadixTrie:
@@ -57,9 +57,12 @@ class RadixTrie:
     def leaf(self, term: bytes) -> _Node:
         node, i, n = self.root, 0, len(term)
         while i < n:
-            kid = node.kids.get(term[i])
+            kid = node.kids.get(term[i]) if node.kids else None
             if kid is None:
-                kid = node.kids[term[i]] = _Node(term[i:])
+                kid = _Node(term[i:])
+                if node.kids is None:
+                    node.kids = {}
+                node.kids[term[i]] = kid
                 node, i = kid, n
             elif term.startswith(kid.label, i):
                 node, i = kid, i + len(kid.label)
@@ -68,7 +71,7 @@ class RadixTrie:
                 while k < most and kid.label[k] == term[i + k]:
                     k += 1
                 fork = _Node(kid.label[:k])
-                fork.kids[kid.label[k]], kid.label = kid, kid.label[k:]
+                fork.kids, kid.label = {kid.label[k]: kid}, kid.label[k:]
                 node.kids[term[i]], node, i = fork, fork, i + k
         if node.counts is None:
             node.counts = {}
@@ -91,7 +94,23 @@ class RadixTrie:
             term = before + node.label
             if node.counts is not None:
                 yield term, node.docs, node.counts
-            above.extend((term, node.kids[b]) for b in sorted(node.kids, reverse=True))
+            if node.kids:
+                above.extend([(term, kid) for _, kid in sorted(node.kids.items(), reverse=True)])
+
+
+def _uncollected(f):
+    """``f`` without the search for cycles, which tries have none of and which walks every node again and again."""
+
+    def run(batches: Iterator) -> Iterator:
+        import gc
+
+        gc.disable()
+        try:
+            yield from f(batches)
+        finally:
+            gc.enable()
+
+    return run
 
 
 def _batch(leaves: list[tuple]):
@@ -127,15 +146,18 @@ def _count(batches: Iterator) -> Iterator:
     docs: dict[str, Counter] = defaultdict(Counter)
 
     def gather() -> None:
-        for (lang, source), own in counts.items():
-            trie = tries[lang]
-            for term, n in own.items():
-                found = trie.leaf(term).counts
-                found[source] = found.get(source, 0) + n
+        leaves: dict[str, dict[bytes, dict]] = defaultdict(dict)
         for lang, own in docs.items():
-            trie = tries[lang]
+            leaf, found = tries[lang].leaf, leaves[lang]
             for term, n in own.items():
-                trie.leaf(term).docs += n
+                node = leaf(term)
+                node.docs += n
+                found[term] = node.counts
+        for (lang, source), own in counts.items():
+            found = leaves[lang]
+            for term, n in own.items():
+                at = found[term]
+                at[source] = at.get(source, 0) + n
         counts.clear()
         docs.clear()
 
@@ -153,6 +175,25 @@ def _count(batches: Iterator) -> Iterator:
     yield from _written(tries)
 
 
+def _ends(batch):
+    """Where each row's counters begin and end."""
+    offsets = batch["ids"].offsets.to_numpy()
+    return offsets - offsets[0]
+
+
+def _runs(batch) -> tuple[list[int], list[int]]:
+    """(first rows of the runs of one (lang, term), documents of each run)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    if n < 2:
+        return list(range(n)), batch["docs"].to_pylist()
+    new = pc.or_(*[pc.not_equal(batch[c].slice(1), batch[c].slice(0, n - 1)) for c in ("lang", "term")]).to_numpy(zero_copy_only=False)
+    first = np.concatenate([[0], np.flatnonzero(new) + 1])
+    return first.tolist(), np.add.reduceat(batch["docs"].to_numpy(), first).tolist()
+
+
 def _merge(batches: Iterator) -> Iterator:
     """Leaves in order of (lang, term), those of a term as one."""
     tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
@@ -172,11 +213,16 @@ def _merge(batches: Iterator) -> Iterator:
         tries[lang] = kept
 
     for batch in batches:
-        langs, terms, docs = (batch[k].to_pylist() for k in ("lang", "term", "docs"))
-        ends = batch["ids"].offsets.to_pylist()
-        ids, counts = batch["ids"].values.to_pylist(), batch["counts"].values.to_pylist()
-        for k, (lang, term) in enumerate(zip(langs, terms, strict=True)):
-            tries[lang].add(term, docs[k], dict(zip(ids[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]], strict=True)))
+        langs, terms = batch["lang"].to_pylist(), batch["term"].to_pylist()
+        ends = _ends(batch).tolist()
+        ids, counts = batch["ids"].flatten().to_pylist(), batch["counts"].flatten().to_pylist()
+        first, docs = _runs(batch)
+        for k, until, n in zip(first, [*first[1:], len(terms)], docs, strict=True):
+            node = tries[langs[k]].leaf(terms[k])
+            node.docs += n
+            own = node.counts
+            for i in range(ends[k], ends[until]):
+                own[ids[i]] = own.get(ids[i], 0) + counts[i]
         if langs:
             last = (langs[-1], terms[-1])
         if sum(t.leaves for t in tries.values()) >= TRIE_LEAVES // 4:
@@ -190,9 +236,9 @@ def count_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     docs: (lang, source, text) without nulls.  Rows are in ranges of (lang, term), in order.
     """
     told = bounded_batches(docs).select("lang", F.xxhash64("source").alias("id"), F.col("text").cast("binary").alias("text"))
-    tries = materialize(told.mapInArrow(_count, _LEAF), "tries")
+    tries = materialize(told.mapInArrow(_uncollected(_count), _LEAF), "tries")
     by = ("lang", "term")
-    return materialize(tries.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_merge, _LEAF).where(F.col("docs") >= least_docs), "terms")
+    return materialize(tries.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_uncollected(_merge), _LEAF).where(F.col("docs") >= least_docs), "terms")
 
 
 def share(count, total):
@@ -269,8 +315,8 @@ def _compare(mine: list[tuple], others: list[tuple], with_terms: bool, top: int)
 
         for batch in batches:
             langs, terms = np.array(batch["lang"].to_pylist(), object), batch["term"].to_pylist()
-            ends = batch["ids"].offsets.to_numpy()
-            ids, counts = (batch[k].values.to_numpy() for k in ("ids", "counts"))
+            ends = _ends(batch)
+            ids, counts = (batch[k].flatten().to_numpy() for k in ("ids", "counts"))
             starts = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), len(terms)] if len(terms) else [0]
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 if langs[s] not in left:
