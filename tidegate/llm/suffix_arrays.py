@@ -73,31 +73,38 @@ def _induced_bytes(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.n
 
 def _induced_names(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """:func:`_induced_bytes` for symbols 0, 1, ... of any number."""
-    sizes = np.bincount(text)
+    n, sizes = len(text), np.bincount(text)
     ends = np.cumsum(sizes)
-    symbols, smaller = text.tolist(), small.tolist()
-    out = [-1] * len(symbols)
+    # The symbol before a suffix, if what begins there is larger (smaller), else -1; empty places end at -1 too.
+    larger, smaller = np.full(n + 1, -1), np.full(n + 1, -1)
+    larger[1:n] = np.where(small[:-1], -1, text[:-1])
+    smaller[1:n] = np.where(small[:-1], text[:-1], -1)
+    before = larger.tolist()
+    out = [-1] * n
+    symbols = text[lms].tolist()
     at = ends.tolist()
-    for i in lms[::-1].tolist():
-        c = symbols[i]
+    for i, c in zip(lms[::-1].tolist(), reversed(symbols), strict=True):
         at[c] -= 1
         out[at[c]] = i
     at = (ends - sizes).tolist()
-    c = symbols[-1]
-    out[at[c]] = len(symbols) - 1
+    c = int(text[-1])
+    out[at[c]] = n - 1
     at[c] += 1
     for i in out:
-        if i > 0 and not smaller[i - 1]:
-            c = symbols[i - 1]
-            out[at[c]] = i - 1
-            at[c] += 1
-    at = ends.tolist()
-    for k in range(len(out) - 1, -1, -1):
+        c = before[i]
+        if c >= 0:
+            k = at[c]
+            out[k] = i - 1
+            at[c] = k + 1
+    before = smaller.tolist()
+    at = (ends - 1).tolist()
+    for k in range(n - 1, -1, -1):
         i = out[k]
-        if i > 0 and smaller[i - 1]:
-            c = symbols[i - 1]
-            at[c] -= 1
-            out[at[c]] = i - 1
+        c = before[i]
+        if c >= 0:
+            k = at[c]
+            out[k] = i - 1
+            at[c] = k - 1
     return np.array(out, np.int64)
 
 

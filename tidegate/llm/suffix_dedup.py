@@ -26,11 +26,11 @@ from tidegate.llm.common import bounded_batches, columns_of, fresh_path, materia
 
 LENGTH = 400
 GRAM = 64
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 512 << 10
 #: Bytes of the different runs of one mark that a shard takes.
-MARK_BYTES = 2 << 20
+MARK_BYTES = 1 << 20
 #: Bytes that a task hashes at once, and windows of a run; longer ones are cut, which loses nothing.
-PIECE = 4 << 20
+PIECE = 1 << 20
 RUN = 1 << 14
 
 _BASE = 0x9E3779B97F4A7C15
@@ -137,7 +137,7 @@ def _runs_of(length: int, gram: int, piece: int):
     return run
 
 
-def _context_rows(length: int, at_once: int = 4 << 20):
+def _context_rows(length: int, at_once: int = 2 << 20):
     """The bytes of runs, once a batch for equal ones."""
 
     def run(batches: Iterator) -> Iterator:
