@@ -125,9 +125,9 @@ def test_prune_stops_at_its_budget(spark):
     rows = outbox(spark, *({"id": i, "relayed_on": old} for i in range(5)), {"id": 9, "cancelled_on": old}, {"id": 10})
     got = maintenance.prune(rows, NOW, settings=Settings(maintenance_batch=2))
     assert (got.relayed, got.cancelled, got.more_to_prune, got.rows.count()) == (5, 1, False, 1)
-    ticks = iter([0.0, 1.0, 99.0, 99.0, 99.0])
-    got = maintenance.prune(rows, NOW, settings=Settings(maintenance_batch=2), clock=lambda: next(ticks))
-    assert (got.relayed, got.cancelled, got.more_to_prune) == (2, 0, True)
+    for batches, want in ((0, (0, 0, True, 7)), (1, (2, 0, True, 5)), (2, (4, 0, True, 3)), (3, (5, 0, True, 2)), (4, (5, 1, False, 1))):
+        got = maintenance.prune(rows, NOW, settings=Settings(maintenance_batch=2), batches=batches)
+        assert (got.relayed, got.cancelled, got.more_to_prune, got.rows.count()) == want
 
 
 def test_pages_and_filters(spark):

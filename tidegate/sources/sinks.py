@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidegate.functions import scalars
 from tidegate.model import DEFAULTS, Settings
 
-OUTCOME = "id long, outcome string, error string"
+#: took_us: the time of the send; interrupted: it ran into its bound.
+OUTCOME = "id long, outcome string, error string, took_us long, interrupted boolean"
+_COLUMNS = ["id", "outcome", "error", "took_us", "interrupted"]
 
 
 def stamped_headers(rows: DataFrame, settings: Settings = DEFAULTS, fold_case: bool = False) -> DataFrame:
@@ -59,6 +61,7 @@ def send_http(rows: DataFrame, profiles: Mapping[str, Mapping[str, str]] | None
     known = dict(profiles or {})
 
     def run(batches: Iterator) -> Iterator:
+        import time
         import urllib.error
         import urllib.request
 
@@ -75,39 +78,59 @@ def send_http(rows: DataFrame, profiles: Mapping[str, Mapping[str, str]] | None
                 try:
                     extra = http_client(None if pd.isna(r.client_profile) else r.client_profile, known)
                 except LookupError as e:
-                    out.append((r.id, "TERMINAL", f"LookupError: {e}"))
+                    out.append((r.id, "TERMINAL", f"LookupError: {e}", 0, False))
                     continue
                 ask = urllib.request.Request(r.destination, r.payload.encode(), {"Content-Type": "application/json", **dict(r.sent_headers), **extra}, method="POST")
+                began, late = time.monotonic(), False
                 try:
                     with opener.open(ask, timeout=timeout_s) as got:
                         ok = 200 <= got.status < 300
-                        out.append((r.id, "OK" if ok else "FAIL", None if ok else f"HTTPError: {got.status}"))
+                        said = None if ok else f"HTTPError: {got.status}"
                 except urllib.error.HTTPError as e:
-                    out.append((r.id, "FAIL", f"HTTPError: {e.code}"))
+                    ok, said = False, f"HTTPError: {e.code}"
                 except Exception as e:  # whatever a send raises is its outcome
-                    out.append((r.id, "FAIL", f"{type(e).__name__}: {e}"[: scalars.ERROR_LENGTH]))
-            yield pd.DataFrame(out, columns=["id", "outcome", "error"])
+                    ok, said, late = False, f"{type(e).__name__}: {e}"[: scalars.ERROR_LENGTH], isinstance(e, TimeoutError)
+                out.append((r.id, "OK" if ok else "FAIL", said, int(1e6 * (time.monotonic() - began)), late))
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     sent = stamped_headers(rows, settings, fold_case=True)
     return sent.select("id", "destination", "client_profile", "payload", "sent_headers").mapInPandas(run, OUTCOME)
 
 
-def send_with(rows: DataFrame, publish: Callable[[dict], None]) -> DataFrame:
-    """(id, outcome, error) of a Python publisher called for each row; what it raises is a failure, LookupError terminal."""
+def send_with(rows: DataFrame, publish: Callable[[dict], None], bound_s: float | None = None) -> DataFrame:
+    """Outcomes of a Python publisher called for each row; what it raises is a failure, LookupError terminal.
+
+    bound_s: a send that runs longer is left to itself and counts as interrupted; the next
+    row goes on without it.
+    """
 
     def run(batches: Iterator) -> Iterator:
+        import threading
+        import time
+
         import pandas as pd
 
+        def send(r: dict) -> tuple:
+            began = time.monotonic()
+            told: tuple = ("OK", None)
+            try:
+                publish(r)
+            except LookupError as e:
+                told = ("TERMINAL", f"{type(e).__name__}: {e}")
+            except Exception as e:  # whatever a send raises is its outcome
+                told = ("FAIL", f"{type(e).__name__}: {e}"[: scalars.ERROR_LENGTH])
+            return (r["id"], *told, int(1e6 * (time.monotonic() - began)), False)
+
+        def bounded(r: dict) -> tuple:
+            if bound_s is None:
+                return send(r)
+            got: list[tuple] = []
+            worker = threading.Thread(target=lambda: got.append(send(r)), daemon=True)
+            worker.start()
+            worker.join(bound_s)
+            return got[0] if got else (r["id"], "FAIL", f"InterruptedError: no answer in {bound_s} s", int(1e6 * bound_s), True)
+
         for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                try:
-                    publish(r)
-                    out.append((r["id"], "OK", None))
-                except LookupError as e:
-                    out.append((r["id"], "TERMINAL", f"{type(e).__name__}: {e}"))
-                except Exception as e:  # whatever a send raises is its outcome
-                    out.append((r["id"], "FAIL", f"{type(e).__name__}: {e}"[: scalars.ERROR_LENGTH]))
-            yield pd.DataFrame(out, columns=["id", "outcome", "error"])
+            yield pd.DataFrame([bounded(r) for r in pdf.to_dict("records")], columns=_COLUMNS)
 
     return rows.mapInPandas(run, OUTCOME)
