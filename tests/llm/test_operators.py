@@ -610,6 +610,27 @@ def test_cross_entropy(spark, bucket_bytes, own):
             assert r.target_loss is r.background_loss is r.difference is None
 
 
+@pytest.mark.parametrize("samples", [cross_entropy.SAMPLES, 100])
+def test_cross_entropy_tells_tasks_little(spark, monkeypatch, samples):
+    """Buckets of far fewer tokens than a batch has words: few candidates come to the driver, fewer go to tasks, and losses stay."""
+    rng = np.random.default_rng(11)
+    texts = [words(250, i, 4000) + " " + " ".join(["the of the and"] * int(rng.integers(5, 25))) for i in range(120)]
+    size, told = sum(map(len, texts)) + len(texts[0]), {}
+    bucket_bytes = 1500
+    buckets = 1 + size // bucket_bytes
+    monkeypatch.setattr(cross_entropy, "SAMPLES", samples)
+    ask, know = cross_entropy._candidates, cross_entropy._known_beforehand
+    monkeypatch.setattr(cross_entropy, "_candidates", lambda *a: told.setdefault("asked", ask(*a)))
+    monkeypatch.setattr(cross_entropy, "_known_beforehand", lambda *a: told.setdefault("known", know(*a)))
+    rows = {r.doc_id: r for r in cross_entropy.scores(table(spark, texts), table(spark, texts[:1]), bucket_bytes=bucket_bytes).collect()}
+    n = Counter(told["asked"].select("kind").rdd.map(lambda r: r[0]).collect())
+    assert buckets > 100 and 0 < n[0] <= 32 * buckets and n[1] <= 32 * buckets
+    the = {xxhash.xxh3_64_intdigest(w) for w in ("the", "of", "and")}
+    assert len(told["known"]["words"][0]) <= 16 * buckets and the <= set(told["known"]["words"][0].tolist()) and 4 <= len(told["known"]["bigrams"][0]) <= 16 * buckets
+    for i, (count, b, t) in enumerate(plain_losses(texts, texts[:1], texts)):
+        assert rows[i].n_tokens == count and math.isclose(rows[i].background_loss, b, rel_tol=1e-9) and math.isclose(rows[i].target_loss, t, rel_tol=1e-9)
+
+
 def test_cross_entropy_of_many_words(spark):
     texts = [" ".join(f"x{k}" for k in range(i * 1000, i * 1000 + 1500)) for i in range(90)]
     rows = {r.doc_id: r for r in cross_entropy.scores(table(spark, texts), table(spark, texts[:1]), bucket_bytes=100_000).collect()}

@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidegate.llm.common import bounded_batches, text_or_empty
+from tidegate.llm.common import bounded_batches, materialize, text_or_empty
 
 #: Pseudo-count of the unigram estimate in a bigram estimate, and of the pooled one in that.
 PRIOR_UNIGRAM, PRIOR_POOLED = 1.0, 1.0
 #: Bytes of text for each bucket, and the part of a bucket that one word or bigram may be before it is dealt apart.
 BUCKET_BYTES, HEAVY_PART = 48 << 20, 1 / 16
+#: Tokens of a bucket's bytes that are sampled for frequent ones, and the bytes a token is taken to have for that.
+SAMPLES, TOKEN_BYTES = 6400, 6
 #: Hashes of a text's end, which is predicted like a word, and of its start.
 _END, _START = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -80,22 +82,31 @@ def _place(keys, asked):
     return at, keys[at] == asked
 
 
-def _frequent_somewhere(texts: DataFrame, share: float) -> DataFrame:
-    """(kind, key) of words (0) and bigrams (1) that are ``share`` of some batch: all that are of the whole, and some more."""
+def _candidates(texts: DataFrame, share: float, rate: float) -> DataFrame:
+    """(kind, key) of words (0) and bigrams (1) that are at least half of ``share`` in a random sample of tokens: at most 2/share of each.
+
+    The sample is the same if a batch is read again.  Something as frequent as ``share`` has
+    about SAMPLES * HEAVY_PART sampled tokens, so that it falls below half of them practically
+    never; if it did, its bucket would be larger and the losses the same.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        for b in batches:
+        part = TaskContext.get().partitionId()
+        for turn, b in enumerate(batches):
             hashes, number, sizes = tokens(b.column("text"))
-            _, before, bigram = _pairs(hashes, number, sizes)
-            often = np.bincount(number, minlength=len(hashes)) >= max(1.0, share * len(number))
-            seen, n = np.unique(bigram[often[number] & (often[before] | (before == len(hashes) - 1))], return_counts=True)
-            for kind, keys in ((0, hashes[often]), (1, seen[n >= share * len(number)])):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64))], names=["kind", "key"])
+            _, _, bigram = _pairs(hashes, number, sizes)
+            drawn = np.flatnonzero(np.random.default_rng([part, turn]).random(len(number)) < rate)
+            for kind, keys in ((0, hashes[number[drawn]]), (1, bigram[drawn]), (2, np.zeros(len(drawn), np.uint64))):
+                found, n = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), kind), pa.int32()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
-    return texts.select("text").mapInArrow(run, "kind int, key long").distinct()
+    counts = materialize(texts.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "sample")
+    total = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    return counts.where((F.col("kind") < 2) & (F.col("n") >= F.lit(share / 2 * total))).select("kind", "key")
 
 
 def _counted(texts: DataFrame, asked: dict) -> DataFrame:
@@ -132,13 +143,13 @@ def _counted(texts: DataFrame, asked: dict) -> DataFrame:
     return counts.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _known_beforehand(texts: DataFrame, share: float) -> dict:
-    """Totals and the counts of what is too frequent for one bucket: at most 1/share words and as many bigrams."""
+def _known_beforehand(texts: DataFrame, share: float, rate: float) -> dict:
+    """Totals and the counts of what is too frequent for one bucket: at most 1/share words and as many bigrams, of at most twice as many candidates."""
     import numpy as np
 
     asked = {0: [], 1: []}
     if share < 1:
-        for r in _frequent_somewhere(texts, share).collect():
+        for r in _candidates(texts, share, rate).collect():
             asked[r["kind"]].append(r["key"] % 2**64)
     asked = {k: np.array(sorted(v), dtype=np.uint64) for k, v in asked.items()}
     counts = _counted(texts, asked)
@@ -361,7 +372,7 @@ def scores(docs: DataFrame, target: DataFrame, background: DataFrame | None = No
     modelled = texts.where("side >= 0")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + size // bucket_bytes
-    found = _known_beforehand(modelled, HEAVY_PART / buckets if buckets > 1 else 1.0)
+    found = _known_beforehand(modelled, HEAVY_PART / buckets if buckets > 1 else 1.0, min(1.0, SAMPLES * TOKEN_BYTES / bucket_bytes))
     known = docs.sparkSession.sparkContext.broadcast(found)  # at most 16 words and 16 bigrams a bucket
     sums = _summed(_answers(_cells(texts, known, buckets), known, buckets), known)
     n = F.col("n_tokens")
