@@ -232,5 +232,6 @@ _N9_LAST = "SELECT w2.id, st - fr0 AS wait_us, (a2.u - a1.u)::BIGINT AS free_us
 
 def oracle_sql() -> dict[str, str]:
     out = {name: f"{BASE}{_FREE if name == 'n8_free_time' else ''} {sql}" for name, sql in QUERIES.items()}
+    out["w12_pause_stream"] = out["w12_pauses"]
     out["n9_starved"] = f"{BASE}{_FREE}{_N9} {_N9_LAST}"
     return out

@@ -13,7 +13,7 @@ from tidegate.model import DEFAULTS, Settings
 from tidegate.operators import analytics, claims, gauges, lists, maintenance, states, transitions
 from tidegate.plans import tables
 from tidegate.sources import append, fixtures, sinks
-from tidegate.streaming import control, relay
+from tidegate.streaming import control, relay, stateful
 
 NOW = fixtures.NOW
 MIDDLE = "https://hub/3"
@@ -448,18 +448,33 @@ def w3_relay_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES["w3_relay_drain"] = w3_relay_drain
 
 
-def w12_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _verdict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     good = F.floor(e * 2654435761 / 65536) % 10 < 2
-    log = _events(spark, sf_dir).select(
+    return _events(spark, sf_dir).select(
         F.concat(F.lit("pod-"), e % 3).alias("pod"), F.when(e % 10 < 4, "http").otherwise("kafka").alias("transport"), e.alias("seq"), F.when(good, "success").otherwise("failure").alias("verdict")
     )
-    return control.pauses(log)
+
+
+def w12_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.pauses(_verdict_log(spark, sf_dir))
 
 
 _QUERIES["w12_pauses"] = w12_pauses
 
 
+def w12_pause_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`w12_pauses` by the stream with keyed state: what it tells last of each pod and transport."""
+    log = _verdict_log(spark, sf_dir)
+    given, out, checkpoint = (tables.fresh_path(spark, name) for name in ("verdicts", "pauses", "checkpoint"))
+    log.write.parquet(given)
+    stateful.after_one_batch(stateful.pause_stream(spark.readStream.schema(log.schema).parquet(given)), out, checkpoint)
+    return stateful.last_pauses(spark.read.schema(stateful.PAUSE).parquet(out))
+
+
+_QUERIES["w12_pause_stream"] = w12_pause_stream
+
+
 def w14_clock_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     rtt, off = 100 + e * 7919 % 5000, (e % 50 - 25) * 400 + e % 3
@@ -495,9 +510,11 @@ def n1_never_relayed(o):
     return analytics.never_relayed(o, o.where(F.col("id") % 10 == 0).select("id"))
 
 
-@_on_log("n2_never_received")
-def n2_never_received(o, log):
-    return analytics.never_received(o, log.where(F.col("row_id") % 97 != 0))
+def n2_never_received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _micros(analytics.never_received(fixtures.outbox(spark, sf_dir), fixtures.received(spark, sf_dir)))
+
+
+_QUERIES["n2_never_received"] = n2_never_received
 
 
 @_on_log("n3_duplicates")

@@ -76,3 +76,8 @@ def outages(spark: SparkSession) -> DataFrame:
     """(lo, hi) of database outages."""
     data = [(datetime(2024, 1, 3), datetime(2024, 1, 3, 6)), (datetime(2024, 1, 10, 12), datetime(2024, 1, 10, 13))]
     return spark.createDataFrame(data, "lo timestamp, hi timestamp")
+
+
+def received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delivery log that has lost every delivery of each 97th row."""
+    return deliveries(spark, sf_dir).where(F.col("row_id") % 97 != 0)

@@ -7,6 +7,7 @@ the store finds those that have come without looking at the others.
 from __future__ import annotations
 
 import contextlib
+import threading
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -131,3 +132,20 @@ def due_stream(rows: DataFrame) -> DataFrame:
     due = F.unix_micros(F.greatest("next_attempt_on", "release_at")).alias("due_us")
     waits = rows.select("id", "seq", due).groupBy("id").transformWithState(_Due(), "id long, due_us long", "Update", "ProcessingTime")
     return waits.select("id", F.timestamp_micros("due_us").alias("due_on"))
+
+
+def after_one_batch(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Writes what a stream with timers tells of all that is there, and ends it: by itself it never has nothing to do."""
+    done = threading.Event()
+
+    def on_batch(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").parquet(out)
+        done.set()
+
+    with keyed_state(stream.sparkSession):
+        query = stream.writeStream.outputMode("update").foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
+    while query.isActive and not done.wait(0.2):
+        pass
+    if (error := query.exception()) is not None:
+        raise error
+    query.stop()
