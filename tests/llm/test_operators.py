@@ -92,6 +92,31 @@ def test_least_determinant(spark):
         assert np.allclose([found[f"m{k}"] for k in range(5)], z[3:].mean(0))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_cluster_of_a_fifth_is_rejected(spark, seed):
+    """88 of 400 in a tight cluster against the correlation: the least determinant is that of the others, and only they go."""
+    rng = np.random.default_rng(seed)
+    mixed = rng.standard_normal((5, 5)) * 0.4 + np.eye(5)
+    x = rng.standard_normal((400, 5)) @ mixed
+    weak = np.linalg.eigh(np.cov(x.T))[1][:, 0]
+    x[:88] = 14 * np.sqrt(np.linalg.eigvalsh(np.cov(x.T))[0]) * weak + 0.15 * rng.standard_normal((88, 5))
+    fixed = np.round((x + 8) * mcd_quality.SCALE).astype(np.int64)
+    draws = [int(k) for k in rng.integers(1 << 60, size=400)]
+    df = spark.createDataFrame([("g", k, *map(int, r)) for k, r in zip(draws, fixed, strict=True)], "_group string, _draw long, x1 long, x2 long, x3 long, x4 long, x5 long")
+    found = mcd_quality.fit(df)
+    z, h, best = fixed / mcd_quality.SCALE, math.ceil(mcd_quality.SUPPORT * 400), np.inf
+    for _ in range(200):  # plain starts of six points, concentrated on all
+        keep = rng.choice(400, 6, replace=False)
+        for _ in range(12):
+            c = np.cov(z[keep].T, bias=True) + 1e-9 * np.eye(5)
+            d = z - z[keep].mean(0)
+            keep = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d), kind="stable")[:h]
+        best = min(best, np.linalg.slogdet(np.cov(z[keep].T, bias=True) * mcd_quality.CONSISTENCY)[1])
+    assert found.first().logdet < best + 0.05
+    far = df.join(found.drop("n"), "_group").select("_draw", (mcd_quality.distance() > mcd_quality.CUTOFF).alias("out")).collect()
+    assert {r._draw for r in far if r.out} == set(draws[:88])
+
+
 # 2 and 5
 
 

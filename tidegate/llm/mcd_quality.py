@@ -25,8 +25,11 @@ MIN_WORDS = 50
 #: Statistics are kept in units of 1/SCALE.
 SCALE = 1024
 SUPPORT = 0.75
-#: Subsets drawn as starts beside the medians, and about how many documents each has.
-SUBSETS, SUBSET = 4, 32
+#: Subsets drawn as starts beside the medians, about how many documents each has, and of how many of a group's they
+#: are drawn and first concentrated: a subset without outliers has to be among them.
+SUBSETS, SUBSET, SAMPLE = 32, 7, 320
+#: Starts that go on with the whole group.
+KEPT = 4
 #: Concentration steps of every start, and at most of the best one after these.
 FIRST_STEPS, MORE_STEPS = 2, 20
 #: Documents an estimate needs; a group of fewer is judged by its language, a language of fewer by all documents.
@@ -140,7 +143,12 @@ def _with_estimates(vectors: DataFrame, now: DataFrame, how: str = "inner") -> D
 
 
 def _starts(vectors: DataFrame) -> DataFrame:
-    """(_group, _start, n, centre, factor, logdet): medians with their deviations (0) and subsets drawn by hash (1 and on)."""
+    """(_group, _start, n, centre, factor, logdet): medians with their deviations (0), and the best of subsets drawn by hash (1 and on).
+
+    Subsets are small, so that some hold no outlier, and many; they are drawn from, and
+    concentrated on, a sample of each group that its hashes draw, of a size that doesn't
+    grow.  The best by determinant go on with the whole group.
+    """
     middle = materialize(vectors.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(x, F.lit(0.5)).alias(f"c{i}") for i, x in enumerate(NAMES)]), "mcd")
     off = _with_estimates(vectors, middle.drop("n")).select("_group", *[F.abs(F.col(x) - F.col(f"c{i}")).cast("long").alias(x) for i, x in enumerate(NAMES)])
     spread = off.groupBy("_group").agg(*[F.percentile(x, F.lit(0.5)).alias(f"s{i}") for i, x in enumerate(NAMES)])
@@ -151,11 +159,18 @@ def _starts(vectors: DataFrame) -> DataFrame:
         *[(wide[i] if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in _CELLS],
         F.lit(float("inf")).alias("logdet"),
     )
-    draw = F.shiftrightunsigned(F.xxhash64("_draw", F.col("_start")), 33) / F.lit(2.0**31)
-    some = _with_estimates(vectors, middle.select("_group", "n")).withColumn("_start", F.explode(F.array(*[F.lit(k + 1) for k in range(SUBSETS)]))).where(draw * F.col("n") < SUBSET)
+    draw = lambda k: F.shiftrightunsigned(F.xxhash64("_draw", k), 33) / F.lit(2.0**31)
+    sample = materialize(_with_estimates(vectors, middle.select("_group", "n")).where(draw(F.lit(0)) * F.col("n") < SAMPLE), "mcd")
+    some = sample.withColumn("_start", F.explode(F.sequence(F.lit(1), F.lit(SUBSETS)))).where(draw(F.col("_start")) * F.least("n", F.lit(SAMPLE)) < SUBSET)
     sums = some.groupBy("_group", "_start").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n"), *[F.sum(v).alias(k) for k, v in _moments().items()])
-    drawn = _estimated(sums, "h", 1.0, "_group", "_start", "n").withColumn("logdet", F.lit(float("inf")))
-    return medians.unionByName(drawn)
+    drawn = _estimated(sums, "h", 1.0, "_group", "_start", "n").withColumns({"logdet": F.lit(float("inf")), "done": F.lit(False)})
+    drawn = materialize(drawn, "mcd")
+    for _ in range(FIRST_STEPS):
+        drawn = _advance(sample.drop("n"), drawn)
+    best = Window.partitionBy("_group").orderBy("logdet", "_start")  # a row a start
+    drawn = drawn.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= KEPT).drop("_rank", "done")
+    # Determinants of samples don't compare with those of whole groups.
+    return medians.unionByName(drawn.withColumn("logdet", F.lit(float("inf"))))
 
 
 def _concentrate(vectors: DataFrame, now: DataFrame) -> DataFrame:
