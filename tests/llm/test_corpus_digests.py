@@ -236,8 +236,8 @@ def test_divergence(spark, monkeypatch):
     want = divergence(rows)
     assert plain(radix_audit.audit(docs)) == want
     assert any(r[2] == "pair" and r[4] == 0 and r[0] == "fr" for r in want) and max(r[5] for r in want if r[2] == "term") == 200
-    # Small tries, and groups a few at a time, give the same.
-    for name, value in (("TRIE_LEAVES", 60), ("GATHERED", 50), ("CHUNK", 4)):
+    # Small tries, groups a few at a time and texts cut into pieces give the same.
+    for name, value in (("TRIE_LEAVES", 60), ("GATHERED", 50), ("CHUNK", 4), ("PIECE", 9)):
         monkeypatch.setattr(radix_audit, name, value)
     assert plain(radix_audit.audit(docs)) == want
 

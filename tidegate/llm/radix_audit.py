@@ -26,6 +26,9 @@ from tidegate.llm.common import bounded_batches, materialize, quoted, text_or_em
 
 #: A term's bytes: ASCII letters and all of a character beyond ASCII.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
+_GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
+#: Bytes of a text that are cut into terms at once.
+PIECE = 4 << 20
 #: Documents of its language that a term must be in.
 LEAST_DOCS = 3
 #: Shares are counted in billionths.
@@ -139,6 +142,18 @@ def _written(tries: dict[str, RadixTrie], size: int = 20_000) -> Iterator:
         yield _batch(rows)
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces that end where no term goes on."""
+    at = 0
+    while len(text) - at > PIECE:
+        gap = _GAP.search(text, at + PIECE)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
 def _count(batches: Iterator) -> Iterator:
     """Tries of (lang, source id, text) rows."""
     tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
@@ -163,9 +178,12 @@ def _count(batches: Iterator) -> Iterator:
 
     for batch in batches:
         for lang, source, text in zip(*(batch[k].to_pylist() for k in range(3)), strict=True):
-            terms = TERM.findall(text.lower())
-            counts[lang, source].update(terms)
-            docs[lang].update(set(terms))
+            seen: set[bytes] = set()
+            for piece in _pieces(text):
+                terms = TERM.findall(piece.lower())
+                counts[lang, source].update(terms)
+                seen.update(terms)
+            docs[lang].update(seen)
         if sum(map(len, counts.values())) >= GATHERED:
             gather()
         if sum(t.leaves for t in tries.values()) >= TRIE_LEAVES:
