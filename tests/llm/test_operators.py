@@ -335,6 +335,45 @@ def test_search_leaves_cells_out(spark):
     assert told.value <= 30 * 600
 
 
+@pytest.mark.parametrize("shape", ["clusters", "shapeless", "line", "repeated", "one"])
+def test_cover_tree_invariants(shape):
+    rng = np.random.default_rng(7)
+    x = {
+        "clusters": rng.integers(-3000, 3000, (15, 12))[rng.integers(0, 15, 1500)] + rng.integers(-40, 40, (1500, 12)),
+        "shapeless": np.floor(1024 * rng.standard_normal((1500, 64))),
+        "line": np.stack([2 ** rng.integers(0, 40, 700), np.zeros(700, int)], axis=1),
+        "repeated": np.repeat(rng.integers(0, 9, (6, 3)), 100, axis=0),
+        "one": np.array([[5, 5]]),
+    }[shape].astype(float)
+    own, number, gap, up = planted = dual_tree.plant(x)
+    at = [int(np.flatnonzero(number == t)[0]) for t in range(number.max() + 1)]
+    level = dual_tree.levels(gap[at])
+    apart = np.sqrt(((x[at][:, None] - x[at][None]) ** 2).sum(2))
+    away = np.sqrt(((x[:, None] - x[at][None]) ** 2).sum(2))
+    assert (away[np.arange(len(x)), own] <= away.min(1) * (1 + 1e-6) + 1e-3).all()
+    for i in sorted(set(level[1:].tolist())):
+        net = np.flatnonzero(level >= i)
+        pairs = apart[np.ix_(net, net)][~np.eye(len(net), dtype=bool)]
+        assert (pairs > 2.0**i * (1 - 1e-6)).all()  # separation
+        above = np.flatnonzero(level > i)
+        assert (away[:, above].min(1) <= 2.0 ** (i + 1) * (1 + 1e-6)).all()  # covering
+        for t in np.flatnonzero(level == i):  # each has a parent in the net above, near enough
+            parent = up[at[t]]
+            assert level[parent] > i and apart[t, parent] <= 2.0 ** (i + 1) * (1 + 1e-6)
+    leaves, stack = [], [dual_tree.cover_tree(x, planted)]
+    while stack:
+        n = stack.pop()
+        assert (x == n.centre).all(1).any()  # centres are points
+        assert np.sqrt(((x[n.points] - n.centre) ** 2).sum(1)).max() <= n.radius * (1 + 1e-12)
+        if n.children:
+            assert sorted(np.concatenate([c.points for c in n.children])) == sorted(n.points)
+            assert (n.children[0].centre == n.centre).all()  # nesting
+            stack += n.children
+        else:
+            leaves.append(n.points)
+    assert sorted(np.concatenate(leaves)) == list(range(len(x)))
+
+
 def test_trees_prune_exactly():
     rng = np.random.default_rng(1)
     middles = rng.integers(-3000, 3000, (40, 12))
