@@ -53,48 +53,63 @@ def longest_prefix(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left")
 
 
+def http_requests(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """What an HTTP send needs of rows: (id, destination, client_profile, payload, sent_headers, claimed_until)."""
+    return stamped_headers(rows, settings, fold_case=True).select("id", "destination", "client_profile", "payload", "sent_headers", "claimed_until")
+
+
+def http_poster(profiles: Mapping[str, Mapping[str, str]], timeout_s: float) -> Callable[..., tuple]:
+    """A function of (id, destination, client_profile, payload, sent_headers) that posts a row and returns its outcome.
+
+    Only 2xx is a success and no redirect is followed.
+    """
+    import time
+    import urllib.error
+    import urllib.request
+
+    class Stay(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, *args, **kwargs):
+            return None
+
+    opener = urllib.request.build_opener(Stay)
+
+    def post(id_, destination, profile, payload, headers) -> tuple:
+        try:
+            extra = http_client(profile, profiles)
+        except LookupError as e:
+            return (id_, "TERMINAL", f"LookupError: {e}", 0, False)
+        began, late = time.monotonic(), False
+        try:
+            ask = urllib.request.Request(destination, (payload or "").encode(), {"Content-Type": "application/json", **dict(headers or {}), **extra}, method="POST")
+            with opener.open(ask, timeout=timeout_s) as got:
+                ok = 200 <= got.status < 300
+                said = None if ok else f"HTTPError: {got.status}"
+        except urllib.error.HTTPError as e:
+            ok, said = False, f"HTTPError: {e.code}"
+        except Exception as e:  # whatever a send raises is its outcome
+            ok, said, late = False, f"{type(e).__name__}: {e}"[: scalars.ERROR_LENGTH], isinstance(e, TimeoutError)
+        return (id_, "OK" if ok else "FAIL", said, int(1e6 * (time.monotonic() - began)), late)
+
+    return post
+
+
 def send_http(rows: DataFrame, profiles: Mapping[str, Mapping[str, str]] | None = None, timeout_s: float = 10.0, settings: Settings = DEFAULTS) -> DataFrame:
-    """Posts each row's payload; returns (id, outcome, error).  Only 2xx is a success and no redirect is followed.
+    """Posts each row's payload; returns (id, outcome, error).
 
-    Runs where the rows are, in their partitions' order.  A lost task sends again.
+    Runs where the rows are, in their partitions' order, whenever the result is evaluated: a
+    lost task sends again.  :mod:`tidegate.sources.http_sink` stores what came of the sends.
     """
     known = dict(profiles or {})
 
     def run(batches: Iterator) -> Iterator:
-        import time
-        import urllib.error
-        import urllib.request
-
         import pandas as pd
 
-        class Stay(urllib.request.HTTPRedirectHandler):
-            def redirect_request(self, *args, **kwargs):
-                return None
-
-        opener = urllib.request.build_opener(Stay)
+        post = http_poster(known, timeout_s)
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                try:
-                    extra = http_client(None if pd.isna(r.client_profile) else r.client_profile, known)
-                except LookupError as e:
-                    out.append((r.id, "TERMINAL", f"LookupError: {e}", 0, False))
-                    continue
-                ask = urllib.request.Request(r.destination, r.payload.encode(), {"Content-Type": "application/json", **dict(r.sent_headers), **extra}, method="POST")
-                began, late = time.monotonic(), False
-                try:
-                    with opener.open(ask, timeout=timeout_s) as got:
-                        ok = 200 <= got.status < 300
-                        said = None if ok else f"HTTPError: {got.status}"
-                except urllib.error.HTTPError as e:
-                    ok, said = False, f"HTTPError: {e.code}"
-                except Exception as e:  # whatever a send raises is its outcome
-                    ok, said, late = False, f"{type(e).__name__}: {e}"[: scalars.ERROR_LENGTH], isinstance(e, TimeoutError)
-                out.append((r.id, "OK" if ok else "FAIL", said, int(1e6 * (time.monotonic() - began)), late))
-            yield pd.DataFrame(out, columns=_COLUMNS)
-
-    sent = stamped_headers(rows, settings, fold_case=True)
-    return sent.select("id", "destination", "client_profile", "payload", "sent_headers").mapInPandas(run, OUTCOME)
+            told = [post(r.id, r.destination, None if pd.isna(r.client_profile) else r.client_profile, r.payload, r.sent_headers) for r in pdf.itertuples()]
+            yield pd.DataFrame(told, columns=_COLUMNS)
+
+    return http_requests(rows, settings).drop("claimed_until").mapInPandas(run, OUTCOME)
 
 
 def send_with(rows: DataFrame, publish: Callable[[dict], None], bound_s: float | None = None) -> DataFrame:
