@@ -65,6 +65,7 @@ def _remove_written() -> None:
 #: Entries that no row has and compactions carry on: where the concurrent claim goes on, up to
 #: which instant rows are pruned, and the last batch of each stream that was appended.
 CURSOR, PRUNED, APPENDED = "CURSOR", "PRUNED", "APPENDED"
+_COUNTED = "destination string, relayed long, dropped long"
 _CLOSED = T.StructType([*OUTBOX.fields, T.StructField("version", T.IntegerType()), T.StructField("state", T.StringType()), T.StructField("day", T.DateType())])
 
 
@@ -82,7 +83,7 @@ class EventTable:
     """An outbox in a shared folder, as Parquet datasets that only grow between compactions.
 
     ``base=N`` are its live rows as of version N, ``new=N`` rows appended and ``log=N`` the
-    transitions booked since.  Rows that a compaction finds relayed, or cancelled without a
+    transitions booked since; ``counted=N`` sums up what was relayed and dropped before.  Rows that a compaction finds relayed, or cancelled without a
     lease, are final and move to ``closed``, by version, state and day; version N counts
     once its base has Spark's success mark.  Claims scan live rows only (:meth:`live`), so
     their cost doesn't grow with what was ever relayed.  A prune moves one instant and drops
@@ -123,10 +124,33 @@ class EventTable:
 
     def live(self) -> DataFrame:
         """All rows but those in ``closed``; the log is folded into the rows it names, the others are scanned as they are."""
+        same, changed = self._parted()
+        return same.unionByName(changed.drop("effective"))
+
+    def _parted(self) -> tuple[DataFrame, DataFrame]:
+        """Live rows that the log doesn't name, and those it does, folded."""
         rows, log = self.appended(), self.log().where("id >= 0")
         named = log.select("id").distinct()
-        changed = self.folded(rows.join(named, "id", "left_semi"), log).drop("effective")
-        return rows.join(named, "id", "left_anti").unionByName(changed)
+        return rows.join(named, "id", "left_anti"), self.folded(rows.join(named, "id", "left_semi"), log)
+
+    def _ended(self, changed: DataFrame) -> DataFrame:
+        """Folded rows with ``_by``: the kind of the entry that came last of those that took effect."""
+        kinds = self.log().groupBy("id", F.col("seq").alias("_seq")).agg(F.first("kind").alias("_by"))
+        return changed.withColumn("_seq", F.try_element_at("effective", F.lit(-1))).join(kinds, ["id", "_seq"], "left").drop("_seq", "effective")
+
+    def _counted(self, rows: DataFrame) -> DataFrame:
+        """The counters after the bookings that ended ``rows`` (destination, relayed_on, _by)."""
+        is_ = lambda kind: F.count_if(F.col("_by") == kind)
+        more = rows.where("relayed_on IS NOT NULL AND _by IS NOT NULL").groupBy("destination").agg(is_("RELAYED").alias("relayed"), is_("FAILED").alias("dropped"))
+        both = self._part("counted", _COUNTED, self.version()).unionByName(more)
+        return both.groupBy("destination").agg(F.sum("relayed").alias("relayed"), F.sum("dropped").alias("dropped"))
+
+    def counters(self) -> DataFrame:
+        """(destination, relayed, dropped) of all bookings there were, of rows pruned since too; what exhaustion dropped isn't relayed.
+
+        A sum kept with each version, and the bookings since.  Rows that came in relayed don't count.
+        """
+        return self._counted(self._ended(self._parted()[1]))
 
     def folded(self, rows: DataFrame, log: DataFrame) -> DataFrame:
         key = tuple(self.policies.items())
@@ -183,7 +207,12 @@ class EventTable:
         """
         v, marks, seq = self.version(), self._marks(), self.last_seq() if seq is None else seq
         until = next((m["at"] for m in marks if m["kind"] == PRUNED), None)
-        rows = settled(self.live() if until is None else self.live().where(_unpruned(until)), "compacted")
+        same, changed = self._parted()
+        every = same.withColumn("_by", F.lit(None).cast("string")).unionByName(self._ended(changed))
+        rows = settled(every, "compacted")
+        self._counted(rows).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counted={v + 1}")
+        rows = rows.drop("_by")
+        rows = rows if until is None else rows.where(_unpruned(until))
         final = F.col("relayed_on").isNotNull() | (F.col("cancelled_on").isNotNull() & F.col("claimed_until").isNull())
         state = F.when(F.col("relayed_on").isNotNull(), "relayed").otherwise("cancelled")
         done = rows.where(final).withColumns({"state": state, "day": F.to_date(F.coalesce("relayed_on", "cancelled_on"))})
@@ -195,7 +224,7 @@ class EventTable:
             local_rows(self.spark, told, LOG).coalesce(1).write.parquet(f"{self.path}/log={v + 1}")
         conform(rows.where(~final)).write.mode("overwrite").parquet(f"{self.path}/base={v + 1}")
         for old in range(max(0, v - 2), v):
-            for name in ("base", "new", "log"):
+            for name in ("base", "new", "log", "counted"):
                 self.remove(f"{name}={old}")
         return v + 1
 
