@@ -88,3 +88,53 @@ def test_near_copies_from_four_fifths_on_go(spark):
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == set(root)
     assert {r.doc_id for r in shingle_dedup.keep_one(docs, block=8).collect()} == set(root)
+
+
+def test_no_pair_at_four_fifths_is_lost(spark):
+    """4,000 pairs at 0.8 exactly, which share 80 of 100 shingles, and 20 more that share 78 of 100, which stay."""
+    texts = []
+    for i in range(4020):
+        same, parts = 84 if i < 4000 else 82, words(94, 9000 + i, 1 << 40).split()
+        texts += [" ".join(parts), " ".join(parts[:same] + [f"new{i}x{k}" for k in range(94 - same)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").select("doc_id").collect()}
+    assert kept == set(range(0, 8000, 2)) | set(range(8000, 8040))
+
+
+def test_fingerprints_are_simhash_and_meet_by_segments():
+    cut, mask = shingle_dedup.segments_for(1000), (1 << 64) - 1
+    s = shingle_dedup.shingles(words(300, 1))
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * factor & mask
+        return x ^ (x >> 31)
+
+    got = shingle_dedup.fingerprint(s, cut.words)
+    assert len(got) == 8 * cut.words and cut.width * cut.count <= 64 * cut.words
+    for k in range(0, cut.words, 5):
+        seen = [mixed(int(h) + (k + 1) * 0x9E3779B97F4A7C15 & mask).to_bytes(8, "little") for h in s]
+        for byte in range(8):
+            bits = [2 * sum(x[byte] >> (7 - b) & 1 for x in seen) > len(s) for b in range(8)]
+            assert got[8 * k + byte] == int("".join("01"[b] for b in bits), 2)
+    # Tables grow: wider segments, more of them, and a pair at 4/5 is as sure as before.
+    for n in (0, 10**5, 10**7, 10**9):
+        cut = shingle_dedup.segments_for(n)
+        assert n >> cut.width < 1 << shingle_dedup.SPARE and (1 - (1 - shingle_dedup.DIFFER) ** cut.width) ** cut.count < 1.1e-4
+
+
+def test_near_records_of_other_roots_are_candidates(monkeypatch):
+    rng = np.random.default_rng(5)
+    records = np.zeros(600, shingle_dedup._RECORD)
+    records["value"] = np.sort(rng.integers(0, 12, 600))
+    records["root"], records["node"] = rng.integers(0, 40, 600), np.arange(600)
+    base = rng.integers(0, 1 << 64, (8, 2), dtype=np.uint64)
+    records["check"] = base[rng.integers(0, 8, 600)] ^ (np.uint64(1) << rng.integers(0, 64, (600, 2), dtype=np.uint64))
+    far = np.bitwise_count(records["check"][:, None] ^ records["check"][None]).sum(axis=2)
+    near = (far <= shingle_dedup.NEAR) & (records["value"][:, None] == records["value"]) & (records["root"][:, None] != records["root"])
+    assert 0 < near.any(axis=1).sum() < 601
+    assert (shingle_dedup._met(records) == near.any(axis=1)).all()
+    monkeypatch.setattr(shingle_dedup, "CROWD", 20)
+    assert (shingle_dedup._met(records) == near.any(axis=1)).all()
+    monkeypatch.setattr(shingle_dedup, "CROWD_LOOKS", 0)
+    assert (shingle_dedup._met(records) >= near.any(axis=1)).all()

@@ -1,19 +1,31 @@
-"""Near-duplicates by shared word shingles: candidates by bands of least hashes, each link verified.
+"""Near-duplicates by shared word shingles: candidates by SimHash and multi-index hashing, each link verified.
 
 A document is its set of WORDS-word shingles; two link if their sets' Jaccard similarity is
-4/5 or more.  BANDS independent fingerprints, each of ROWS least hashes, find candidates:
-a pair at 0.8 agrees in none of them once in about 1,500 times, a closer pair hardly ever.
-What a fingerprint brings together is compared by whole sets, so no link is wrong.
-
-Equal sets are folded first, and so are fingerprints shared by the same documents.  A
-crowded bucket is dealt into blocks that are compared inside; what that leaves apart is
-then compared with the whole bucket, block by block.  A comparison returns a forest, not
-all pairs.
+4/5 or more.  A long SimHash fingerprint of the set is cut into segments; the sets that have
+one segment in common (two that differ in fewer bits than there are segments always do) and
+are near by CHECK_WORDS words of the fingerprint are candidates.  Candidates are compared by
+whole sets, so no link is wrong.  A bit differs in a pair at 4/5 with a chance of at most
+acos(8/9) / pi, so there are as many segments as it takes to lose such a pair once in about
+10,000 times (by calculation), a closer one hardly ever.
+
+Two rounds: the first FIRST segments link most of what links at all; in the others only
+sets that are still apart are candidates, so a cloud of near copies is looked at a few times
+and not once a segment.
+
+Scale: a segment is dealt into parts by its first bits; a part is one task's work, and moves
+as blocks of fixed-size records.  Segments widen by a bit as the table doubles, so what a
+value brings together by chance stays bounded, and grow in number, as the table's size to
+the power 0.24.  Equal sets are folded first, and so are segment values shared by the same
+documents.  A crowded value's documents are dealt into blocks that are compared inside; what
+that leaves apart is then compared with the whole, block by block.  A comparison returns a
+forest, not all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +36,19 @@ from tidegate.llm.components import components
 from tidegate.llm.simhash_dedup import _merge
 
 WORDS = 5
-BANDS, ROWS = 24, 6
 SEED = 42
+#: The chance that a bit of two sets' fingerprints differs at a similarity of 4/5, and the power of e to which such a pair is found.
+DIFFER, SURE = math.acos(8 / 9) / math.pi, 9.2
+#: Segments of the first round.
+FIRST = 16
+#: Bits of a segment, at least, and of the table's size that they leave out.
+LEAST_WIDTH, SPARE = 16, 6
+#: Words of a fingerprint in which candidates differ in at most NEAR bits: five deviations above the mean of a pair at 4/5.
+CHECK_WORDS, NEAR = 2, 40
+#: Documents in one part of a segment, about; more with one value are a crowd.
+PART, CROWD = 1 << 16, 1 << 12
+#: Comparisons of those of a crowd that are apart from most of it, at most, before all of it are candidates.
+CROWD_LOOKS = 1 << 28
 #: Mean number of documents in one block of a crowded bucket.
 BLOCK = 256
 
@@ -47,47 +70,169 @@ def shingles(text: str, words: int = WORDS):
     return np.unique(np.array([hash64(view[a:b], SEED) for a, b in zip(starts[: len(ends) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], dtype=np.uint64))
 
 
-def _bands(s, flips, factors) -> list[int]:
-    """A key for each band: its place and least hashes."""
+@dataclass(frozen=True)
+class Segments:
+    """How fingerprints are cut: ``count`` segments of ``width`` bits, each dealt into parts by its first ``part_bits``."""
+
+    width: int
+    count: int
+    part_bits: int
+
+    @property
+    def words(self) -> int:
+        """64-bit words of a fingerprint."""
+        return max(CHECK_WORDS, -(-self.width * self.count // 64))
+
+
+def segments_for(n: int) -> Segments:
+    """The segments for a table of ``n`` documents."""
+    width = max(LEAST_WIDTH, n.bit_length() - SPARE)
+    return Segments(width, math.ceil(SURE / (1 - DIFFER) ** width), max(3, (n // PART).bit_length()))
+
+
+def fingerprint(s, words: int) -> bytes:
+    """SimHash of a set of hashes, 64 bits a word: a bit is 1 if set in over half of the set's hashes of that word."""
     import numpy as np
-    import xxhash
 
-    if not len(s):
-        return []
-    least = np.full(len(flips), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(s), 256):
-        np.minimum(least, ((s[at : at + 256, None] ^ flips) * factors).min(axis=0), out=least)
-    raw, wide = least.tobytes(), 8 * ROWS
-    return [xxhash.xxh64_intdigest(raw[k * wide : (k + 1) * wide], k) for k in range(BANDS)]
+    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(s), 255):  # counts of a slice fit a byte
+        x = s[at : at + 255, None] + steps
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(s)).tobytes()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, _k1, _k2, node, bands) for each row: node hashes the set of shingles.  Null texts count as empty."""
+def signatures(docs: DataFrame, cut: Segments) -> DataFrame:
+    """(doc_id, _k1, _k2, node, fp) for each row: node hashes the set of shingles, fp is its fingerprint (null: no words).  Null texts count as empty."""
     long = T.LongType()
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, long) for c in ("_k1", "_k2", "node")]]
-    schema = T.StructType([*fields, T.StructField("bands", T.ArrayType(long))])
+    schema = T.StructType([*fields, T.StructField("fp", T.BinaryType())])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        rng = np.random.default_rng(SEED)
-        flips, factors = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-        factors |= np.uint64(1)
-        signed = lambda xs: np.array(xs, dtype=np.uint64).view(np.int64)
         for b in batches:
-            nodes, bands = [], []
+            nodes, fps = [], []
             for t in b.column("_text").to_pylist():
                 s = shingles(t or "")
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
-                bands.append(signed(_bands(s, flips, factors)))
-            cols = [b.column(k) for k in range(3)] + [pa.array(signed(nodes)), pa.array(bands, pa.list_(pa.int64()))]
+                fps.append(fingerprint(s, cut.words) if len(s) else None)
+            cols = [b.column(k) for k in range(3)] + [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return bounded_batches(docs).select(docs["doc_id"], *row_key(docs), docs["text"].cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+#: What a part holds of a document.
+_RECORD = [("value", "<u4"), ("node", "<i8"), ("root", "<i8"), ("check", "<u8", (CHECK_WORDS,))]
+
+
+def _dealt(cut: Segments, first: int, end: int):
+    """Blocks of records of (node, root, fp) rows, by segment from ``first`` to ``end`` and part."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        weights = 1 << np.arange(cut.width - 1, -1, -1, dtype=np.int64)
+        parts = np.arange((1 << cut.part_bits) + 1) << (cut.width - cut.part_bits)
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(n, 8 * cut.words)
+            bits = np.unpackbits(fps, axis=1)
+            records = np.empty(n, _RECORD)
+            records["node"], records["root"] = b.column("node").to_numpy(), b.column("root").to_numpy()
+            records["check"] = np.ascontiguousarray(fps[:, : 8 * CHECK_WORDS]).view("<u8")
+            for k in range(first, end):
+                values = bits[:, k * cut.width : (k + 1) * cut.width] @ weights
+                order = np.argsort(values, kind="stable")
+                records["value"] = values
+                own, at = records[order], np.searchsorted(values[order], parts)
+                held = np.flatnonzero(np.diff(at))
+                blocks = [own[at[p] : at[p + 1]].tobytes() for p in held]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), k), pa.int32()), pa.array(held, pa.int32()), pa.array(blocks, pa.binary())], names=["segment", "part", "records"])
+
+    return run
+
+
+def _met(records):
+    """Which of a part's records, in order of their values, are near one with the same value and another root."""
+    import numpy as np
+
+    value, root, check = records["value"], records["root"], records["check"]
+    on, n = np.zeros(len(records), bool), len(records)
+
+    def compare(i, j) -> None:
+        far = np.bitwise_count(check[i] ^ check[j]).sum(axis=1)
+        hit = (far <= NEAR) & (root[i] != root[j])
+        on[i[hit]] = True
+        on[j[hit]] = True
+
+    starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    sizes = np.diff(np.append(starts, n))
+    few = np.repeat(sizes <= CROWD, sizes)
+    left = np.repeat(starts + sizes, sizes)  # where each one's value ends
+    apart = 1
+    at = np.flatnonzero(few & (np.arange(n) + 1 < left))
+    while len(at):
+        compare(at, at + apart)
+        apart += 1
+        at = at[at + apart < left[at]]
+    for a, size in zip(starts[sizes > CROWD], sizes[sizes > CROWD], strict=True):
+        own = np.arange(a, a + size)
+        roots, count = np.unique(root[own], return_counts=True)
+        others = own[root[own] != roots[count.argmax()]]
+        if len(others) * size > CROWD_LOOKS:
+            on[own] = True
+            continue
+        for i in others:
+            compare(np.full(size, i), own)
+    return on
+
+
+def _candidates(batches: Iterator) -> Iterator:
+    """(key, node) of blocks (segment, part, records) in order of segment and part: nodes with one key are to be compared."""
+    import numpy as np
+    import pyarrow as pa
+
+    def members(group, blocks):
+        records = np.frombuffer(b"".join(blocks), _RECORD)
+        records = records[np.argsort(records["value"], kind="stable")]
+        records = records[_met(records)]
+        if len(records):
+            keys = (group[0] << 32) | records["value"].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.ascontiguousarray(records["node"]))], names=["key", "node"])
+
+    now, held = None, []
+    for batch in batches:
+        for *group, block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if group != now and held:
+                yield from members(now, held)
+                held = []
+            now = group
+            held.append(block)
+    if held:
+        yield from members(now, held)
+
+
+def candidates(distinct: DataFrame, cut: Segments, first: int, end: int) -> DataFrame:
+    """(key, node): the nodes that share a segment from ``first`` to ``end`` with a near one of another root, by that segment's value.
+
+    distinct: (node, root, fp).
+    """
+    rows = distinct.where("fp IS NOT NULL").select("node", "root", "fp").mapInArrow(_dealt(cut, first, end), "segment int, part int, records binary")
+    by = ("segment", "part")
+    return bounded_batches(rows.repartition(*by).sortWithinPartitions(*by)).mapInArrow(_candidates, "key long, node long")
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """(node, hashes) of rows (node, _text)."""
 
@@ -151,12 +296,12 @@ def _links(rows: DataFrame) -> DataFrame:
     return bounded_batches(dealt).mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect every two nodes that share a band and 4/5 of their shingles.
+def links(docs: DataFrame, distinct: DataFrame, keys: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect every two nodes that share a key and 4/5 of their shingles.
 
-    distinct: (node, row, bands), row being the keys of one row of ``docs`` with that set.
+    distinct: (node, row), row being the keys of one row of ``docs`` with that set; keys:
+    (key, node), see :func:`candidates`.
     """
-    keys = distinct.select("node", F.explode("bands").alias("key"))
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
     bucket = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1")
     bucket = materialize(bucket.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")), "buckets")
@@ -188,11 +333,20 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Texts of no words (null, empty) are one component.
     """
-    each = materialize(signatures(docs), "signatures")
-    distinct = materialize(each.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("row"), F.first("bands").alias("bands")), "distinct")
-    root = components(materialize(links(docs, distinct, block), "links"))
-    placed = materialize(distinct.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "placed")
-    return each.join(placed, "node").select("doc_id", "_k1", "_k2", "root")
+    cut = segments_for(docs.count())
+    each = materialize(signatures(docs, cut), "signatures")
+    distinct = materialize(each.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("row"), F.first("fp").alias("fp")), "distinct")
+    placed = lambda found: materialize(
+        distinct.join(components(found), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "placed"
+    )
+    found = None
+    apart = distinct.withColumn("root", F.col("node"))
+    for first, end in ((0, FIRST), (FIRST, cut.count)):
+        keys = materialize(candidates(apart, cut, first, end), "candidates")
+        more = materialize(links(docs, distinct, keys, block), "links")
+        found = more if found is None else found.unionByName(more)
+        apart = placed(found)
+    return each.select("doc_id", "_k1", "_k2", "node").join(apart.select("node", "root"), "node").select("doc_id", "_k1", "_k2", "root")
 
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
