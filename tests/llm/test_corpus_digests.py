@@ -267,3 +267,14 @@ def test_shares():
         counts = [c for c in (0, 1, 6, 10**6, 10**9, 3 * 10**12) if c < total]
         got = radix_audit.share(np.array(counts), np.array([total] * len(counts)))
         assert got.tolist() == [1 + 10**9 * (c + 1) // total for c in counts]
+
+
+def test_terms_in_order_go_on_from_the_last_leaf():
+    terms = sorted({f"{a}{b}".encode() for a in ("", "s", "stem", "stern", "é") for b in range(60)})
+    ordered, mixed = radix_audit.RadixTrie(), radix_audit.RadixTrie()
+    for k, term in enumerate(terms):
+        ordered.add(term, 1, {k: 2})
+        assert ordered.path[-1] == (term, ordered.leaf(term))
+    for k in np.random.default_rng(1).permutation(len(terms)).tolist():
+        mixed.add(terms[k], 1, {k: 2})
+    assert list(ordered.walk()) == list(mixed.walk()) == [(t, 1, {k: 2}) for k, t in enumerate(terms)]

@@ -18,6 +18,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,13 +53,22 @@ class _Node:
 
 
 class RadixTrie:
-    """A byte trie with compressed edges; its leaves hold counters by source and a number of documents."""
+    """A byte trie with compressed edges; its leaves hold counters by source and a number of documents.
+
+    ``path`` has the nodes that led to the last leaf, with what they stand for: terms that
+    come in order are not looked up from the root.
+    """
 
     def __init__(self) -> None:
         self.root, self.leaves = _Node(b""), 0
+        self.path = [(b"", self.root)]
 
     def leaf(self, term: bytes) -> _Node:
-        node, i, n = self.root, 0, len(term)
+        path, n = self.path, len(term)
+        while not term.startswith(path[-1][0]):
+            path.pop()
+        before, node = path[-1]
+        i = len(before)
         while i < n:
             kid = node.kids.get(term[i]) if node.kids else None
             if kid is None:
@@ -76,6 +86,7 @@ class RadixTrie:
                 fork = _Node(kid.label[:k])
                 fork.kids, kid.label = {kid.label[k]: kid}, kid.label[k:]
                 node.kids[term[i]], node, i = fork, fork, i + k
+            path.append((term[:i], node))
         if node.counts is None:
             node.counts = {}
             self.leaves += 1
@@ -97,8 +108,8 @@ class RadixTrie:
             term = before + node.label
             if node.counts is not None:
                 yield term, node.docs, node.counts
-            if node.kids:
-                above.extend([(term, kid) for _, kid in sorted(node.kids.items(), reverse=True)])
+            if kids := node.kids:
+                above.extend([(term, kids[k]) for k in sorted(kids, reverse=True)] if len(kids) > 1 else [(term, kid) for kid in kids.values()])
 
 
 def _uncollected(f):
@@ -116,30 +127,35 @@ def _uncollected(f):
     return run
 
 
-def _batch(leaves: list[tuple]):
-    """Leaves (lang, term, docs, counters) as an Arrow batch."""
+def _batch(langs: list[str], terms: list[bytes], docs: list[int], counts: list[dict]):
+    """Leaves as an Arrow batch."""
     import numpy as np
     import pyarrow as pa
 
-    ends = np.zeros(len(leaves) + 1, np.int32)
-    np.cumsum([len(x[3]) for x in leaves], out=ends[1:])
-    lists = lambda values: pa.ListArray.from_arrays(ends, pa.array(values, pa.int64()))
+    ends = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(list(map(len, counts)), out=ends[1:])
+    lists = lambda values: pa.ListArray.from_arrays(ends, pa.array(np.fromiter(values, np.int64, ends[-1])))
     return pa.RecordBatch.from_arrays(
-        [pa.array([x[0] for x in leaves], pa.string()), pa.array([x[1] for x in leaves], pa.binary()), pa.array([x[2] for x in leaves], pa.int64()), lists([k for x in leaves for k in x[3]]), lists([n for x in leaves for n in x[3].values()])],
+        [pa.array(langs, pa.string()), pa.array(terms, pa.binary()), pa.array(docs, pa.int64()), lists(chain.from_iterable(counts)), lists(chain.from_iterable(map(dict.values, counts)))],
         names=["lang", "term", "docs", "ids", "counts"],
-    )
+    )
 
 
 def _written(tries: dict[str, RadixTrie], size: int = 20_000) -> Iterator:
-    rows = []
+    columns: tuple[list, ...] = ([], [], [], [])
+    langs, terms, docs, counts = columns
     for lang in sorted(tries, key=str.encode):
-        for leaf in tries[lang].walk():
-            rows.append((lang, *leaf))
-            if len(rows) >= size:
-                yield _batch(rows)
-                rows = []
-    if rows:
-        yield _batch(rows)
+        for term, n, own in tries[lang].walk():
+            langs.append(lang)
+            terms.append(term)
+            docs.append(n)
+            counts.append(own)
+            if len(terms) >= size:
+                yield _batch(*columns)
+                for c in columns:
+                    c.clear()
+    if terms:
+        yield _batch(*columns)
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -164,15 +180,15 @@ def _count(batches: Iterator) -> Iterator:
         leaves: dict[str, dict[bytes, dict]] = defaultdict(dict)
         for lang, own in docs.items():
             leaf, found = tries[lang].leaf, leaves[lang]
-            for term, n in own.items():
+            for term in sorted(own):
                 node = leaf(term)
-                node.docs += n
+                node.docs += own[term]
                 found[term] = node.counts
         for (lang, source), own in counts.items():
             found = leaves[lang]
             for term, n in own.items():
                 at = found[term]
-                at[source] = at.get(source, 0) + n
+                at[source] = at[source] + n if source in at else n
         counts.clear()
         docs.clear()
 
@@ -214,6 +230,8 @@ def _runs(batch) -> tuple[list[int], list[int]]:
 
 def _merge(batches: Iterator) -> Iterator:
     """Leaves in order of (lang, term), those of a term as one."""
+    import pyarrow as pa
+
     tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
     last = None
 
@@ -223,24 +241,23 @@ def _merge(batches: Iterator) -> Iterator:
         lang, term = last
         node = tries[lang].leaf(term)
         kept.add(term, node.docs, node.counts)
-        for out in _written(tries):
-            rest = out.filter([not (a == lang and b == term) for a, b in zip(out["lang"].to_pylist(), out["term"].to_pylist(), strict=True)])
-            if rest.num_rows:
-                yield rest
+        node.counts = None
+        yield from _written(tries)
         tries.clear()
         tries[lang] = kept
 
     for batch in batches:
-        langs, terms = batch["lang"].to_pylist(), batch["term"].to_pylist()
-        ends = _ends(batch).tolist()
+        ends = _ends(batch)
         ids, counts = batch["ids"].flatten().to_pylist(), batch["counts"].flatten().to_pylist()
         first, docs = _runs(batch)
-        for k, until, n in zip(first, [*first[1:], len(terms)], docs, strict=True):
-            node = tries[langs[k]].leaf(terms[k])
+        langs, terms = (batch[c].take(pa.array(first, pa.int64())).to_pylist() for c in ("lang", "term"))
+        edges = ends[[*first, batch.num_rows]].tolist()
+        for lang, term, n, a, b in zip(langs, terms, docs, edges, edges[1:], strict=False):
+            node = tries[lang].leaf(term)
             node.docs += n
             own = node.counts
-            for i in range(ends[k], ends[until]):
-                own[ids[i]] = own.get(ids[i], 0) + counts[i]
+            for k, count in zip(ids[a:b], counts[a:b], strict=True):
+                own[k] = own[k] + count if k in own else count
         if langs:
             last = (langs[-1], terms[-1])
         if sum(t.leaves for t in tries.values()) >= TRIE_LEAVES // 4:
