@@ -138,3 +138,33 @@ def test_near_records_of_other_roots_are_candidates(monkeypatch):
     assert (shingle_dedup._met(records) == near.any(axis=1)).all()
     monkeypatch.setattr(shingle_dedup, "CROWD_LOOKS", 0)
     assert (shingle_dedup._met(records) >= near.any(axis=1)).all()
+
+
+def test_a_cloud_below_four_fifths_is_not_compared_at_each_segment(spark, monkeypatch):
+    """Texts that are near one another by two words of their fingerprints, not by all of it, bring few rows to compare; pairs at 4/5 among them are linked."""
+    base = words(150, 1, 5000)
+    texts = [edited(base, 0.74, i) for i in range(60)]
+    texts += [edited(texts[0], 0.8, 900), *(" ".join(words(9, 70 + i).split()[:n]) for i in range(3) for n in (9, 8))]
+    rows, materialize = [], shingle_dedup.materialize
+
+    def counted(df, label="settled"):
+        out = materialize(df, label)
+        if label == "members":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in shingle_dedup.keep_one(docs).select("doc_id").collect()}
+    assert kept == {*range(60), 61, 63, 65}
+    assert sum(rows) < 500  # by two words alone: thousands
+
+
+def test_pairs_at_four_fifths_are_near_by_the_whole_fingerprint():
+    cut, rng = shingle_dedup.segments_for(1000), np.random.default_rng(8)
+    for size in (12, 13, 20, 22, 30, 40, 100, 300):
+        for _ in range(10):
+            s = rng.integers(0, 1 << 64, size + size // 4, dtype=np.uint64)
+            cut_off = rng.integers(0, size // 4 + 1)
+            a, b = (np.frombuffer(shingle_dedup.fingerprint(x, cut.words), "<u8") for x in (s[: size + cut_off], np.concatenate([s[:size], s[size + cut_off :]])))
+            assert np.bitwise_count(a ^ b).sum() <= shingle_dedup.whole_near(cut.words)

@@ -3,8 +3,8 @@
 A document is its set of WORDS-word shingles; two link if their sets' Jaccard similarity is
 4/5 or more.  A long SimHash fingerprint of the set is cut into segments; the sets that have
 one segment in common (two that differ in fewer bits than there are segments always do) and
-are near by CHECK_WORDS words of the fingerprint are candidates.  Candidates are compared by
-whole sets, so no link is wrong.  A bit differs in a pair at 4/5 with a chance of at most
+are near by CHECK_WORDS words of the fingerprint, then by all of it, are candidates.
+Candidates are compared by whole sets, so no link is wrong.  A bit differs in a pair at 4/5 with a chance of at most
 acos(8/9) / pi, so there are as many segments as it takes to lose such a pair once in about
 10,000 times (by calculation), a closer one hardly ever.
 
@@ -45,6 +45,10 @@ FIRST = 16
 LEAST_WIDTH, SPARE = 16, 6
 #: Words of a fingerprint in which candidates differ in at most NEAR bits: five deviations above the mean of a pair at 4/5.
 CHECK_WORDS, NEAR = 2, 40
+#: Sets of fewer shingles, whose bits differ more often, are near any by the whole fingerprint; of others a bit differs with a chance of at most DIFFER_FEW.
+FEW, DIFFER_FEW = 12, 0.1612
+#: Candidates of one value that are looked at again by the whole fingerprint, at most (the rest stay candidates), and those in one part of that look, about.
+LOOK, LOOK_PART = 1 << 10, 1 << 12
 #: Documents in one part of a segment, about; more with one value are a crowd.
 PART, CROWD = 1 << 16, 1 << 12
 #: Comparisons of those of a crowd that are apart from most of it, at most, before all of it are candidates.
@@ -107,10 +111,10 @@ def fingerprint(s, words: int) -> bytes:
 
 
 def signatures(docs: DataFrame, cut: Segments) -> DataFrame:
-    """(doc_id, _k1, _k2, node, fp) for each row: node hashes the set of shingles, fp is its fingerprint (null: no words).  Null texts count as empty."""
+    """(doc_id, _k1, _k2, node, few, fp) for each row: node hashes the set of shingles, few tells if those are fewer than FEW, fp is its fingerprint (null: no words).  Null texts count as empty."""
     long = T.LongType()
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, long) for c in ("_k1", "_k2", "node")]]
-    schema = T.StructType([*fields, T.StructField("fp", T.BinaryType())])
+    schema = T.StructType([*fields, T.StructField("few", T.BooleanType()), T.StructField("fp", T.BinaryType())])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -118,19 +122,24 @@ def signatures(docs: DataFrame, cut: Segments) -> DataFrame:
         import xxhash
 
         for b in batches:
-            nodes, fps = [], []
+            nodes, few, fps = [], [], []
             for t in b.column("_text").to_pylist():
                 s = shingles(t or "")
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                few.append(len(s) < FEW)
                 fps.append(fingerprint(s, cut.words) if len(s) else None)
-            cols = [b.column(k) for k in range(3)] + [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.binary())]
+            cols = [b.column(k) for k in range(3)] + [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(few, pa.bool_()), pa.array(fps, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return bounded_batches(docs).select(docs["doc_id"], *row_key(docs), docs["text"].cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def _record(value: str, words: int) -> list[tuple]:
+    return [("value", value), ("node", "<i8"), ("root", "<i8"), ("check", "<u8", (words,))]
+
+
 #: What a part holds of a document.
-_RECORD = [("value", "<u4"), ("node", "<i8"), ("root", "<i8"), ("check", "<u8", (CHECK_WORDS,))]
+_RECORD = _record("<u4", CHECK_WORDS)
 
 
 def _dealt(cut: Segments, first: int, end: int):
@@ -163,16 +172,20 @@ def _dealt(cut: Segments, first: int, end: int):
     return run
 
 
-def _met(records):
-    """Which of a part's records, in order of their values, are near one with the same value and another root."""
+def _met(records, near=NEAR):
+    """Which of a part's records, in order of their values, are near one with the same value and another root.
+
+    near: bits in which near ones differ at most, for all or by record (the larger one holds for a pair).
+    """
     import numpy as np
 
     value, root, check = records["value"], records["root"], records["check"]
     on, n = np.zeros(len(records), bool), len(records)
+    near = np.broadcast_to(near, n)
 
     def compare(i, j) -> None:
         far = np.bitwise_count(check[i] ^ check[j]).sum(axis=1)
-        hit = (far <= NEAR) & (root[i] != root[j])
+        hit = (far <= np.maximum(near[i], near[j])) & (root[i] != root[j])
         on[i[hit]] = True
         on[j[hit]] = True
 
@@ -198,39 +211,104 @@ def _met(records):
     return on
 
 
+def _parts(batches: Iterator, by: int) -> Iterator[tuple[list, bytes]]:
+    """(part, its records) of blocks that are in order of their parts, which the first ``by`` columns name."""
+    now, held = None, []
+    for batch in batches:
+        for *part, block in zip(*(batch.column(k).to_pylist() for k in range(by + 1)), strict=True):
+            if part != now and held:
+                yield now, b"".join(held)
+                held = []
+            now = part
+            held.append(block)
+    if held:
+        yield now, b"".join(held)
+
+
 def _candidates(batches: Iterator) -> Iterator:
-    """(key, node) of blocks (segment, part, records) in order of segment and part: nodes with one key are to be compared."""
+    """(key, node, n) of blocks (segment, part, records) in order of segment and part: the n nodes with one key are to be compared."""
     import numpy as np
     import pyarrow as pa
 
-    def members(group, blocks):
-        records = np.frombuffer(b"".join(blocks), _RECORD)
+    for (segment, _), block in _parts(batches, 2):
+        records = np.frombuffer(block, _RECORD)
         records = records[np.argsort(records["value"], kind="stable")]
         records = records[_met(records)]
         if len(records):
-            keys = (group[0] << 32) | records["value"].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.ascontiguousarray(records["node"]))], names=["key", "node"])
-
-    now, held = None, []
-    for batch in batches:
-        for *group, block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if group != now and held:
-                yield from members(now, held)
-                held = []
-            now = group
-            held.append(block)
-    if held:
-        yield from members(now, held)
+            values, at, n = np.unique(records["value"], return_inverse=True, return_counts=True)
+            keys = (segment << 32) | values.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(np.ascontiguousarray(records["node"])), pa.array(n[at])], names=["key", "node", "n"])
 
 
 def candidates(distinct: DataFrame, cut: Segments, first: int, end: int) -> DataFrame:
-    """(key, node): the nodes that share a segment from ``first`` to ``end`` with a near one of another root, by that segment's value.
+    """(key, node, n): the n nodes that share a segment from ``first`` to ``end`` with a near one of another root, by that segment's value.
 
     distinct: (node, root, fp).
     """
     rows = distinct.where("fp IS NOT NULL").select("node", "root", "fp").mapInArrow(_dealt(cut, first, end), "segment int, part int, records binary")
     by = ("segment", "part")
-    return bounded_batches(rows.repartition(*by).sortWithinPartitions(*by)).mapInArrow(_candidates, "key long, node long")
+    return bounded_batches(rows.repartition(*by).sortWithinPartitions(*by)).mapInArrow(_candidates, "key long, node long, n long")
+
+
+def whole_near(words: int) -> int:
+    """Bits of whole fingerprints in which candidates differ at most: five deviations above the mean of a pair at 4/5."""
+    return math.ceil(64 * words * DIFFER_FEW + 5 * math.sqrt(64 * words * DIFFER_FEW * (1 - DIFFER_FEW)))
+
+
+def _whole(words: int, parts: int):
+    """Blocks of whole fingerprints' records of (node, root, few, fp, keys) rows, by ``parts`` parts of the keys."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):  # a row has a key for each segment at most
+                b = batch.slice(start, 256)
+                keys = b.column("keys").flatten().to_numpy()
+                at = np.repeat(np.arange(b.num_rows), np.array(list(map(len, b.column("keys"))), np.int64))
+                part = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                at, part = at[order], part[order].astype(np.int32)
+                records = np.empty(len(keys), [*_record("<i8", words), ("few", "?")])
+                records["value"] = keys[order]
+                records["node"], records["root"] = b.column("node").to_numpy()[at], b.column("root").to_numpy()[at]
+                records["few"] = b.column("few").to_numpy(zero_copy_only=False)[at]
+                records["check"] = np.frombuffer(b"".join(b.column("fp").to_pylist()), "<u8").reshape(-1, words)[at]
+                held, first = np.unique(part, return_index=True)
+                blocks = [x.tobytes() for x in np.split(records, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(blocks, pa.binary())], names=["part", "records"])
+
+    return run
+
+
+def _look(words: int):
+    """(key, node) of blocks (part, records) in order of part: the nodes that are near one with the same key and another root."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for _, block in _parts(batches, 1):
+            records = np.frombuffer(block, [*_record("<i8", words), ("few", "?")])
+            records = records[np.argsort(records["value"], kind="stable")]
+            records = records[_met(records, np.where(records["few"], 64 * words, whole_near(words)))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(records[c])) for c in ("value", "node")], names=["key", "node"])
+
+    return run
+
+
+def near_by_all(keys: DataFrame, distinct: DataFrame, cut: Segments) -> DataFrame:
+    """(key, node) of those of ``keys`` (key, node, n) that are near another of their key by the whole fingerprint; keys of more than LOOK nodes stay whole.
+
+    distinct: (node, root, few, fp).
+    """
+    some = keys.where(F.col("n") <= LOOK)
+    own = some.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    rows = bounded_batches(distinct.join(own, "node").select("node", "root", "few", "fp", "keys"))
+    rows = rows.mapInArrow(_whole(cut.words, some.count() // LOOK_PART + 1), "part int, records binary")
+    met = bounded_batches(rows.repartition("part").sortWithinPartitions("part")).mapInArrow(_look(cut.words), "key long, node long")
+    return met.unionByName(keys.where(F.col("n") > LOOK).select("key", "node"))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -300,7 +378,7 @@ def links(docs: DataFrame, distinct: DataFrame, keys: DataFrame, block: int = BL
     """Links (a, b) that connect every two nodes that share a key and 4/5 of their shingles.
 
     distinct: (node, row), row being the keys of one row of ``docs`` with that set; keys:
-    (key, node), see :func:`candidates`.
+    (key, node), see :func:`near_by_all`.
     """
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
     bucket = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1")
@@ -335,14 +413,15 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     cut = segments_for(docs.count())
     each = materialize(signatures(docs, cut), "signatures")
-    distinct = materialize(each.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("row"), F.first("fp").alias("fp")), "distinct")
+    distinct = materialize(each.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("row"), F.first("few").alias("few"), F.first("fp").alias("fp")), "distinct")
     placed = lambda found: materialize(
-        distinct.join(components(found), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "placed"
+        distinct.join(components(found), "node", "left").select("node", "few", "fp", F.coalesce("root", "node").alias("root")), "placed"
     )
     found = None
     apart = distinct.withColumn("root", F.col("node"))
     for first, end in ((0, FIRST), (FIRST, cut.count)):
         keys = materialize(candidates(apart, cut, first, end), "candidates")
+        keys = materialize(near_by_all(keys, apart, cut), "near")
         more = materialize(links(docs, distinct, keys, block), "links")
         found = more if found is None else found.unionByName(more)
         apart = placed(found)
