@@ -1,6 +1,7 @@
 """Merkle manifest, suffix-array repeats and source divergence against plain versions."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -278,3 +279,9 @@ def test_terms_in_order_go_on_from_the_last_leaf():
     for k in np.random.default_rng(1).permutation(len(terms)).tolist():
         mixed.add(terms[k], 1, {k: 2})
     assert list(ordered.walk()) == list(mixed.walk()) == [(t, 1, {k: 2}) for k, t in enumerate(terms)]
+
+
+def test_bytes_are_cut_into_terms_as_the_contract_says():
+    """Every byte beside every kind of byte, and blanks beyond ASCII, which are parts of terms."""
+    text = bytes(c for a in range(256) for b in b"aZ\x85\xa0 [" for c in (a, b)) + "A b\u0085C　d E".encode()
+    assert text.translate(radix_audit.TERMS).split() == [t.lower() for t in re.findall(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text)]

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tidegate.llm.common import bounded_batches, materialize, quoted, text_or_empty
 
-#: A term's bytes: ASCII letters and all of a character beyond ASCII.
-TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
+#: A term's bytes, ASCII letters (here in lower case) and all of a character beyond ASCII; the others become blanks.
+TERMS = bytes(c if c > 127 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
 #: Bytes of a text that are cut into terms at once.
 PIECE = 4 << 20
@@ -177,18 +177,24 @@ def _count(batches: Iterator) -> Iterator:
     docs: dict[str, Counter] = defaultdict(Counter)
 
     def gather() -> None:
-        leaves: dict[str, dict[bytes, dict]] = defaultdict(dict)
-        for lang, own in docs.items():
-            leaf, found = tries[lang].leaf, leaves[lang]
-            for term in sorted(own):
-                node = leaf(term)
-                node.docs += own[term]
-                found[term] = node.counts
+        cells: dict[str, dict[bytes, dict]] = defaultdict(dict)
         for (lang, source), own in counts.items():
-            found = leaves[lang]
+            found = cells[lang]
             for term, n in own.items():
-                at = found[term]
-                at[source] = at[source] + n if source in at else n
+                if term in found:
+                    found[term][source] = n
+                else:
+                    found[term] = {source: n}
+        for lang, found in cells.items():
+            leaf, own = tries[lang].leaf, docs[lang]
+            for term in sorted(found):
+                node = leaf(term)
+                node.docs += own[term]
+                if at := node.counts:
+                    for source, n in found[term].items():
+                        at[source] = at[source] + n if source in at else n
+                else:
+                    node.counts = found[term]
         counts.clear()
         docs.clear()
 
@@ -196,7 +202,7 @@ def _count(batches: Iterator) -> Iterator:
         for lang, source, text in zip(*(batch[k].to_pylist() for k in range(3)), strict=True):
             seen: set[bytes] = set()
             for piece in _pieces(text):
-                terms = TERM.findall(piece.lower())
+                terms = piece.translate(TERMS).split()
                 counts[lang, source].update(terms)
                 seen.update(terms)
             docs[lang].update(seen)
@@ -256,6 +262,9 @@ def _merge(batches: Iterator) -> Iterator:
             node = tries[lang].leaf(term)
             node.docs += n
             own = node.counts
+            if b - a == 1 and not own:
+                own[ids[a]] = counts[a]
+                continue
             for k, count in zip(ids[a:b], counts[a:b], strict=True):
                 own[k] = own[k] + count if k in own else count
         if langs:
