@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import contextlib
 import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +21,8 @@ from tidegate.model import DEFAULTS, Settings
 
 #: A pause after some events: ``probe`` where its time for one has come, else null.
 PAUSE = "pod string, transport string, seq long, failures int, paused boolean, begun int, probe boolean"
+#: A range of a key's events: failures before its first success, successes, failures after the last one, and how many runs after the first success begin a pause.
+PIECE = "pod string, transport string, from_seq long, seq long, first long, good long, last long, begun long"
 DUE = "id long, due_on timestamp"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -51,15 +56,16 @@ class _Pauses(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         failures, paused, begun, wait_ms, seq = self.state.get() if self.state.exists() else (0, False, 0, 0, -1)
-        for r in sorted(rows, key=lambda r: r["seq"]):
-            seq = max(seq, r["seq"])
-            if r["verdict"] == "success":
-                failures, paused = 0, False
-            elif r["verdict"] == "failure":
-                failures += 1
-                if self.after and not paused and failures >= self.after:
-                    paused, begun, wait_ms = True, begun + 1, self.first
-                    self._wait(timerValues.getCurrentProcessingTimeInMs(), wait_ms)
+        for p in sorted(rows, key=lambda p: p["from_seq"]):
+            seq, failures, begins = max(seq, p["seq"]), failures + p["first"], False
+            if self.after and p["first"] and not paused and failures >= self.after:
+                paused, begun, begins = True, begun + 1, True
+            if p["good"]:
+                failures, begun = p["last"], begun + p["begun"]
+                paused = begins = bool(self.after) and failures >= self.after
+            if begins:
+                wait_ms = self.first
+                self._wait(timerValues.getCurrentProcessingTimeInMs(), wait_ms)
         self.state.update((failures, paused, begun, wait_ms, seq))
         yield Row(pod=key[0], transport=key[1], seq=seq, failures=failures, paused=paused, begun=begun, probe=None)
 
@@ -75,14 +81,54 @@ class _Pauses(StatefulProcessor):
         pass
 
 
-def pause_stream(verdicts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def _pieces(after: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turns a partition's events into one piece for each key: its own runs of failures as counts, the first and the last by length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        events = pa.Table.from_batches(list(batches), schema=_EVENT)
+        if not events.num_rows:
+            return
+        code = np.zeros(len(events), dtype=np.int64)
+        for name in ("pod", "transport"):
+            values = pc.dictionary_encode(events[name].combine_chunks(), null_encoding="encode")
+            values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+            code = code * len(values.dictionary) + values.indices.to_numpy(zero_copy_only=False)
+        seq, good = events["seq"].to_numpy(), events["good"].to_numpy(zero_copy_only=False).astype(bool)
+        order = np.lexsort((good, seq, code))
+        code, seq, good = code[order], seq[order], good[order]
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        told = []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(code)], strict=True):
+            # Failures between successes: the run before the first, those between, and the one after the last.
+            at = np.flatnonzero(good[lo:hi])
+            runs = np.diff(np.r_[-1, at, hi - lo]) - 1
+            begun = int((runs[1:] >= after).sum()) if after else 0
+            told.append((int(order[lo]), int(seq[lo]), int(seq[hi - 1]), int(runs[0]), len(at), int(runs[-1]) if len(at) else 0, begun))
+        rows, *columns = zip(*told, strict=True)
+        own = events.select(["pod", "transport"]).take(pa.array(rows))
+        yield from pa.table([*own.columns, *(pa.array(c, pa.int64()) for c in columns)], names=_PIECE).to_batches()
+
+    return run
+
+
+_EVENT = pa.schema([("pod", pa.string()), ("transport", pa.string()), ("seq", pa.int64()), ("good", pa.bool_())])
+_PIECE = [c.split()[0] for c in PIECE.split(", ")]
+
+
+def pause_stream(verdicts: DataFrame, settings: Settings = DEFAULTS, slices: int | None = None) -> DataFrame:
     """The pauses of (pod, transport) over a stream of (pod, transport, seq, verdict): a row after each batch that has events, and one at each probe's time.
 
     verdict: as :func:`~tidegate.streaming.control.verdict` tells; null verdicts count for
-    nothing.  Of a batch, a key's events are in one task, in order of seq.  Start the query
-    within :func:`keyed_state`.
+    nothing.  Of a batch, a key's events count in order of seq.  A batch is cut into ranges
+    of seq (``slices``; else as many as Spark shuffles into), each a task that counts its
+    runs; a key's state takes a row of each range, so no task holds a key's events.  Start
+    the query within :func:`keyed_state`.
     """
-    return verdicts.where("verdict IS NOT NULL").groupBy("pod", "transport").transformWithState(_Pauses(settings), PAUSE, "Update", "ProcessingTime")
+    good = F.col("verdict") == "success"
+    events = verdicts.where(F.col("verdict").isin("success", "failure")).select(F.col("pod").cast("string"), F.col("transport").cast("string"), F.col("seq").cast("long"), good.alias("good"))
+    dealt = events.repartitionByRange("seq") if slices is None else events.repartitionByRange(slices, "seq")
+    pieces = dealt.mapInArrow(_pieces(settings.pause_after), PIECE)
+    return pieces.groupBy("pod", "transport").transformWithState(_Pauses(settings), PAUSE, "Update", "ProcessingTime")
 
 
 def last_pauses(told: DataFrame) -> DataFrame:
